@@ -4,13 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate
+from . import chat, dac, decontaminate, packing
 from .common import table
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as directly addressable codes and read back."""
+    return dac.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -1 of control strings, formatted and read back from the output."""
     log = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -76,7 +87,9 @@ FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_best_fit_packing": op3_best_fit_packing,
         "op5_chat_format": op5_chat_format,
+        "op6_token_file": op6_token_file,
         "op10_decontaminate": op10_decontaminate,
     }
 
