@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dac, decontaminate, packing, toxicity
+from . import chat, dac, decontaminate, packing, pii, toxicity
 from .common import table
 
 
@@ -65,6 +65,14 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and a digest of the base spans, and all spans."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    text = {c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",") for c in ("base", "spans")}
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(text["base"].cast("binary"), 256).alias("base_sha256"), text["spans"].alias("spans"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against the windows of every benchmark item."""
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -97,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_best_fit_packing": op3_best_fit_packing,
         "op5_chat_format": op5_chat_format,
         "op6_token_file": op6_token_file,
+        "op7_pii": op7_pii,
         "op10_decontaminate": op10_decontaminate,
     }
 
