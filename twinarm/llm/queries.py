@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, dac, decontaminate, packing, pii, toxicity
@@ -65,11 +65,16 @@ FROM sized GROUP BY conv_id
 """
 
 
+def _equal(values: Column, value: str) -> Column:
+    return F.filter(values, lambda v: v == value)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: counts and a digest of the base spans, and all spans."""
     found = pii.find(table(spark, sf_dir, "documents"))
     text = {c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",") for c in ("base", "spans")}
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(_equal(kinds, k)).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(text["base"].cast("binary"), 256).alias("base_sha256"), text["spans"].alias("spans"))
 
 
