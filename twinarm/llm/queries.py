@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dac, decontaminate, packing, pii, quality, topk, toxicity
+from . import chat, dac, decontaminate, jaccard, packing, pii, quality, topk, toxicity
 from .common import table
 
 
@@ -101,6 +101,25 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(text["base"].cast("binary"), 256).alias("base_sha256"), text["spans"].alias("spans"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The similarity components of all documents."""
+    return jaccard.similar_components(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingle AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + least(len(w), 5) - 1], ' ')) AS s
+  FROM w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS t(i) WHERE len(w) > 0
+), size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+overlap AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM shingle AS a JOIN shingle AS b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM overlap JOIN size AS p ON p.doc_id = x JOIN size AS q ON q.doc_id = y WHERE 100 * k >= 75 * (p.n + q.n - k)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach AS r JOIN link AS l ON l.x = r.y)
+SELECT x AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(y) AS component_id FROM reach LEFT JOIN size ON size.doc_id = x GROUP BY x
+"""
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against the windows of every benchmark item."""
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -136,6 +155,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_chat_format": op5_chat_format,
         "op6_token_file": op6_token_file,
         "op7_pii": op7_pii,
+        "op8_jaccard_join": op8_jaccard_join,
         "op10_decontaminate": op10_decontaminate,
     }
 
@@ -144,5 +164,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_topk": OP4_SQL,
         "op5_chat_format": OP5_SQL,
+        "op8_jaccard_join": OP8_SQL,
         "op10_decontaminate": OP10_SQL,
     }
