@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dac, decontaminate, jaccard, packing, pii, quality, topk, toxicity
+from . import chat, dac, decontaminate, jaccard, packing, pii, quality, suffix_dedup, topk, toxicity
 from .common import table
 
 
@@ -120,6 +120,11 @@ SELECT x AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(y) AS component
 """
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated strings of 100 bytes."""
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against the windows of every benchmark item."""
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -156,6 +161,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_file": op6_token_file,
         "op7_pii": op7_pii,
         "op8_jaccard_join": op8_jaccard_join,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_decontaminate": op10_decontaminate,
     }
 
