@@ -3,9 +3,10 @@
 1. Documents of equal shingle sets form a class ("node"); only one set of each is handled further.
 2. Tokens have a global order, rare ones first (a sketch of fixed size counts them; any order gives the same result). Sets that are similar share a token
    among the first n - ceil(3n/4) + 1 of each, so only those prefixes are exchanged, by token.
-3. Similar documents are partitioned into groups: each node is compared with the likeliest partners (the first node of a token's list and the one before it),
-   verified links are closed into components, and a component's nodes of like size are a group.
-4. The token-group matrix stores the union of each group's prefix tokens. For a query node and a group of another component, the tokens shared with the union
+3. Similar documents are partitioned into groups: each node is compared with the likeliest partners (the node of a token's list with the most popular
+   tokens, as the source of copies has no rare ones of its own, and the one before it), verified links are closed into components, and a component's nodes of like size are a group.
+4. The token-group matrix stores the union of each group's prefix tokens. A query node meets a group of another component where a shared token stands early
+   enough in both for the rest to hold the needed overlap (popular tokens stand last, so they seldom do). Then the tokens shared with the union
    bound the overlap with every member; only groups that could hold a similar one are opened, their members bounded one by one in the same way, and the
    rest compared exactly. Nodes in one component need no comparison, so large groups of copies never give all their pairs.
 
@@ -107,11 +108,11 @@ def _sizes_fit(x: Column, y: Column) -> Column:
     return PER * F.least(x, y) >= PART * F.greatest(x, y)
 
 
-_PREFIX = "node bigint, n bigint, prefix array<bigint>"
+_PREFIX = "node bigint, n bigint, popular double, prefix array<bigint>"
 
 
 def prefixes(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """Per node: n and its prefix tokens; a token's value has its rank in the high bits, so values sort in the global order."""
+    """Per node: n, the mean rank of its prefix tokens and these tokens, in order; a token's value has its rank in the high bits, so values sort in the global order."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def scan(batches):
@@ -123,10 +124,10 @@ def prefixes(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
                 order = (r[(t & mask).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (t >> np.uint64(8))
                 p = len(t) - -(-PART * len(t) // PER) + 1
                 cut.append(np.unique(np.partition(order, p - 1)[:p] if p < len(order) else order).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([_node(t) for t in found], pa.int64()), pa.array([len(t) for t in found], pa.int64()), pa.array(cut, pa.list_(pa.int64()))], names=["node", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array([_node(t) for t in found], pa.int64()), pa.array([len(t) for t in found], pa.int64()), pa.array([float((c >> 56).mean()) for c in cut], pa.float64()), pa.array(cut, pa.list_(pa.int64()))], names=["node", "n", "popular", "prefix"])
 
     every = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInArrow(scan, _PREFIX)
-    return every.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    return every.groupBy("node").agg(F.first("n").alias("n"), F.first("popular").alias("popular"), F.first("prefix").alias("prefix"))
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
@@ -174,13 +175,58 @@ def _group(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / float(np.log(BAND))).cast("int")
 
 
+def _least_of(band: Column) -> Column:
+    """A lower bound on the sizes in a band."""
+    return F.floor(F.pow(F.lit(BAND), band.cast("double"))).cast("bigint")
+
+
+#: Bands that a similar set can be apart.
+_REACH = int(np.ceil(np.log(PER / PART) / np.log(BAND))) + 1
+
+
+def _needed(x: Column, y: Column) -> Column:
+    """Tokens that prefixes must share for sets of these sizes to be similar."""
+    return least_overlap(x, y) - F.greatest(suffix(x), suffix(y))
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """(node, comp, band): query nodes and groups of other components that share a token which stands early enough in both."""
+    other = F.explode(F.sequence(F.col("band") - _REACH, F.col("band") + _REACH))
+    fewest = F.greatest(_least_of(F.col("other")), F.ceil(PART * F.col("n") / PER))
+    queries = rows.select("tok", "node", "n", "comp", "band", (F.col("n") - F.col("pos")).alias("rest"), other.alias("other"))
+    queries = queries.where(F.col("rest") >= least_overlap(fewest, F.col("n"))).select("tok", "node", F.col("comp").alias("own"), F.col("band").alias("qb"), F.col("other").alias("gb"))
+    matrix = rows.groupBy("tok", "comp", "band").agg(F.min("n").alias("n"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+    matrix = matrix.select("*", other.alias("other")).where(F.col("rest") >= least_overlap(fewest, F.col("n")))
+    matrix = matrix.select("tok", "comp", F.col("band").alias("gb"), F.col("other").alias("qb"))
+    return queries.join(matrix, ["tok", "qb", "gb"]).where("own <> comp").select("node", "comp", F.col("gb").alias("band")).distinct()
+
+
+def _opened(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of different components whose shared prefix tokens allow them to be similar."""
+    candidates = materialise(_candidates(rows), "candidates")
+    own = rows.join(candidates.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.collect_set("tok").alias("toks"))
+    named = candidates.select("comp", "band").distinct()
+    unions = rows.join(named, ["comp", "band"], "left_semi").groupBy("comp", "band").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.collect_set("tok").alias("union"))
+    bound = candidates.join(own, "node").join(unions, ["comp", "band"])
+    lo = F.greatest(F.col("lo"), F.ceil(PART * F.col("n") / PER))
+    hi = F.least(F.col("hi"), F.floor(PER * F.col("n") / PART))
+    # Between lo and hi the need is least at an end; rounding up may take one.
+    need = F.least(_needed(lo, F.col("n")), _needed(hi, F.col("n"))) - 1
+    opened = bound.where((lo <= hi) & (F.size(F.array_intersect("toks", "union")) >= need)).select("node", "comp", "band", "n", "toks")
+    opened = materialise(opened, "opened")
+    members = rows.join(opened.select("comp", "band").distinct(), ["comp", "band"], "left_semi").groupBy("comp", "band", F.col("node").alias("x")).agg(F.first("n").alias("nx"), F.collect_set("tok").alias("own"))
+    pairs = opened.join(members, ["comp", "band"]).where(_sizes_fit(F.col("n"), F.col("nx")))
+    pairs = pairs.where(F.size(F.array_intersect("toks", "own")) >= _needed(F.col("n"), F.col("nx")))
+    return pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+
+
 def links(docs: DataFrame, members: DataFrame, ranks: np.ndarray) -> DataFrame:
     """Verified links (a, b) between nodes, enough to connect every two nodes that similar pairs connect."""
     nodes = materialise(members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
-    tokens = prefixes(docs, ranks).select("node", "n", F.explode("prefix").alias("tok"))
-    by_token = Window.partitionBy("tok").orderBy("n", "node")
+    tokens = prefixes(docs, ranks).select("node", "n", "popular", F.posexplode("prefix").alias("pos", "tok"))
+    by_token = Window.partitionBy("tok").orderBy(F.desc("popular"), "n", "node")
     lists = tokens.select(
-        "tok", "node", "n",
+        "tok", "node", "n", "pos",
         F.lag("node").over(by_token).alias("prev"), F.lag("n").over(by_token).alias("prev_n"),
         F.first("node").over(by_token).alias("head"), F.first("n").over(by_token).alias("head_n"),
         F.lead("node").over(by_token).isNotNull().alias("more"),
@@ -188,26 +234,11 @@ def links(docs: DataFrame, members: DataFrame, ranks: np.ndarray) -> DataFrame:
     shared = materialise(lists.where(F.col("prev").isNotNull() | F.col("more")).drop("more"), "lists")
     near = _verified(docs, nodes, _likely(shared), "near")
     roots = connected(near)
-    # The token-group matrix, of tokens that occur in more than one component.
-    placed = shared.select("tok", "node", "n").join(roots, "node", "left").select("tok", "node", "n", F.coalesce("root", "node").alias("comp"))
+    # From here on only tokens count that occur in more than one component.
+    placed = shared.select("tok", "node", "n", "pos").join(roots, "node", "left").select("tok", "node", "n", "pos", F.coalesce("root", "node").alias("comp"))
     mixed = placed.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
     rows = materialise(placed.join(mixed, "tok", "left_semi").withColumn("band", _group(F.col("n"))), "matrix")
-    matrix = rows.groupBy("tok", "comp", "band").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"))
-    extent = rows.groupBy("comp", "band").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    q, g = rows.alias("q"), matrix.alias("g")
-    met = q.join(g, (F.col("q.tok") == F.col("g.tok")) & (F.col("q.comp") != F.col("g.comp")) & (F.abs(F.col("q.band") - F.col("g.band")) <= 3))
-    counted = met.groupBy("q.node", "q.n", "g.comp", "g.band").agg(F.count("*").alias("c")).join(extent, ["comp", "band"])
-    lo = F.greatest(F.col("lo"), F.ceil(PART * F.col("n") / PER))
-    hi = F.least(F.col("hi"), F.floor(PER * F.col("n") / PART))
-    need = [least_overlap(x, F.col("n")) - F.greatest(suffix(x), suffix(F.col("n"))) for x in (lo, hi)]
-    # Between lo and hi the need is least at an end; rounding up may take one.
-    opened = counted.where((lo <= hi) & (F.col("c") >= F.least(*need) - 1)).select("node", "n", "comp", "band")
-    own = rows.select("tok", "node").join(opened, "node").alias("q")
-    pairs = own.join(rows.alias("x"), (F.col("q.tok") == F.col("x.tok")) & (F.col("q.comp") == F.col("x.comp")) & (F.col("q.band") == F.col("x.band")))
-    pairs = pairs.groupBy(F.col("q.node").alias("y"), F.col("x.node").alias("x"), F.col("q.n").alias("ny"), F.col("x.n").alias("nx")).agg(F.count("*").alias("c"))
-    enough = least_overlap(F.col("nx"), F.col("ny")) - F.greatest(suffix(F.col("nx")), suffix(F.col("ny")))
-    pairs = pairs.where(_sizes_fit(F.col("nx"), F.col("ny")) & (F.col("c") >= enough)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return near.union(_verified(docs, nodes, pairs, "far"))
+    return near.union(_verified(docs, nodes, _opened(rows), "far"))
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
