@@ -16,9 +16,9 @@ import unicodedata
 import numpy as np
 
 #: Characters handled at once; longer texts are cut between two ASCII words, where no piece, normalisation or look-ahead crosses.
-CHUNK_CHARS = 1 << 20
-#: Distinct pieces kept; at about 50 bytes each, this bounds the cache to 75 MB a worker.
-CACHE_WORDS = 1_500_000
+CHUNK_CHARS = 1 << 19
+#: Distinct pieces kept; at about 50 bytes each, this bounds the cache to 50 MB a worker.
+CACHE_WORDS = 1_000_000
 
 _UNSAFE, _L, _N, _O, _S = range(5)
 _CUT = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")

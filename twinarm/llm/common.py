@@ -40,10 +40,21 @@ def discard(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of whole texts that a Python worker gets at once.
+BATCH_ROWS = 2000
+#: The C allocator keeps few pools, so freed memory is found again.
+RETURN_MEMORY = {"MALLOC_ARENA_MAX": "2"}
+
+
 def importable(spark: SparkSession) -> None:
-    """Let Python workers started from here find this package; on a cluster it is installed or shipped with the job."""
+    """Let Python workers started from here find this package (on a cluster it is installed or shipped with the job), hand them whole texts in
+    small batches and keep their allocator from spreading."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
+    for name, value in RETURN_MEMORY.items():
+        env.setdefault(name, value)
     if top not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [top, env.get("PYTHONPATH", "")]))
 

@@ -60,7 +60,7 @@ def survey(docs: DataFrame) -> DataFrame:
     """One row per document (doc_id, n, node), and rows (slice, counts) of the task's token sketch."""
 
     def scan(batches):
-        counts, mask = np.zeros(1 << SKETCH_BITS, np.int64), np.uint64((1 << SKETCH_BITS) - 1)
+        counts, mask = np.zeros(1 << SKETCH_BITS, np.uint32), np.uint64((1 << SKETCH_BITS) - 1)
         for rows in _slices(batches):
             found = _similar(rows.column("text").to_pylist())
             for tokens in found:

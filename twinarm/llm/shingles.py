@@ -10,7 +10,7 @@ import numpy as np
 
 WORDS = 5
 #: Bytes hashed at once; longer texts are cut at white space.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -86,7 +86,7 @@ def _parts(raws: list[bytes]):
             continue
         held.append(raw)
         size += len(raw)
-        if size >= CHUNK // 4:
+        if size >= CHUNK // 8:
             yield first, held, [0] * len(held)
             held, size, first = [], 0, k + 1
     if held:
