@@ -8,7 +8,8 @@
 4. The token-group matrix stores the union of each group's prefix tokens. A query node meets a group of another component where a shared token stands early
    enough in both for the rest to hold the needed overlap (popular tokens stand last, so they seldom do). Then the tokens shared with the union
    bound the overlap with every member; only groups that could hold a similar one are opened, their members bounded one by one in the same way, and the
-   rest compared exactly. Nodes in one component need no comparison, so large groups of copies never give all their pairs.
+   rest compared exactly. Nodes in one component need no comparison, and of two components only the smaller one's nodes are queries, so large groups of
+   copies never give all their pairs.
 
 Defined results: null and empty texts and texts without words have the empty set and are linked with nothing; repeated rows are equal sets; rows of a null
 doc_id take no part and get a null component; an empty table gives no rows; further columns are ignored.
@@ -190,15 +191,15 @@ def _needed(x: Column, y: Column) -> Column:
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
-    """(node, comp, band): query nodes and groups of other components that share a token which stands early enough in both."""
+    """(node, comp, band): query nodes and groups of larger components that share a token which stands early enough in both."""
     other = F.explode(F.sequence(F.col("band") - _REACH, F.col("band") + _REACH))
     fewest = F.greatest(_least_of(F.col("other")), F.ceil(PART * F.col("n") / PER))
-    queries = rows.select("tok", "node", "n", "comp", "band", (F.col("n") - F.col("pos")).alias("rest"), other.alias("other"))
-    queries = queries.where(F.col("rest") >= least_overlap(fewest, F.col("n"))).select("tok", "node", F.col("comp").alias("own"), F.col("band").alias("qb"), F.col("other").alias("gb"))
-    matrix = rows.groupBy("tok", "comp", "band").agg(F.min("n").alias("n"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+    queries = rows.select("tok", "node", "n", "nodes", "comp", "band", (F.col("n") - F.col("pos")).alias("rest"), other.alias("other"))
+    queries = queries.where(F.col("rest") >= least_overlap(fewest, F.col("n"))).select("tok", "node", F.struct("nodes", "comp").alias("own"), F.col("band").alias("qb"), F.col("other").alias("gb"))
+    matrix = rows.groupBy("tok", "nodes", "comp", "band").agg(F.min("n").alias("n"), F.max(F.col("n") - F.col("pos")).alias("rest"))
     matrix = matrix.select("*", other.alias("other")).where(F.col("rest") >= least_overlap(fewest, F.col("n")))
-    matrix = matrix.select("tok", "comp", F.col("band").alias("gb"), F.col("other").alias("qb"))
-    return queries.join(matrix, ["tok", "qb", "gb"]).where("own <> comp").select("node", "comp", F.col("gb").alias("band")).distinct()
+    matrix = matrix.select("tok", "comp", F.struct("nodes", "comp").alias("theirs"), F.col("band").alias("gb"), F.col("other").alias("qb"))
+    return queries.join(matrix, ["tok", "qb", "gb"]).where("own < theirs").select("node", "comp", F.col("gb").alias("band")).distinct()
 
 
 def _opened(rows: DataFrame) -> DataFrame:
@@ -234,8 +235,9 @@ def links(docs: DataFrame, members: DataFrame, ranks: np.ndarray) -> DataFrame:
     shared = materialise(lists.where(F.col("prev").isNotNull() | F.col("more")).drop("more"), "lists")
     near = _verified(docs, nodes, _likely(shared), "near")
     roots = connected(near)
+    roots = roots.join(roots.groupBy("root").agg(F.count("*").alias("nodes")), "root")
     # From here on only tokens count that occur in more than one component.
-    placed = shared.select("tok", "node", "n", "pos").join(roots, "node", "left").select("tok", "node", "n", "pos", F.coalesce("root", "node").alias("comp"))
+    placed = shared.select("tok", "node", "n", "pos").join(roots, "node", "left").select("tok", "node", "n", "pos", F.coalesce("root", "node").alias("comp"), F.coalesce("nodes", F.lit(1)).alias("nodes"))
     mixed = placed.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
     rows = materialise(placed.join(mixed, "tok", "left_semi").withColumn("band", _group(F.col("n"))), "matrix")
     return near.union(_verified(docs, nodes, _opened(rows), "far"))
