@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chimeric, graph, groups, stems
 from ..operators import reads as rd
+from ..operators.components import ensure_checkpoints
 from ..sources import files, sinks
 
 
@@ -37,16 +38,18 @@ class Config:
 
 def duplex_groups(reads: DataFrame, config: Config) -> dict[str, DataFrame]:
     """members (reads with dg of valid groups), groups (statistics, coverage, colours) of gene pairs that pass, and failed reads of those that don't."""
-    edge = graph.edges(reads, config.t_o)
+    ensure_checkpoints(reads)
+    # Written once each to the shared folder: what follows reads them several times, and a lost executor doesn't repeat the joins before.
+    edge = graph.edges(reads, config.t_o).checkpoint()
     placed = graph.with_components(reads, edge)
     if config.cluster == "spectral":
         assigned = graph.spectral_groups(placed, edge, config.t_eig, config.embedding)
     else:
         assigned = graph.clique_groups(placed, edge)
-    members = groups.valid_groups(reads.join(assigned.select("read_id", "dg", "component"), "read_id"))
-    failed = groups.non_overlapping(members)
+    members = groups.valid_groups(reads.join(assigned.select("read_id", "dg", "component"), "read_id")).checkpoint()
+    failed = groups.non_overlapping(members).checkpoint()
     stats = groups.colours(groups.coverage(groups.medians(members), members))
-    stats = groups.without_failed_pairs(stats, failed)
+    stats = groups.without_failed_pairs(stats, failed).checkpoint()
     members = members.join(failed.select("l_gene", "r_gene").distinct(), ["l_gene", "r_gene"], "left_anti")
     return {"members": members, "groups": stats, "failed": failed, "edges": edge}
 
@@ -58,7 +61,7 @@ def stem_groups(members: DataFrame, regions: DataFrame, config: Config) -> dict[
     envelope = stems.envelopes(chosen).join(region, ["l_gene", "r_gene"])
     folded = stems.folded(stems.sequences(envelope, regions), config.kernel)
     found = stems.stem_info(folded.withColumn("cut", F.length("l_seq").cast("bigint")).join(F.broadcast(regions), "region")).drop("seq")
-    return {"stems": found, "spread": stems.edge_stats(chosen)}
+    return {"stems": found.checkpoint(), "spread": stems.edge_stats(chosen).checkpoint()}
 
 
 def run(spark: SparkSession, reads_file: str, seq_file: str, gene_file: str, out: str | None = None, chimeric_file: str | None = None, config: Config | None = None) -> dict[str, DataFrame]:
