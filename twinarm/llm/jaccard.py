@@ -4,7 +4,7 @@
 2. Tokens have a global order, rare ones first (a sketch of fixed size counts them; any order gives the same result). Sets that are similar share a token
    among the first n - ceil(3n/4) + 1 of each, so only those prefixes are exchanged, by token.
 3. Similar documents are partitioned into groups: each node is compared with the likeliest partners (the node of a token's list with the most popular
-   tokens, as the source of copies has no rare ones of its own, and the one before it), verified links are closed into components, and a component's nodes of like size are a group.
+   tokens, as the source of copies has no rare ones of its own, and the one before it), verified links are closed into components, and a component's nodes of like size are a group, or several of bounded size.
 4. The token-group matrix stores the union of each group's prefix tokens. A query node meets a group of another component where a shared token stands early
    enough in both for the rest to hold the needed overlap (popular tokens stand last, so they seldom do). Then the tokens shared with the union
    bound the overlap with every member; only groups that could hold a similar one are opened, their members bounded one by one in the same way, and the
@@ -36,8 +36,8 @@ PART, PER = 75, 100
 SKETCH_BITS, SLICE_BITS = 22, 16
 #: Up to so many document ids are broadcast (8 bytes each) to pick their texts from a scan; more go through a shuffle join.
 BROADCAST_IDS = 400_000
-#: Groups hold sizes within this factor.
-BAND = 1.15
+#: Groups hold sizes within this factor, and about so many nodes at most.
+BAND, GROUP_NODES = 1.15, 1024
 
 
 def _similar(texts):
@@ -182,7 +182,7 @@ def _least_of(band: Column) -> Column:
 
 
 #: Bands that a similar set can be apart.
-_REACH = int(np.ceil(np.log(PER / PART) / np.log(BAND))) + 1
+_REACH = int(np.log(PER / PART) / np.log(BAND)) + 1
 
 
 def _needed(x: Column, y: Column) -> Column:
@@ -190,33 +190,41 @@ def _needed(x: Column, y: Column) -> Column:
     return least_overlap(x, y) - F.greatest(suffix(x), suffix(y))
 
 
-def _candidates(rows: DataFrame) -> DataFrame:
-    """(node, comp, band): query nodes and groups of larger components that share a token which stands early enough in both."""
-    other = F.explode(F.sequence(F.col("band") - _REACH, F.col("band") + _REACH))
+def _met(rows: DataFrame) -> DataFrame:
+    """rows (n, band, rest: the tokens from the shared one on) for each band of sizes that a similar set can have and the rest allows, as ``other``."""
+    each = rows.select("*", F.explode(F.sequence(F.col("band") - _REACH, F.col("band") + _REACH)).alias("other"))
     fewest = F.greatest(_least_of(F.col("other")), F.ceil(PART * F.col("n") / PER))
-    queries = rows.select("tok", "node", "n", "nodes", "comp", "band", (F.col("n") - F.col("pos")).alias("rest"), other.alias("other"))
-    queries = queries.where(F.col("rest") >= least_overlap(fewest, F.col("n"))).select("tok", "node", F.struct("nodes", "comp").alias("own"), F.col("band").alias("qb"), F.col("other").alias("gb"))
-    matrix = rows.groupBy("tok", "nodes", "comp", "band").agg(F.min("n").alias("n"), F.max(F.col("n") - F.col("pos")).alias("rest"))
-    matrix = matrix.select("*", other.alias("other")).where(F.col("rest") >= least_overlap(fewest, F.col("n")))
-    matrix = matrix.select("tok", "comp", F.struct("nodes", "comp").alias("theirs"), F.col("band").alias("gb"), F.col("other").alias("qb"))
-    return queries.join(matrix, ["tok", "qb", "gb"]).where("own < theirs").select("node", "comp", F.col("gb").alias("band")).distinct()
+    fits = (PER * F.col("n") >= PART * _least_of(F.col("other"))) & (PER * _least_of(F.col("other") + 2) >= PART * F.col("n"))
+    return each.where(fits & (F.col("rest") >= least_overlap(fewest, F.col("n"))))
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """(node, grp): query nodes and groups of larger components that share a token which stands early enough in both.
+
+    The key joins a token and both bands in one hash; a collision gives a candidate more, which the bound below rejects.
+    """
+    size = F.struct("nodes", "comp")
+    queries = _met(rows.select("tok", "node", "n", "nodes", "comp", "band", (F.col("n") - F.col("pos")).alias("rest")))
+    queries = queries.select(F.xxhash64("tok", "band", "other").alias("key"), "node", size.alias("own"))
+    matrix = rows.groupBy("tok", "nodes", "comp", "band", "grp").agg(F.min("n").alias("n"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+    matrix = _met(matrix).select(F.xxhash64("tok", "other", "band").alias("key"), "grp", size.alias("theirs"))
+    return queries.join(matrix, "key").where("own < theirs").select("node", "grp").distinct()
 
 
 def _opened(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes of different components whose shared prefix tokens allow them to be similar."""
     candidates = materialise(_candidates(rows), "candidates")
     own = rows.join(candidates.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.collect_set("tok").alias("toks"))
-    named = candidates.select("comp", "band").distinct()
-    unions = rows.join(named, ["comp", "band"], "left_semi").groupBy("comp", "band").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.collect_set("tok").alias("union"))
-    bound = candidates.join(own, "node").join(unions, ["comp", "band"])
+    unions = rows.join(candidates.select("grp").distinct(), "grp", "left_semi").groupBy("grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.collect_set("tok").alias("union"))
+    bound = candidates.join(own, "node").join(unions, "grp")
     lo = F.greatest(F.col("lo"), F.ceil(PART * F.col("n") / PER))
     hi = F.least(F.col("hi"), F.floor(PER * F.col("n") / PART))
     # Between lo and hi the need is least at an end; rounding up may take one.
     need = F.least(_needed(lo, F.col("n")), _needed(hi, F.col("n"))) - 1
-    opened = bound.where((lo <= hi) & (F.size(F.array_intersect("toks", "union")) >= need)).select("node", "comp", "band", "n", "toks")
+    opened = bound.where((lo <= hi) & (F.size(F.array_intersect("toks", "union")) >= need)).select("node", "grp", "n", "toks")
     opened = materialise(opened, "opened")
-    members = rows.join(opened.select("comp", "band").distinct(), ["comp", "band"], "left_semi").groupBy("comp", "band", F.col("node").alias("x")).agg(F.first("n").alias("nx"), F.collect_set("tok").alias("own"))
-    pairs = opened.join(members, ["comp", "band"]).where(_sizes_fit(F.col("n"), F.col("nx")))
+    members = rows.join(opened.select("grp").distinct(), "grp", "left_semi").groupBy("grp", F.col("node").alias("x")).agg(F.first("n").alias("nx"), F.collect_set("tok").alias("own"))
+    pairs = opened.join(members, "grp").where(_sizes_fit(F.col("n"), F.col("nx")))
     pairs = pairs.where(F.size(F.array_intersect("toks", "own")) >= _needed(F.col("n"), F.col("nx")))
     return pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
 
@@ -239,7 +247,9 @@ def links(docs: DataFrame, members: DataFrame, ranks: np.ndarray) -> DataFrame:
     # From here on only tokens count that occur in more than one component.
     placed = shared.select("tok", "node", "n", "pos").join(roots, "node", "left").select("tok", "node", "n", "pos", F.coalesce("root", "node").alias("comp"), F.coalesce("nodes", F.lit(1)).alias("nodes"))
     mixed = placed.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
-    rows = materialise(placed.join(mixed, "tok", "left_semi").withColumn("band", _group(F.col("n"))), "matrix")
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("nodes") / GROUP_NODES))  # so that a group has a bound, however large its component
+    grouped = placed.join(mixed, "tok", "left_semi").withColumn("band", _group(F.col("n")))
+    rows = materialise(grouped.withColumn("grp", F.xxhash64("comp", "band", part)), "matrix")
     return near.union(_verified(docs, nodes, _opened(rows), "far"))
 
 
