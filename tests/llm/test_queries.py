@@ -1,0 +1,36 @@
+"""Registered queries against their SQL and against each other, and the pipeline's stages."""
+
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from twinarm.llm import queries as llm
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
+
+
+@pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
+def test_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want, got = con.execute(llm.oracle_sql()[name]).df(), llm.queries()[name](spark, SF).toPandas()
+    columns = sorted(want.columns)
+    assert columns == sorted(got.columns)
+    assert sorted(map(repr, got[columns].values.tolist())) == sorted(map(repr, want[columns].values.tolist()))
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near duplicates", "decontamination", "personal data", "packing"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, before = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        docs = corpus_pipeline.materialise(stage(spark, docs, SF), "stage")
+        assert docs.columns == columns and 0 < docs.count() <= before, name
+        before = docs.count()
+    assert set(entry.queries()) >= {"pipeline", *llm.queries()}

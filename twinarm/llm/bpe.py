@@ -110,7 +110,7 @@ class Encoder:
         self.power, self.inverse = (np.cumprod(np.full(n, x, np.uint64)) for x in (_MULTIPLIER, _INVERSE))
 
     def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        if len(self.known) + len(hashes) > CACHE_WORDS:
+        if len(self.known) and len(self.known) + len(hashes) > CACHE_WORDS:
             raise OverflowError
         encoded = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
         count = np.fromiter(map(len, encoded), np.int64, len(encoded))

@@ -364,6 +364,8 @@ def repeated_ranges(runs: DataFrame) -> DataFrame:
             doc, w = int(docs[run][at]), int(packed[run][at])
             if group and lcp == KEY:
                 last = group[-1]
+                if (doc, w) == (last[1], last[2]):  # the same row twice
+                    continue
                 if (doc, w) < (last[1], last[2]):
                     doc, w, last[1], last[2] = last[1], last[2], doc, w
                 later_docs.append(doc)
@@ -459,13 +461,14 @@ def remove(docs: DataFrame) -> DataFrame:
     """docs with repeated strings cut out of text; a character of which a byte goes, goes; texts that lose all become empty."""
     texts, gone = find(docs)
     kept = docs.withColumn("_digest", _digest(F.coalesce("text", F.lit("")))).join(_near(gone.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_own"), F.col("ranges").alias("_ranges"))), (F.col("doc_id") == F.col("_id")) & (F.col("_digest") == F.col("_own")), "left")
-    at = docs.columns.index("text")
+    columns = docs.columns
+    at = columns.index("text")
 
     def scan(batches):
         for rows in _slices(batches):
             new = []
             for text, ranges in zip(rows.column("text").to_pylist(), rows.column("_ranges").to_pylist()):
                 new.append(text if text is None or not ranges else _cut(text.encode("utf-8", "surrogatepass"), ranges)[0].decode("utf-8", "ignore"))
-            yield rows.set_column(at, rows.schema.field(at), pa.array(new, rows.schema.field(at).type)).select(docs.columns)
+            yield rows.set_column(at, rows.schema.field(at), pa.array(new, rows.schema.field(at).type)).select(columns)
 
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns], "_ranges").mapInArrow(scan, docs.schema)

@@ -150,10 +150,11 @@ def _meet(shards: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
         out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
         if left.num_rows and right.num_rows:
             dim = left.column("dim")[0].as_py()
-            queries = np.array(right.column("v").to_pylist(), float).reshape(-1, dim)
+            queries = np.array(right.column("v").to_pylist(), float).reshape(right.num_rows, dim)
             top = TopK(right.column("query_id").to_numpy(), queries, k, right.column("floor").to_numpy().astype(float))
             for ids, raw in zip(left.column("ids").to_pylist(), left.column("vectors").to_pylist()):
-                top.search(BallTree(np.frombuffer(ids, "<i8"), np.frombuffer(raw, "<f8").reshape(-1, dim)))
+                own = np.frombuffer(ids, "<i8")
+                top.search(BallTree(own, np.frombuffer(raw, "<f8").reshape(len(own), dim)))
             row, rank = np.nonzero(top.scores > -np.inf)
             out = {"query_id": top.query_ids[row], "vec_id": top.ids[row, rank], "score": top.scores[row, rank]}
         return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
