@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BP_TRACK = "track graphType=arc"
-AUX_HEADER = "Group_ID\tnum_reads\tUU_cl,UC_cl,num_bp\tl_start_min,max,std\tl_stop_min,max,std\tr_start_min,max,std\tr_stop_min,max,std"
+#: The first lines of the track files and of the auxiliary table.
+BP_TRACK = "track graphType=arc itemRgb=on"
+AUX_HEADER = "\t".join(["Group_ID", "num_reads", "UU_cl,UC_cl,num_basepairs", *(f"{e}_min,{e}_max,{e}_std" for e in ("L_start", "L_stop", "R_start", "R_stop"))])
 
 
 def _text(*columns):
