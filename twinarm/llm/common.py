@@ -29,15 +29,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back, so that a lost executor costs no recomputation from the start."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
+    temporary(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete scratch tables that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def temporary(spark: SparkSession, path: str) -> None:
+    """Have a written scratch table deleted when the driver's JVM ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
 #: Rows of whole texts that a Python worker gets at once.

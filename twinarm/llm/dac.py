@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import scratch
+from .common import scratch, temporary
 
 MAGIC = b"TDAC1\0\0\0"
 CHUNK_BITS, RANK_BITS = 8, 512
@@ -176,4 +176,5 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Write docs to a new container in the shared folder and read its digest back."""
     path = scratch(docs.sparkSession, "tokens")
     write(docs, tokenizer, path, end_id)
+    temporary(docs.sparkSession, path)
     return digest(read(docs.sparkSession, path))
