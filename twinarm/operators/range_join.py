@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sizes import is_small
+
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], left_range: tuple[str, str], right_range: tuple[str, str], width: int, condition: Column | None = None) -> DataFrame:
     """Rows of left and right (aliases ``a`` and ``b``) with equal keys and overlapping inclusive ranges.
@@ -26,13 +28,13 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], left_range:
     return a.join(b, on if condition is None else on & condition)
 
 
-def last_containing(points: DataFrame, point: str, genes: DataFrame, name: str, small: bool = True, width: int = 4096) -> DataFrame:
+def last_containing(points: DataFrame, point: str, genes: DataFrame, name: str, small: bool | None = None, width: int = 4096) -> DataFrame:
     """points with column name: the gene of the greatest gene_ord whose range holds the point, null if none. points needs a unique ``read_ord``.
 
-    A small gene table is broadcast; otherwise both sides meet in bins.
+    A small gene table is broadcast (by its measured size, unless the caller says); otherwise both sides meet in bins.
     """
     g = genes.select(F.col("region").alias("_region"), F.col("gene").alias("_gene"), "g_start", "g_stop", "gene_ord")
-    if small:
+    if is_small(genes) if small is None else small:
         hit = (F.col("region") == F.col("_region")) & F.col(point).between(F.col("g_start"), F.col("g_stop"))
         met = points.join(F.broadcast(g), hit, "left").select("read_ord", "_gene", "gene_ord")
     else:

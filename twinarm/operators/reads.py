@@ -33,7 +33,7 @@ def last_of_each(reads: DataFrame) -> DataFrame:
     return last.select("read_ord", "read_id", "_v.*")
 
 
-def parse(sam: DataFrame, genes: DataFrame, small_genes: bool = True) -> DataFrame:
+def parse(sam: DataFrame, genes: DataFrame, small_genes: bool | None = None) -> DataFrame:
     """Alignment lines (see sources) to reads: tag and shape filters come before the joins with genes."""
     records = sam.where(~F.col("is_header") & accepted_tag(F.col("xg")))
     arms = with_arms(records.select(F.col("file_line").alias("read_ord"), F.col("qname").alias("read_id"), F.col("rname").alias("region"), "pos", "cigar", "seq"))

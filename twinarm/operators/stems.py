@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fold import KERNELS
+from .sizes import near
 
 PAIR = ["l_gene", "r_gene"]
 PERCENTILES = tuple(range(10, 100, 10))
@@ -43,8 +44,8 @@ def edge_stats(chosen: DataFrame) -> DataFrame:
 
 
 def sequences(envelope: DataFrame, regions: DataFrame) -> DataFrame:
-    """envelope (with region) with the sequences of both arms; regions is small and broadcast by its number of rows, not by reads."""
-    joined = envelope.join(F.broadcast(regions), "region")
+    """envelope (with region) with the sequences of both arms; regions is broadcast if its sequences are small in all."""
+    joined = envelope.join(near(regions, "seq"), "region")
     cut = {f"{s}_seq": F.substr("seq", F.col(f"{s}_start").cast("int") + 1, _length(s).cast("int")) for s in "lr"}
     return joined.withColumns(cut).drop("seq")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fold import KERNELS
+from .sizes import near
 
 
 def gold_stems(pairs: DataFrame, gap: int = 3) -> DataFrame:
@@ -22,7 +23,7 @@ def stem_gene(stems: DataFrame, genes: DataFrame) -> DataFrame:
     """stems (stem_ix, region, l_start, r_start) with the first gene, in table order, that holds both starts."""
     g = genes.select(F.col("region").alias("_r"), F.col("gene").alias("_g"), "g_start", "g_stop", "gene_ord")
     hit = (F.col("region") == F.col("_r")) & F.col("l_start").between(F.col("g_start"), F.col("g_stop")) & F.col("r_start").between(F.col("g_start"), F.col("g_stop"))
-    best = stems.join(F.broadcast(g), hit, "left").groupBy("stem_ix").agg(F.min_by("_g", "gene_ord").alias("gene"))
+    best = stems.join(near(g), hit, "left").groupBy("stem_ix").agg(F.min_by("_g", "gene_ord").alias("gene"))
     return stems.join(best, "stem_ix")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import chimeric, graph, groups, stems
 from ..operators import reads as rd
 from ..operators.components import ensure_checkpoints
+from ..operators.sizes import near
 from ..sources import files, sinks
 
 
@@ -60,7 +61,7 @@ def stem_groups(members: DataFrame, regions: DataFrame, config: Config) -> dict[
     region = members.groupBy("l_gene", "r_gene").agg(F.max("region").alias("region"))
     envelope = stems.envelopes(chosen).join(region, ["l_gene", "r_gene"])
     folded = stems.folded(stems.sequences(envelope, regions), config.kernel)
-    found = stems.stem_info(folded.withColumn("cut", F.length("l_seq").cast("bigint")).join(F.broadcast(regions), "region")).drop("seq")
+    found = stems.stem_info(folded.withColumn("cut", F.length("l_seq").cast("bigint")).join(near(regions, "seq"), "region")).drop("seq")
     return {"stems": found.checkpoint(), "spread": stems.edge_stats(chosen).checkpoint()}
 
 
