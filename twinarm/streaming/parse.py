@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import ensure_checkpoints
 from ..operators.reads import accepted_tag, with_arms
 from ..operators.sizes import near
 from ..sources.files import sam_fields
@@ -14,12 +15,15 @@ from ..sources.files import sam_fields
 
 def read_stream(spark: SparkSession, folder: str, genes: DataFrame) -> DataFrame:
     """Arms of the accepted lines of files that arrive in a folder, a row for each pair of genes that hold their starts; genes is a static table."""
+    ensure_checkpoints(genes)
+    genes = genes.checkpoint()  # row numbers of a file scan can't stand in a stream's plan
     lines = spark.readStream.text(folder)
     records = sam_fields(lines).where(~F.col("is_header") & accepted_tag(F.col("xg")))
     arms = with_arms(records.select(F.col("qname").alias("read_id"), F.col("rname").alias("region"), "pos", "cigar", "seq"))
     for side in "lr":
-        g = genes.select(F.col("region").alias("region"), F.col("g_start").alias(f"{side}_gs"), F.col("g_stop").alias(f"{side}_ge"), F.col("gene").alias(f"{side}_gene"))
-        arms = arms.join(near(g), (arms["region"] == g["region"]) & arms[f"{side}_start"].between(g[f"{side}_gs"], g[f"{side}_ge"])).drop(g["region"]).drop(f"{side}_gs", f"{side}_ge")
+        g = genes.select(F.col("region").alias("_region"), F.col("g_start").alias("_from"), F.col("g_stop").alias("_to"), F.col("gene").alias(f"{side}_gene"))
+        hit = (F.col("region") == F.col("_region")) & F.col(f"{side}_start").between(F.col("_from"), F.col("_to"))
+        arms = arms.join(near(g), hit).drop("_region", "_from", "_to")
     return arms
 
 
