@@ -160,6 +160,11 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, label: str) -
     return materialise(both.select("a", "b", "s", "t").mapInArrow(compare, "a bigint, b bigint"), f"{label}-links")
 
 
+def _close(ids: DataFrame) -> DataFrame:
+    """ids with a broadcast hint if it has few rows."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _likely(shared: DataFrame) -> DataFrame:
     """For each node the partner it shares most lists with, as first of the list and as the one before it."""
     pairs = None
@@ -204,9 +209,9 @@ def _candidates(rows: DataFrame) -> DataFrame:
     The key joins a token and both bands in one hash; a collision gives a candidate more, which the bound below rejects.
     """
     size = F.struct("nodes", "comp")
-    queries = _met(rows.select("tok", "node", "n", "nodes", "comp", "band", (F.col("n") - F.col("pos")).alias("rest")))
+    queries = _met(rows.where("asks").select("tok", "node", "n", "nodes", "comp", "band", (F.col("n") - F.col("pos")).alias("rest")))
     queries = queries.select(F.xxhash64("tok", "band", "other").alias("key"), "node", size.alias("own"))
-    matrix = rows.groupBy("tok", "nodes", "comp", "band", "grp").agg(F.min("n").alias("n"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+    matrix = rows.where("asked").groupBy("tok", "nodes", "comp", "band", "grp").agg(F.min("n").alias("n"), F.max(F.col("n") - F.col("pos")).alias("rest"))
     matrix = _met(matrix).select(F.xxhash64("tok", "other", "band").alias("key"), "grp", size.alias("theirs"))
     return queries.join(matrix, "key").where("own < theirs").select("node", "grp").distinct()
 
@@ -214,8 +219,8 @@ def _candidates(rows: DataFrame) -> DataFrame:
 def _opened(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes of different components whose shared prefix tokens allow them to be similar."""
     candidates = materialise(_candidates(rows), "candidates")
-    own = rows.join(candidates.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.collect_set("tok").alias("toks"))
-    unions = rows.join(candidates.select("grp").distinct(), "grp", "left_semi").groupBy("grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.collect_set("tok").alias("union"))
+    own = rows.join(_close(candidates.select("node").distinct()), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.collect_set("tok").alias("toks"))
+    unions = rows.join(_close(candidates.select("grp").distinct()), "grp", "left_semi").groupBy("grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.collect_set("tok").alias("union"))
     bound = candidates.join(own, "node").join(unions, "grp")
     lo = F.greatest(F.col("lo"), F.ceil(PART * F.col("n") / PER))
     hi = F.least(F.col("hi"), F.floor(PER * F.col("n") / PART))
@@ -223,7 +228,7 @@ def _opened(rows: DataFrame) -> DataFrame:
     need = F.least(_needed(lo, F.col("n")), _needed(hi, F.col("n"))) - 1
     opened = bound.where((lo <= hi) & (F.size(F.array_intersect("toks", "union")) >= need)).select("node", "grp", "n", "toks")
     opened = materialise(opened, "opened")
-    members = rows.join(opened.select("grp").distinct(), "grp", "left_semi").groupBy("grp", F.col("node").alias("x")).agg(F.first("n").alias("nx"), F.collect_set("tok").alias("own"))
+    members = rows.join(_close(opened.select("grp").distinct()), "grp", "left_semi").groupBy("grp", F.col("node").alias("x")).agg(F.first("n").alias("nx"), F.collect_set("tok").alias("own"))
     pairs = opened.join(members, "grp").where(_sizes_fit(F.col("n"), F.col("nx")))
     pairs = pairs.where(F.size(F.array_intersect("toks", "own")) >= _needed(F.col("n"), F.col("nx")))
     return pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
@@ -245,10 +250,12 @@ def links(docs: DataFrame, members: DataFrame, ranks: np.ndarray) -> DataFrame:
     roots = connected(near)
     roots = roots.join(roots.groupBy("root").agg(F.count("*").alias("nodes")), "root")
     # From here on only tokens count that occur in more than one component.
-    placed = shared.select("tok", "node", "n", "pos").join(roots, "node", "left").select("tok", "node", "n", "pos", F.coalesce("root", "node").alias("comp"), F.coalesce("nodes", F.lit(1)).alias("nodes"))
-    mixed = placed.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
+    placed = shared.select("tok", "node", "n", "pos").join(_close(roots), "node", "left").select("tok", "node", "n", "pos", F.coalesce("root", "node").alias("comp"), F.coalesce("nodes", F.lit(1)).alias("nodes")).repartition("tok")
+    size = F.struct("nodes", "comp")
+    mixed = placed.groupBy("tok").agg(F.min(size).alias("lo"), F.max(size).alias("hi")).where("lo < hi")
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("nodes") / GROUP_NODES))  # so that a group has a bound, however large its component
-    grouped = placed.join(mixed, "tok", "left_semi").withColumn("band", _group(F.col("n")))
+    # A token's largest component has none to ask there, and its smallest is asked by none.
+    grouped = placed.join(mixed, "tok").select("tok", "node", "n", "pos", "comp", "nodes", _group(F.col("n")).alias("band"), (size < F.col("hi")).alias("asks"), (size > F.col("lo")).alias("asked"))
     rows = materialise(grouped.withColumn("grp", F.xxhash64("comp", "band", part)), "matrix")
     return near.union(_verified(docs, nodes, _opened(rows), "far"))
 
