@@ -91,6 +91,16 @@ def test_jaccard(spark, monkeypatch, few):
     assert got == brute_components(rows)
 
 
+def test_candidates_of_groups_of_mixed_sizes(spark):
+    """A group's larger members may be similar to a query three bands up though its least one isn't."""
+    band = lambda n: int(np.floor(np.log(n) / np.log(jaccard.BAND)))
+    assert band(1060) == band(1080) == 49 and band(1436) == 52
+    rows = [(7, node, n, 0, comp, nodes, band(n), asks, not asks, grp) for node, n, comp, nodes, asks, grp in [(1, 1060, 1, 2, False, 10), (2, 1080, 1, 2, False, 10), (3, 1436, 3, 1, True, 30)]]
+    df = spark.createDataFrame(rows, "tok bigint, node bigint, n bigint, pos int, comp bigint, nodes bigint, band int, asks boolean, asked boolean, grp bigint")
+    assert [tuple(r) for r in jaccard._candidates(df).collect()] == [(3, 10)]
+    assert jaccard._candidates(df.where("node <> 2")).count() == 0
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.similar_components(docs(spark, [])).count() == 0
     assert [(r["doc_id"], r["component_id"]) for r in jaccard.similar_components(docs(spark, [(4, None)])).collect()] == [(4, 4)]

@@ -196,10 +196,10 @@ def _needed(x: Column, y: Column) -> Column:
 
 
 def _met(rows: DataFrame) -> DataFrame:
-    """rows (n, band, rest: the tokens from the shared one on) for each band of sizes that a similar set can have and the rest allows, as ``other``."""
+    """rows (n and most: the least and the largest size, band, rest: the tokens from the shared one on) for each band of sizes that a similar set can have and the rest allows, as ``other``."""
     each = rows.select("*", F.explode(F.sequence(F.col("band") - _REACH, F.col("band") + _REACH)).alias("other"))
     fewest = F.greatest(_least_of(F.col("other")), F.ceil(PART * F.col("n") / PER))
-    fits = (PER * F.col("n") >= PART * _least_of(F.col("other"))) & (PER * _least_of(F.col("other") + 2) >= PART * F.col("n"))
+    fits = (PER * F.col("most") >= PART * _least_of(F.col("other"))) & (PER * _least_of(F.col("other") + 2) >= PART * F.col("n"))
     return each.where(fits & (F.col("rest") >= least_overlap(fewest, F.col("n"))))
 
 
@@ -209,9 +209,9 @@ def _candidates(rows: DataFrame) -> DataFrame:
     The key joins a token and both bands in one hash; a collision gives a candidate more, which the bound below rejects.
     """
     size = F.struct("nodes", "comp")
-    queries = _met(rows.where("asks").select("tok", "node", "n", "nodes", "comp", "band", (F.col("n") - F.col("pos")).alias("rest")))
+    queries = _met(rows.where("asks").select("tok", "node", "n", F.col("n").alias("most"), "nodes", "comp", "band", (F.col("n") - F.col("pos")).alias("rest")))
     queries = queries.select(F.xxhash64("tok", "band", "other").alias("key"), "node", size.alias("own"))
-    matrix = rows.where("asked").groupBy("tok", "nodes", "comp", "band", "grp").agg(F.min("n").alias("n"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+    matrix = rows.where("asked").groupBy("tok", "nodes", "comp", "band", "grp").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"))
     matrix = _met(matrix).select(F.xxhash64("tok", "other", "band").alias("key"), "grp", size.alias("theirs"))
     return queries.join(matrix, "key").where("own < theirs").select("node", "grp").distinct()
 
