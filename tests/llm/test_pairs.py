@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from twinarm.llm import components, jaccard, shingles, suffix_dedup, topk
@@ -157,6 +158,21 @@ def test_suffix_dedup_edges(spark, monkeypatch):
     assert strings(*[c.tolist() for c in cut]) == strings(*whole)
 
 
+def test_suffix_dedup_across_parts(spark, monkeypatch):
+    """Documents that are anchored in parts lose what they would lose as a whole."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 700)
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    p = text(400)
+    rows = [(1, text(5000)), (2, text(500) + p + text(3000)), (3, text(650) + p + text(2000) + p)]
+    cloudpickle.register_pickle_by_value(suffix_dedup)  # so that workers get the small CHUNK
+    try:
+        got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.report(docs(spark, rows)).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(suffix_dedup)
+    assert got == brute_dedup(rows)
+
+
 def test_loser_tree_never_compares_known_prefixes(monkeypatch):
     rng = random.Random(0)
     runs = [sorted({bytes(rng.choice(b"ab") for _ in range(6)) + bytes(suffix_dedup.KEY - 6) for _ in range(rng.randint(0, 15))}) for _ in range(7)]

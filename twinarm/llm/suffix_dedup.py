@@ -70,7 +70,10 @@ def anchors(raws: list[bytes]) -> tuple[np.ndarray, ...]:
         out.append((d + first, a + shift, lo + shift, hi + shift, seeds[a]))
     if not out:
         return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
-    return tuple(np.concatenate(c) for c in zip(*out))
+    d, a, lo, hi, seeds = (np.concatenate(c) for c in zip(*out))
+    # Parts of a long document give an anchor once each: its strings on both sides of the boundary belong together.
+    fresh = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (a[1:] != a[:-1])]))
+    return d[fresh], a[fresh], lo[fresh], hi[np.append(fresh[1:], len(d)) - 1], seeds[fresh]
 
 
 def _parts(raws: list[bytes]):
