@@ -74,7 +74,7 @@ def base_pairs(structure: Column, cut: Column, l_start: Column, r_start: Column)
 
 
 def stem_info(stems: DataFrame) -> DataFrame:
-    """stems (structure, cut, l_start, r_start, seq of the region) with lefts, rights, n_bp, uu and uc.
+    """stems (structure, cut, l_start, r_start, seq of the region, or of a part of it that begins at seq_start) with lefts, rights, n_bp, uu and uc.
 
     A pair (l, r) counts the bases at l and r-1 unless l is the last left base, and those at l and r+1 unless it is the first; beyond the
     sequence nothing is counted.
@@ -85,7 +85,10 @@ def stem_info(stems: DataFrame) -> DataFrame:
     df = df.withColumn("basepairs", F.transform(pairs, lambda p: F.struct(p["lefts"].alias("l"), p["rights"].alias("r"))))
     lo, hi = F.array_min(F.transform("basepairs", lambda p: p["l"])), F.array_max(F.transform("basepairs", lambda p: p["l"]))
 
+    first = F.col("seq_start") if "seq_start" in stems.columns else F.lit(0)
+
     def base(at: Column) -> Column:
+        at = at - first
         return F.when((at >= 0) & (at < F.length("seq")), F.substr("seq", at.cast("int") + 1, F.lit(1))).otherwise("")
 
     def met(p: Column) -> Column:

@@ -380,13 +380,13 @@ def sg_arc(spark, sf_dir):
 
 def _patterned(spark, sf_dir) -> DataFrame:
     """Reads as stems under a structure that follows from their lengths: the first k bases of each arm, alternating in strength, are open or closed."""
-    r = views.arms(spark, sf_dir).join(F.broadcast(views.regions(spark).select("region", F.substring("seq", 1, 20000).alias("seq"))), "region").where("r_stop < 20000")
+    r = views.arms(spark, sf_dir).withColumns({"seq_start": F.col("l_start"), "seq": views.bases("l_start", "r_stop + 1")})
     n_l, n_r = F.col("l_stop") - F.col("l_start") + 1, F.col("r_stop") - F.col("r_start") + 1
     k = (F.col("read_id") % 9 + 2).cast("int")
     left = F.concat(F.lit("."), F.substring(F.lit("(((({(((((((((("), 1, 15), F.lit(""))
     left = F.rpad(F.substr(left, F.lit(1), k), n_l.cast("int"), F.lit("."))
     right = F.lpad(F.substr(F.lit("))}))))))))))))"), F.lit(1), k), n_r.cast("int"), F.lit("."))
-    return r.select(F.col("read_id").alias("dg"), F.lit("x").alias("l_gene"), F.lit("y").alias("r_gene"), F.lit(50).alias("ptile"), "region", "l_start", "r_start", "seq", F.concat(left, right).alias("structure"), n_l.alias("cut"))
+    return r.select(F.col("read_id").alias("dg"), F.lit("x").alias("l_gene"), F.lit("y").alias("r_gene"), F.lit(50).alias("ptile"), "region", "l_start", "r_start", "seq_start", "seq", F.concat(left, right).alias("structure"), n_l.alias("cut"))
 
 
 _STEM = f"""WITH {READS}, region AS (SELECT {BASES.format("0", "19999")} AS seq), s AS (

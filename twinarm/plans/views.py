@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bases of the derived region.
@@ -29,10 +29,14 @@ def arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("r_stop", F.col("r_start") + 11 + F.col("read_id") * 3 % 11)
 
 
+def bases(first: str, last: str) -> Column:
+    """The region's bases between two positions, computed from them."""
+    return F.expr(f"array_join(transform(sequence({first}, {last}), i -> substr('ACGT', cast((7 * i + (i * i) div 3) % 4 + 1 as int), 1)), '')")
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads with the sequences of their arms, computed base by base from their positions."""
-    base = "array_join(transform(sequence({0}_start, {0}_stop), i -> substr('ACGT', cast((7 * i + (i * i) div 3) % 4 + 1 as int), 1)), '')"
-    return arms(spark, sf_dir).withColumns({f"{s}_seq": F.expr(base.format(s)) for s in "lr"})
+    return arms(spark, sf_dir).withColumns({f"{s}_seq": bases(f"{s}_start", f"{s}_stop") for s in "lr"})
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
