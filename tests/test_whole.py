@@ -21,3 +21,9 @@ def test_stems_at_any_position(spark, monkeypatch):
         met = [base(x) + base(y - 1) for x, y in p if x < hi] + [base(x) + base(y + 1) for x, y in p if x > lo]
         want[k] = (len(p), met.count("TT"), met.count("TC") + met.count("CT"))
     assert {r["dg"]: tuple(r)[1:] for r in main.QUERIES["stem_info_crosslinks"](spark, "").collect()} == want
+
+
+def test_genes_of_all_rows(spark, monkeypatch):
+    part = spark.createDataFrame([(k, k % 50) for k in (1, 2000, 2001, 20_000)], "p_partkey bigint, p_size int")
+    monkeypatch.setattr(views, "table", lambda *_: part)
+    assert sorted(r["line"] for r in views.gene_rows(spark, "").collect()) == [1, 2000, 2001, 20_000]
