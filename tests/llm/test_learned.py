@@ -60,6 +60,25 @@ def test_clean_and_hostile_texts(spark, toxic):
     assert [r["score"] < 1e-6 for r in toxicity.score(docs(spark, rows), blank).collect()] == [True] * 9
 
 
+def test_character_model_counts_every_text(spark, monkeypatch):
+    """Labelled or not, in the sample or not: the same as letter by letter over all texts."""
+    rows = [(i, t) for i, t in enumerate(["the idiot", "the river", "(żółw) ßüß ßüß", "x \U0001f600 -- a\ta", "", None] * 4)] + [(90, "unlabelled zqj zqj, " * 50)]
+    d = docs(spark, [(*r, "en", "s") for r in rows])
+    y = spark.createDataFrame([(i, int(i % 6 == 0), 1) for i in range(24)], "doc_id bigint, toxic int, quality int")
+    want = np.zeros((toxicity.SIZE,) * 3)
+    for _, t in rows:
+        for w in filter(None, (toxicity._TRIM.sub("", x) for x in toxicity.normalise(t or "").split())):
+            c = [0, 0, *(toxicity.SYMBOLS.get(x, toxicity.OTHER) for x in w), 0]
+            for a, b, z in zip(c, c[1:], c[2:]):
+                want[a, b, z] += 1
+    assert np.allclose(toxicity.fit(d, y, 8).chars, toxicity.language_model(want))
+    counts, words = [np.zeros(toxicity.SIZE**3, np.int64) for _ in range(2)], {"aé": 3, "b": 1, "zażółć": 2}
+    toxicity.trigram_counts(words, counts[0])
+    monkeypatch.setattr(toxicity, "COUNTED_LETTERS", 1)
+    toxicity.trigram_counts(words, counts[1])
+    assert (counts[0] == counts[1]).all() and counts[0].sum() == 3 * 3 + 2 + 2 * 7
+
+
 def test_decoding_prefers_the_best_path(toxic):
     m = toxic[2]
     for token in ("1d10t", "7r4sh", "m0ron", "stup1d"):

@@ -8,7 +8,7 @@ one path only, so it needs no decoding.
 The score is logistic in the evidence of a text's words. The evidence of a word is the largest of its features (the word, its prefixes),
 each a smoothed log odds of toxic against clean training documents, kept where chance can't explain it. Near copies count once.
 
-Fitting takes at most about ``TRAIN_ROWS`` labelled rows, chosen by a hash of doc_id. Scoring takes every whole text and looks at
+The trigrams are counted over all texts. Lexicon and weights are fitted on at most about ``TRAIN_ROWS`` labelled rows, chosen by a hash of doc_id. Scoring takes every whole text and looks at
 nothing else. Defined results: null and empty texts have no evidence and get the score of that; repeated rows are scored alike; labels
 that are null or disagree on a doc_id: nulls are ignored, the larger one counts; without usable labels every score is 0;
 further columns are ignored.
@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,8 +33,10 @@ TRAIN_ROWS = 24_000
 LEXICON = 40_000
 #: Distinct tokens whose evidence a worker remembers.
 CACHE = 120_000
-#: Features that a task counts before it hands them on.
+#: Features or words that a task counts before it hands them on.
 COUNTED = 150_000
+#: Letters whose trigrams are counted at once.
+COUNTED_LETTERS = 1 << 20
 THRESHOLD = 0.7
 
 #: Characters and the letters they may stand for.
@@ -51,6 +54,7 @@ SUBSTITUTE, DROP, SHORTEN = 1.0, 0.5, 0.3
 SYMBOLS = {" ": 0} | {c: i + 1 for i, c in enumerate([*"abcdefghijklmnopqrstuvwxyz", *map(chr, range(0xDF, 0x100))])}
 OTHER = len(SYMBOLS)
 SIZE = OTHER + 1
+_CODES = np.array([SYMBOLS.get(chr(i), OTHER) for i in range(257)], np.int64)  # the last one stands for all beyond
 _SPACED = re.compile(r"(?<!\S)\S(?: {1,2}\S){3,}(?!\S)")
 _SUSPECT = re.compile(r"[0-9@$!|+*#€£§¡(]|(.)\1\1|[^\W\d_][.\-_'~/\\][^\W\d_]")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -67,15 +71,27 @@ def normalise(text: str) -> str:
     return text.lower()
 
 
-def trigram_counts(words, counts: np.ndarray) -> None:
-    """Add the character trigrams of words, each between spaces, to counts."""
+def trigram_counts(words: dict[str, int], counts: np.ndarray) -> None:
+    """Add the character trigrams of words, each between spaces and as often as it is given, to counts (flat)."""
+    held, size = [], 0
     for w in words:
-        a = b = 0
-        for ch in w:
-            c = SYMBOLS.get(ch, OTHER)
-            counts[a, b, c] += 1
-            a, b = b, c
-        counts[a, b, 0] += 1
+        held.append(w)
+        size += len(w) + 2
+        if size >= COUNTED_LETTERS:
+            _count(held, words, counts)
+            held, size = [], 0
+    if held:
+        _count(held, words, counts)
+
+
+def _count(held: list[str], words: dict[str, int], counts: np.ndarray) -> None:
+    points = np.frombuffer(("  " + "  ".join(held) + "  ").encode("utf-32-le", "surrogatepass"), "<u4")
+    c = _CODES[np.minimum(points, len(_CODES) - 1)]
+    times = np.repeat([words[w] for w in held], [len(w) + 2 for w in held])[1 : len(c) - 1]  # of the word at a trigram's middle
+    times = np.append(times, np.zeros(len(c) - 2 - len(times), np.int64))
+    at = (c[:-2] * SIZE + c[1:-1]) * SIZE + c[2:]
+    own = (c[1:-1] > 0) | (c[2:] > 0)  # not both spaces between two words
+    counts += np.bincount(at[own], times[own], len(counts)).astype(np.int64)
 
 
 def language_model(counts: np.ndarray) -> np.ndarray:
@@ -206,17 +222,31 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     return hashed.select("text", "toxic")
 
 
-def _character_model(train: DataFrame) -> np.ndarray:
+def _character_model(docs: DataFrame) -> np.ndarray:
+    """The language model of the words of all texts; it needs no labels. Tasks send at most SIZE cubed numbers each."""
+
     def count(batches):
-        counts = np.zeros((SIZE, SIZE, SIZE), np.int64)
+        counts, seen = np.zeros(SIZE**3, np.int64), Counter()
+
+        def add():
+            words = Counter()
+            for t, n in seen.items():
+                words[_TRIM.sub("", t)] += n
+            del words[""]
+            trigram_counts(words, counts)
+            seen.clear()
+
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                trigram_counts((w for w in map(lambda t: _TRIM.sub("", t), normalise(text).split()) if w), counts)
+                seen.update(normalise(text).split())
+                if len(seen) >= COUNTED:
+                    add()
+        add()
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_pydict({"k": pa.array(at), "n": pa.array(counts.ravel()[at])})
+        yield pa.RecordBatch.from_pydict({"k": pa.array(at), "n": pa.array(counts[at])})
 
     counts = np.zeros(SIZE**3)
-    for r in train.select("text").mapInArrow(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect():  # at most SIZE cubed
+    for r in docs.select("text").where(F.col("text").isNotNull()).mapInArrow(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect():  # at most SIZE cubed
         counts[r["k"]] = r["n"]
     return language_model(counts.reshape(SIZE, SIZE, SIZE))
 
@@ -270,7 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         return Model(np.zeros((SIZE, SIZE, SIZE)), {}, (-60.0, 0.0, 0.0))
-    chars = _character_model(train)
+    chars = _character_model(docs)
     model = Model(chars, _lexicon(train, chars, toxic, clean), (0.0, 0.0, 0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
