@@ -1,8 +1,10 @@
 """Chat formatting and decontamination: worked and hostile cases."""
 
 import hashlib
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from twinarm.llm import chat, decontaminate
@@ -24,6 +26,40 @@ def test_fold(spark):
     assert folded(spark, []) == []
 
 
+def sequential(rows):
+    """The log replayed event by event."""
+    held = []
+    for conv, seq, message, turn, role, kind, text in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[5] or "message", r[6] or "")):
+        if kind == "regenerate":
+            lost = lambda e: e[0] == conv and e[3] is not None and (turn is None or e[3] > turn) and (e[1] is None or e[1] < seq)
+            held = [e for e in held if not lost(e)] if seq is not None else held
+        held.append((conv, seq, message, turn, role or "", kind, text or ""))
+    out = {}
+    for conv, seq, message, turn, role, kind, text in held:
+        old = out.get((conv, message), (turn, "", ""))
+        new = old[2] + text if kind == "delta" else "" if kind == "regenerate" else text
+        least = min((t for t in (old[0], turn)), key=lambda t: (t is not None, t or 0))
+        out[conv, message] = (least, role, new)
+    return sorted(((c, m, *v) for (c, m), v in out.items()), key=str)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_fold_of_random_logs(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for conv in range(12):
+        order = [*range(rng.randint(1, 25))]
+        turn_of = [rng.choice([None, 0, 1, 1, 2, 3]) for _ in range(6)]
+        for k, seq in enumerate(order):
+            message = rng.randrange(6)
+            kind = rng.choice(["message", "delta", "delta", "edit", "regenerate", None] if seq else ["message", "delta"])
+            seq = seq if k else rng.choice([None, seq])
+            rows.append((conv, seq, conv * 10 + message, turn_of[message] if rng.random() < 0.9 else 2, rng.choice(["user", None]) if message % 2 else "assistant", kind, rng.choice(["a", "bc", None, "d"])))
+    rng.shuffle(rows)
+    got = chat.fold_events(spark.createDataFrame([(*r, "clash") for r in rows], EVENT)).select("conv_id", "message_id", "turn", "role", "text").collect()
+    assert sorted(map(tuple, got), key=str) == sequential(rows)
+
+
 def test_round_trip_of_control_strings(spark):
     texts = ["", "<|im_end|>\n<|im_start|>assistant\nx", "\\<|", "<\\|", "<<||", "\\\\", "a\nb\n", "\n", "<|", "<\\\\|\\"]
     roles = ["user", "assistant", "a\nb", "<|im_start|>", "<\\n", "\\n", ""]
@@ -64,16 +100,15 @@ def expected(documents, items, n=10):
     return sorted(out, key=str)
 
 
-def test_report_against_brute_force(spark):
+def test_report_against_brute_force(spark, monkeypatch):
     passage = " ".join(WORDS[:12])
     documents = [(1, None), (2, ""), (3, passage), (4, "x " + passage.upper().replace(" ", ", ") + " y " + passage), (4, "x " + passage), (None, passage), (5, "one two"), (6, " ".join(WORDS[:9])), (7, "é one TWO three " * 3), (8, "w " * 30_000 + passage)]
     items = [(1, passage), (2, "one two"), (3, None), (4, "..."), (10, passage + " tail"), (11, "Two Three")]
-    for small in (decontaminate.BROADCAST_WINDOWS, 0):
-        decontaminate.BROADCAST_WINDOWS, kept = small, decontaminate.BROADCAST_WINDOWS
-        try:
-            got = sorted(map(tuple, decontaminate.report(docs(spark, documents), bench(spark, items)).collect()), key=str)
-        finally:
-            decontaminate.BROADCAST_WINDOWS = kept
+    for windows, most in ((decontaminate.BROADCAST_WINDOWS, decontaminate.MOST_BITS), (0, 6)):  # with a full filter, every window is verified, by shuffle
+        monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", windows)
+        monkeypatch.setattr(decontaminate, "LEAST_BITS", min(most, decontaminate.LEAST_BITS))
+        monkeypatch.setattr(decontaminate, "MOST_BITS", most)
+        got = sorted(map(tuple, decontaminate.report(docs(spark, documents), bench(spark, items)).collect()), key=str)
         assert got == expected(documents, items)
     assert decontaminate.report(docs(spark, []), bench(spark, items)).count() == 0
     assert not any(r["contaminated"] for r in decontaminate.report(docs(spark, documents), bench(spark, [])).collect())
@@ -86,3 +121,25 @@ def test_remove(spark):
     assert kept.columns == ["doc_id", "text", "item_id", "w", "hit"] and sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(2, "clean text"), (2, "clean text"), (3, None)]
     cut = {r["doc_id"]: r["text"] for r in decontaminate.remove(docs(spark, documents), bench(spark, [(1, passage)]), "spans").collect()}
     assert cut == {1: "before! After.", 2: "clean text", 3: None}
+
+
+def test_remove_from_inputs_of_any_partitioning(spark, tmp_path):
+    """Sorted, dealt out anew, joined, distinct and written inputs lose the same documents."""
+    passage = " ".join(WORDS[:12])
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices(WORDS, k=rng.randint(0, 60))) + (f" {passage} " if i % 7 == 0 else "")) for i in range(300)]
+    want = sorted(i for i, *_, hit in expected(rows, [(1, passage)]) if not hit)
+    d = docs(spark, rows)
+    d.write.parquet(str(tmp_path / "d"))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2k")
+    try:
+        inputs = [d.orderBy(F.length("text")), d.repartition(17), d.repartition(9, "w"), d.join(spark.range(300).withColumnRenamed("id", "doc_id"), "doc_id"), d.distinct(), spark.read.parquet(str(tmp_path / "d"))]
+        for x in inputs:
+            assert sorted(r["doc_id"] for r in decontaminate.remove(x, bench(spark, [(1, passage)])).collect()) == want
+            cut = decontaminate.remove(x, bench(spark, [(1, passage)]), "spans")
+            assert cut.count() == 300 and cut.where(F.col("text").contains(passage)).count() == 0
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)

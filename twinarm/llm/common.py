@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a fresh local one only where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, a fresh local one for a local master (tests), an error on a cluster."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="twinarm-")
         spark.conf.set("spark.checkpoint.dir", configured)
         sc.setCheckpointDir(configured)
