@@ -5,10 +5,14 @@ A log row is (conv_id, seq, message_id, turn, role, kind, text). ``kind`` is one
 * ``message``     the message's text is this text (a whole message in one event)
 * ``delta``       append this text to the message
 * ``edit``        replace what the message holds with this text
-* ``regenerate``  discard what the message holds, and every message of a later turn logged before this event
+* ``regenerate``  discard what the message holds, and all that was logged before for later turns
 
-Defined results: a null text counts as empty, a null or unknown kind as ``message``, a null role as the empty role; events of
-equal seq fold in order of kind and text; turns that tie are ordered by first seq, role and text; repeated rows
+The log is partitioned by conversation once; within one, events are sorted by seq and folded message by message, and the messages are rendered in the same partition. A
+conversation's formatted text is one value in the end, so its events have to meet; a window passes over them and spills.
+
+Defined results: a null text counts as empty, a null or unknown kind as ``message``, a null role as the empty role; a null seq comes before all others; events of
+equal seq fold in order of kind and text and are not before each other; an event belongs to the turn that it names, its message to the least of those that are left, a null
+turn before all others; a message of which no event is left is gone; turns that tie are ordered by first seq, role and text; repeated rows
 with their own message_id are messages of their own; a null conv_id is a conversation like any other; an empty log gives no rows;
 further columns are ignored.
 """
@@ -43,40 +47,24 @@ def unescape_role(role: Column) -> Column:
 
 
 def fold_events(events: DataFrame) -> DataFrame:
-    """Final messages (conv_id, message_id, turn, role, first_seq, text).
-
-    Events meet by message, not by conversation, so a conversation that holds a third of the log still folds in parallel;
-    ``collect_list`` combines on the map side. Only regenerations need the order of a conversation; they use a running maximum.
-    """
-    kind = F.coalesce("kind", F.lit("message"))
-    event = F.struct("seq", kind.alias("kind"), F.coalesce("text", F.lit("")).alias("text"))
-    restart = ~F.col("kind").eqNullSafe("delta")
-    folded = (
-        events.select("conv_id", "message_id", "turn", F.coalesce("role", F.lit("")).alias("role"), "kind", "seq", event.alias("event"))
-        .groupBy("conv_id", "message_id")
-        .agg(
-            F.min("turn").alias("turn"),
-            F.max_by("role", "seq").alias("role"),
-            F.min("seq").alias("first_seq"),
-            F.max("seq").alias("last_seq"),
-            F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("regenerated"),
-            F.max(F.when(restart, F.col("seq"))).alias("restarted"),
-            F.sort_array(F.collect_list("event")).alias("log"),
-        )
-    )
-
-    def step(text: Column, e: Column) -> Column:
-        return F.when(e["kind"] == "delta", F.concat(text, e["text"])).when(e["kind"] == "regenerate", F.lit("")).otherwise(e["text"])
-
-    live = F.filter("log", lambda e: F.col("restarted").isNull() | (e["seq"] >= F.col("restarted")) | e["seq"].isNull())
-    text = F.when(F.size("log") == 1, step(F.lit(""), F.col("log")[0])).otherwise(F.aggregate(live, F.lit(""), step))
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    messages = folded.withColumn("text", text)
-    return (
-        messages.withColumn("cut", F.max(F.struct("regenerated", "turn")).over(order))
-        .where(F.col("cut.regenerated").isNull() | (F.col("cut.turn").eqNullSafe(F.col("turn"))) | (F.col("last_seq") > F.col("cut.regenerated")))
-        .select("conv_id", "message_id", "turn", "role", "first_seq", "text")
+    """Final messages (conv_id, message_id, turn, role, first_seq, text)."""
+    kind = F.when(F.col("kind").isin("delta", "edit", "regenerate"), F.col("kind")).otherwise(F.lit("message"))
+    named = events.select("conv_id", "message_id", "turn", F.coalesce("role", F.lit("")).alias("role"), "seq", kind.alias("kind"), F.coalesce("text", F.lit("")).alias("text"))
+    # The last regeneration of an earlier turn: what was logged before it is discarded.
+    earlier = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, -1)
+    cut = F.when(F.col("turn").isNotNull(), F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).over(earlier))
+    kept = named.withColumn("cut", cut).where(F.col("cut").isNull() | F.coalesce(F.col("seq") >= F.col("cut"), F.lit(False)))
+    folded = kept.groupBy("conv_id", "message_id").agg(
+        F.min(F.struct(F.col("turn").isNotNull(), "turn")).alias("turn"),
+        F.max_by("role", F.struct("seq", "kind", "text")).alias("role"),
+        F.min(F.struct(F.col("seq").isNotNull(), "seq")).alias("first_seq"),
+        F.sort_array(F.collect_list(F.struct("seq", "kind", "text"))).alias("log"),
     )
+    # What counts begins at the last event that isn't a delta.
+    last = F.array_max(F.transform("log", lambda e, i: F.when(e["kind"] != "delta", i).otherwise(0)))
+    live = F.slice("log", last + 1, F.size("log") - last)
+    text = F.array_join(F.transform(live, lambda e: F.when(e["kind"] == "regenerate", "").otherwise(e["text"])), "")
+    return folded.select("conv_id", "message_id", F.col("turn.turn").alias("turn"), "role", F.col("first_seq.seq").alias("first_seq"), text.alias("text"))
 
 
 def render(messages: DataFrame) -> DataFrame:
