@@ -3,7 +3,7 @@
 BPE merges never cross the pieces into which a pre-tokenizer cuts a text, so ids are the concatenation of the pieces' ids. For the two
 pre-tokenizers below the cuts are found in numpy and each distinct piece is given to the library once. Texts with
 characters outside ASCII and Latin-1, where regex engines could differ, and tokenizer files with other pre-tokenizers go to the library whole.
-Strings of special tokens in a text are ordinary text.
+Texts with the string of an added token, which the library takes for that token, go to it whole as well.
 """
 
 from __future__ import annotations
@@ -87,9 +87,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        added = [re.escape(t["content"]) for t in spec.get("added_tokens") or []]
+        self.added = re.compile("|".join(added), re.I) if added else None
         self.rule, self.lower = None, False
         pre = spec.get("pre_tokenizer") or {}
         parts = pre.get("pretokenizers") or [{}]
@@ -194,7 +195,7 @@ class Encoder:
         counts = np.zeros(len(texts), np.int64)
         out: list[np.ndarray] = []
         for held in self._chunks([t or "" for t in texts]):
-            fast = [self.rule is not None and not _FOREIGN.search(s) for _, s in held]
+            fast = [self.rule is not None and not _FOREIGN.search(s) and not (self.added and self.added.search(s)) for _, s in held]
             ids, n = self._fast([s for (_, s), f in zip(held, fast) if f])
             if all(fast):
                 out.append(ids)
