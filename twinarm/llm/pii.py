@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 KINDS = ("email", "ip", "card", "phone")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+#: Pieces of the base patterns, each of which passes over a text once; possessive, so that a long run is never tried from its middle.
+_LOCAL, _DOMAIN = re.compile(r"[A-Za-z0-9._%+-]*+"), re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_DOTTED, _CARD = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)++"), re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT, _NOT_DIGIT = re.compile("[0-9]"), re.compile("[^0-9]+")
 
@@ -37,14 +37,37 @@ def luhn(digits: str) -> bool:
     return (sum(odd) + sum(d - 9 if d > 9 else d for d in even)) % 10 == 0
 
 
+def _emails(text: str):
+    """Leftmost addresses: around each ``@`` the run of name characters that begins after the address before, and a domain with a dot."""
+    end, at = 0, text.find("@")
+    while at >= 0:
+        host = _DOMAIN.match(text, at + 1)
+        size = _LOCAL.match(text[end:at][::-1]).end() if host else 0
+        if size:
+            yield at - size, host.end()
+            end = host.end()
+            at = text.find("@", end)
+        else:
+            end, at = at + 1, text.find("@", at + 1)
+
+
+def _octet(part: str) -> bool:
+    digits = part.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(kind number, start, end) of the base patterns, by kind, then start."""
-    out = []
-    if "@" in text:
-        out += [(0, m.start(), m.end()) for m in _EMAIL.finditer(text)]
+    """(kind number, start, end) of the base patterns, by kind, then start, in time that grows with the text's length."""
+    out = [(0, s, e) for s, e in _emails(text)]
     if not _DIGIT.search(text):
         return out
-    out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    for m in _DOTTED.finditer(text):  # every four numbers of a dotted chain are a match of the pattern
+        at, parts = m.start(), m[0].split(".")
+        for k in range(0, len(parts) - 3, 4):
+            size = sum(map(len, parts[k : k + 4])) + 3
+            if all(map(_octet, parts[k : k + 4])):
+                out.append((1, at, at + size))
+            at += size + 1
     for m in _CARD.finditer(text):
         digits = _NOT_DIGIT.sub("", m[0])
         if 13 <= len(digits) <= 19 and luhn(digits):
@@ -391,14 +414,17 @@ def all_spans(text: str, tags: np.ndarray, base: list[tuple[int, int, int]]) ->
     if not tags.any():
         return base
     edges = np.flatnonzero(np.diff(tags, prepend=0, append=0))
-    added = []
+    held, added = np.zeros(len(text) + 1, np.int64), []
+    for _, a, b in base:
+        held[a + 1 : b + 1] = 1
+    np.cumsum(held, out=held)  # characters of base spans before each place
     for s, e in zip(edges.tolist(), edges[1:].tolist()):
         kind = int(tags[s]) - 1
         if kind < 0:
             continue
         own = text[s:e]
         s, e = s + len(own) - len(own.lstrip(" \n,.;:")), e - len(own) + len(own.rstrip(" \n,.;:"))
-        if s < e and _plausible(kind, text[s:e]) and not any(a < e and s < b for _, a, b in base):
+        if s < e and held[s] == held[e] and _plausible(kind, text[s:e]):
             added.append((kind, s, e))
     return sorted(base + added)
 
