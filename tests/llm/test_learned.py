@@ -1,5 +1,6 @@
 """Toxicity, quality and personal data: held-out accuracy, brute force and hostile rows."""
 
+import itertools
 import os
 import random
 import re
@@ -68,7 +69,7 @@ def test_character_model_counts_every_text(spark, monkeypatch):
     y = spark.createDataFrame([(i, int(i % 6 == 0), 1) for i in range(24)], "doc_id bigint, toxic int, quality int")
     want = np.zeros((toxicity.SIZE,) * 3)
     for _, t in rows:
-        for w in filter(None, (toxicity._TRIM.sub("", x) for x in toxicity.normalise(t or "").split())):
+        for w in filter(None, (toxicity.trim(x) for x in toxicity.normalise(t or "").split())):
             c = [0, 0, *(toxicity.SYMBOLS.get(x, toxicity.OTHER) for x in w), 0]
             for a, b, z in zip(c, c[1:], c[2:]):
                 want[a, b, z] += 1
@@ -80,19 +81,32 @@ def test_character_model_counts_every_text(spark, monkeypatch):
     assert (counts[0] == counts[1]).all() and counts[0].sum() == 3 * 3 + 2 + 2 * 7
 
 
-def test_decoding_prefers_the_best_path(toxic):
-    m = toxic[2]
-    for token in ("1d10t", "7r4sh", "m0ron", "stup1d"):
-        options = toxicity.lattice(token)
+def path_score(symbols, model):
+    s = [0, 0, *(toxicity.SYMBOLS.get(ch, toxicity.OTHER) for ch in symbols), 0]
+    return sum(model[a, b, z] for a, b, z in zip(s, s[1:], s[2:]))
+
+
+@pytest.mark.parametrize("token", ["1d10t", "7r4sh", "m0ron", "stup1d", "s-t.u", "a*b#c", "xxxx1", "$$a!!", "(a00*)"])
+def test_decoding_finds_the_best_path(toxic, token):
+    m = toxic[2].chars
+    options = [*toxicity.lattice(token), [(" ", 0.0)]]
+    best = max(((path_score("".join(o[0] for o in p[:-1]), m) - sum(o[1] for o in p), "".join(o[0] for o in p)) for p in itertools.product(*options)), key=lambda x: x[0])
+    for way in (toxicity._sparse, toxicity._dense):
+        text, end = way(options, m, (0, 0))
+        cost = best[0] if text == best[1] else max(path_score("".join(o[0] for o in p[:-1]), m) - sum(o[1] for o in p) for p in itertools.product(*options) if "".join(o[0] for o in p) == text)
+        assert cost == pytest.approx(best[0]) and end[1] == 0
 
-        def cost(text_options):
-            text, c = "".join(o[0] for o in text_options), sum(o[1] for o in text_options)
-            s = [0, 0, *(toxicity.SYMBOLS.get(ch, toxicity.OTHER) for ch in text), 0]
-            return sum(m.chars[a, b, z] for a, b, z in zip(s, s[1:], s[2:])) - c, text
 
-        import itertools
+@pytest.mark.parametrize("token", ["a" + "*#" * 10_000, "a1" * 10_000, "a" + "!" * 200_000 + "a", "#" * 300_000 + "a", "a." * 20_000, "a " * 50_000, "q" * 1_000_000])
+def test_decoding_of_long_tokens(toxic, token):
+    began = time.perf_counter()
+    toxic[2].signals(token, {})
+    assert time.perf_counter() - began < 20
+
 
-        assert toxicity.decode(token, m.chars) == max(cost(p) for p in itertools.product(*options))[1]
+def test_restored_text(toxic):
+    assert toxicity.restore("The  1d10t, of m0r0n and i d i o t!", toxic[2].chars).split()[:4] == ["the", "idiot", "of", "moron"]
+    assert toxicity.restore(None, toxic[2].chars) == toxicity.restore("", toxic[2].chars) == ""
 
 
 def test_quality(spark):

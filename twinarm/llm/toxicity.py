@@ -2,13 +2,13 @@
 
 Each suspicious token (look-alike digits and symbols, letters repeated three times or more, separators inside) and each run of
 single spaced-out characters becomes a lattice: a position offers the character itself and what it may stand for, a repetition one or two letters, a
-separator nothing or itself. The best path under a character trigram model is the restored text. A token of plain letters has
-one path only, so it needs no decoding.
+separator nothing or itself. The best path under a character trigram model takes the token's place in the restored text. A token of plain letters has
+one path only, so it needs no decoding. A lattice of more than ``STRETCH`` positions is decoded in stretches, each from where the last one ended.
 
-The score is logistic in the evidence of a text's words. The evidence of a word is the largest of its features (the word, its prefixes),
-each a smoothed log odds of toxic against clean training documents, kept where chance can't explain it. Near copies count once.
+The score is logistic in the evidence of the restored text's words: the largest of a word, and that of a prefix that several words share, with their number. Features are words, their prefixes, and prefixes that several words
+of a text share; each counts by a smoothed log odds of toxic against clean training documents, kept where chance can't explain it. Near copies share one count.
 
-The trigrams are counted over all texts. Lexicon and weights are fitted on at most about ``TRAIN_ROWS`` labelled rows, chosen by a hash of doc_id. Scoring takes every whole text and looks at
+The trigrams are counted over all texts. Features and weights are fitted on at most about ``TRAIN_ROWS`` labelled rows, chosen by a hash of doc_id. Scoring takes every whole text and looks at
 nothing else. Defined results: null and empty texts have no evidence and get the score of that; repeated rows are scored alike; labels
 that are null or disagree on a doc_id: nulls are ignored, the larger one counts; without usable labels every score is 0;
 further columns are ignored.
@@ -24,19 +24,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Labelled rows to fit on, about; a fraction is chosen by hash where there are more.
 TRAIN_ROWS = 24_000
-#: Features kept by the model.
-LEXICON = 40_000
-#: Distinct tokens whose evidence a worker remembers.
-CACHE = 120_000
+#: Distinct tokens whose evidence a worker remembers, and the longest of them; longer ones are scored anew each time.
+CACHE, CACHED_LETTERS = 120_000, 64
 #: Features or words that a task counts before it hands them on.
 COUNTED = 150_000
-#: Letters whose trigrams are counted at once.
-COUNTED_LETTERS = 1 << 20
+#: Letters whose trigrams are counted at once, and letters of features or tokens that a task holds.
+COUNTED_LETTERS, HELD_LETTERS = 1 << 20, 1 << 23
+#: Positions of a lattice decoded together, and transitions a position beyond which that is done on matrices.
+STRETCH, DENSE = 160, 300
+#: Documents of the average kind that every feature is counted in besides its own.
+PRIOR = 4.0
 THRESHOLD = 0.7
 
 #: Characters and the letters they may stand for.
@@ -58,8 +60,7 @@ _CODES = np.array([SYMBOLS.get(chr(i), OTHER) for i in range(257)], np.int64)  #
 _SPACED = re.compile(r"(?<!\S)\S(?: {1,2}\S){3,}(?!\S)")
 _SUSPECT = re.compile(r"[0-9@$!|+*#€£§¡(]|(.)\1\1|[^\W\d_][.\-_'~/\\][^\W\d_]")
 _LETTER = re.compile(r"[^\W\d_]")
-_TRIM = re.compile(r"^[^\w@$€£!*#|+(]+|[\W_]+$")
-_BARE = re.compile(r"^[\W_]+|[\W_]+$")
+_WORD, _NOT_END = re.compile(r"[\w@$€£!*#|+(]"), re.compile(r"[\W_]*+")
 _WIDE = re.compile("[^\x00-\xff]|\xad")
 _RUN = re.compile(r"(.)\1*", re.S)
 
@@ -103,6 +104,12 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return np.log((counts + 10 * bi[None]) / (counts.sum(2, keepdims=True) + 10))
 
 
+def trim(token: str) -> str:
+    """The token without punctuation around it; symbols that may stand for a first letter stay."""
+    first = _WORD.search(token)
+    return token[first.start() : len(token) - _NOT_END.match(token[::-1]).end()] if first else ""
+
+
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """Options (text, cost) by position."""
     out = []
@@ -112,52 +119,102 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             out.append([(ch * n if ch != " " else " ", 0.0), ("", DROP)])
             continue
         stands = [(ch, 0.0), *((x, SUBSTITUTE) for x in LOOKALIKE.get(ch, ""))]
-        if ch in "*#.":
-            stands.append(("", DROP))
+        gone = [] if ch.isalnum() else [("", DROP)]
         if n >= 3 or n == 2 and ch in LOOKALIKE:
-            out.append([(x * k, cost + SHORTEN) for x, cost in stands for k in (1, 2)] + [(ch * n, 0.0)])
+            out.append([(x * k, cost + SHORTEN) for x, cost in stands for k in (1, 2)] + [(ch * n, 0.0)] + gone)
         else:
-            out += [stands] * n
+            out += [stands + gone] * n
     return out
 
 
-def decode(token: str, model: np.ndarray) -> str:
-    """The best path through the token's lattice."""
-    beam = {(0, 0): (0.0, "")}
-    for options in [*lattice(token), [(" ", 0.0)]]:
+_as_list: list = [None, None]
+
+
+def _flat(model: np.ndarray) -> list[float]:
+    """The model as a flat list, which is faster to read one by one; the last one is kept."""
+    if _as_list[0] is not model:
+        _as_list[:] = model, model.ravel().tolist()
+    return _as_list[1]
+
+
+def _sparse(options: list[list[tuple[str, float]]], model: np.ndarray, start: tuple[int, int]) -> tuple[str, tuple[int, int]]:
+    """The best path's text and last two symbols, state by state."""
+    beam, flat = {start: (0.0, "")}, _flat(model)
+    for own in options:
+        own = [(piece, cost, [SYMBOLS.get(ch, OTHER) for ch in piece]) for piece, cost in own]
         reached: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, text) in beam.items():
-            for piece, cost in options:
+            for piece, cost, symbols in own:
                 x, y, total = a, b, score - cost
-                for ch in piece:
-                    z = SYMBOLS.get(ch, OTHER)
-                    total += model[x, y, z]
+                for z in symbols:
+                    total += flat[(x * SIZE + y) * SIZE + z]
                     x, y = y, z
                 if (x, y) not in reached or total > reached[x, y][0]:
                     reached[x, y] = (total, text + piece)
         beam = reached
-    return max(beam.values())[1].strip()
+    state = max(beam, key=beam.get)
+    return beam[state][1], state
+
+
+def _dense(options: list[list[tuple[str, float]]], model: np.ndarray, start: tuple[int, int]) -> tuple[str, tuple[int, int]]:
+    """As :func:`_sparse`, on matrices over all pairs of symbols."""
+    score = np.full((SIZE, SIZE), -np.inf)
+    score[start] = 0.0
+    trail = []
+    for own in options:
+        best, choice, source = np.full((SIZE, SIZE), -np.inf), np.zeros((SIZE, SIZE), np.int16), np.zeros((SIZE, SIZE), np.int16)
+        rows, cols = np.flatnonzero(np.isfinite(score).any(1)), np.flatnonzero(np.isfinite(score).any(0))
+        live = score[np.ix_(rows, cols)]
+        letters = [(k, SYMBOLS.get(p, OTHER), cost) for k, (p, cost) in enumerate(own) if len(p) == 1]
+        if letters:
+            paths = live[:, :, None] + model[np.ix_(rows, cols, [z for _, z, _ in letters])]
+            top, at = paths.max(0), rows[paths.argmax(0)]
+            for j, (k, z, cost) in enumerate(letters):
+                more = cols[top[:, j] - cost > best[cols, z]]
+                i = np.searchsorted(cols, more)
+                best[more, z], choice[more, z], source[more, z] = top[i, j] - cost, k, at[i, j] * SIZE + more
+        for k, (piece, cost) in enumerate(own):
+            if not piece:
+                more = score - cost > best
+                best[more], choice[more], source[more] = score[more] - cost, k, np.flatnonzero(more)
+            elif len(piece) > 1:
+                z = [SYMBOLS.get(ch, OTHER) for ch in piece]
+                paths = live + model[rows][:, cols, z[0]] + model[cols, z[0], z[1]][None, :]
+                a, b = np.unravel_index(paths.argmax(), paths.shape)
+                value = paths[a, b] - cost + sum(model[x, y, t] for x, y, t in zip(z, z[1:], z[2:]))
+                if value > best[z[-2], z[-1]]:
+                    best[z[-2], z[-1]], choice[z[-2], z[-1]], source[z[-2], z[-1]] = value, k, rows[a] * SIZE + cols[b]
+        trail.append((choice, source))
+        score = best
+    state = end = np.unravel_index(score.argmax(), score.shape)
+    text = []
+    for own, (choice, source) in zip(reversed(options), reversed(trail)):
+        text.append(own[choice[state]][0])
+        state = divmod(int(source[state]), SIZE)
+    return "".join(reversed(text)), (int(end[0]), int(end[1]))
 
 
-def features(word: str) -> list[str]:
-    """What a word shows: itself and its prefixes of 3 to 7 letters."""
-    return ["=" + word, *(f"^{word[:k]}" for k in range(3, min(8, len(word) + 1)))]
+def decode(token: str, model: np.ndarray) -> str:
+    """The best path through the token's lattice."""
+    options, text, state = [*lattice(token), [(" ", 0.0)]], [], (0, 0)
+    for at in range(0, len(options), STRETCH):
+        own = options[at : at + STRETCH]
+        sizes = [*map(len, own)]
+        transitions = sum(x * y * z for x, y, z in zip(sizes, sizes[1:], sizes[2:]))
+        piece, state = (_dense if transitions > DENSE * len(own) else _sparse)(own, model, state)
+        text.append(piece)
+    return "".join(text).strip()
 
 
 def restored(token: str, model: np.ndarray) -> list[str]:
-    """The token without punctuation around it and, if it is suspicious, its restored form."""
-    core = _TRIM.sub("", token)
-    found = [core] if core else []
+    """The words that take a token's place in the restored text."""
+    core = trim(token)
     if _SUSPECT.search(core) and _LETTER.search(core):
-        found += decode(core, model).split()
-    if (bare := _BARE.sub("", token)) != core:
-        found.append(bare)
-    if core != token and token[:1] in LOOKALIKE and _LETTER.search(token):
-        found += decode(token, model).split()
-    return found + [_RUN.sub(r"\1", w) for w in found[1:]]
+        return decode(core, model).split()
+    return [core] if core else []
 
 
-def words_of(text: str, model: np.ndarray) -> set[str]:
+def tokens_of(text: str, model: np.ndarray) -> set[str]:
     """Tokens of a normalised text, and what its spaced-out runs decode to."""
     tokens = set(text.split())
     for m in _SPACED.finditer(text):
@@ -165,36 +222,59 @@ def words_of(text: str, model: np.ndarray) -> set[str]:
     return tokens
 
 
+def restore(text: str | None, model: np.ndarray) -> str:
+    """The restored text, its spaced-out runs decoded and each token in its place."""
+    text = _SPACED.sub(lambda m: decode(m[0], model), normalise(text or ""))
+    return " ".join(w for t in text.split() for w in restored(t, model))
+
+
+def prefixes(word: str) -> list[str]:
+    """The prefixes of 3 to 7 letters."""
+    return [word[:k] for k in range(3, min(8, len(word) + 1))]
+
+
+def features(words: set[str]) -> set[str]:
+    """What a text's words show: themselves, their prefixes, and prefixes that two words share."""
+    begun = Counter(p for w in words for p in prefixes(w))
+    return {"=" + w for w in words} | {"^" + p for p in begun} | {"^^" + p for p, n in begun.items() if n > 1}
+
+
 @dataclass
 class Model:
-    """A fitted scorer. Its size has a bound: SIZE cubed probabilities and LEXICON features."""
+    """A fitted scorer: SIZE cubed probabilities, and the features that chance doesn't explain in the rows that it was fitted on."""
 
     chars: np.ndarray
     lexicon: dict[str, float]
-    weights: tuple[float, float, float]
+    weights: tuple[float, ...]
 
-    def evidence(self, token: str, cache: dict[str, float]) -> float:
+    def shown(self, token: str, cache: dict[str, tuple]) -> tuple:
+        """((word, evidence, known prefixes that count when shared), ...) of the words in a token's place that have any."""
         found = cache.get(token)
         if found is None:
-            found = max((self.lexicon.get(f, 0.0) for w in restored(token, self.chars) for f in features(w)), default=0.0)
-            if len(cache) >= CACHE:
-                cache.clear()
-            cache[token] = found
+            found = ()
+            for w in restored(token, self.chars):
+                begun = prefixes(w)
+                own = max([self.lexicon.get("=" + w, 0.0), *(self.lexicon.get("^" + p, 0.0) for p in begun)])
+                shared = tuple(p for p in begun if "^^" + p in self.lexicon)
+                if own or shared:
+                    found += ((w, own, shared),)
+            if len(token) <= CACHED_LETTERS:
+                if len(cache) >= CACHE:
+                    cache.clear()
+                cache[token] = found
         return found
 
-    def signals(self, text: str | None, cache: dict[str, float]) -> tuple[float, float]:
-        """The strongest evidence, and log(1 + number of words with evidence)."""
-        best, n = 0.0, 0
-        for token in words_of(normalise(text or ""), self.chars):
-            e = self.evidence(token, cache)
-            if e > 0:
-                n += 1
-                best = max(best, e)
-        return best, math.log1p(n)
+    def signals(self, text: str | None, cache: dict[str, tuple]) -> tuple[float, float, float]:
+        """Of the restored text: the strongest evidence of a word, that of a prefix that words share, and the latter times the logarithm of half the words with such prefixes."""
+        words = {x for token in tokens_of(normalise(text or ""), self.chars) for x in self.shown(token, cache)}
+        begun = Counter(p for _, _, shared in words for p in shared)
+        best = max((self.lexicon["^^" + p] for p, n in begun.items() if n > 1), default=0.0)
+        n = max(2, sum(any(begun[p] > 1 for p in shared) for _, _, shared in words))
+        return max((own for _, own, _ in words), default=0.0), best, best * math.log(n / 2)
 
-    def score(self, best: float, n: float) -> float:
-        b, w1, w2 = self.weights
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, b + w1 * best + w2 * n))))
+    def score(self, *signals: float) -> float:
+        value = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], signals))
+        return 1 / (1 + math.exp(-max(-60.0, min(60.0, value))))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -203,35 +283,33 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """About that many labelled (text, toxic) rows outside the held-out part, near copies once: one row for each of two minimal shingle hashes."""
+    """About that many labelled rows outside the held-out part: text, toxic and weight. Rows that share a minimal shingle hash, near copies, share one weight."""
     marked = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     n = marked.count()
     if n > rows:
         marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * rows / n))
-    joined = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(marked), "doc_id")  # at most rows ids
+    joined = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(marked), "doc_id")  # at most about rows ids
 
     def least(seed: int) -> Column:
         return F.array_min(F.transform("g", lambda g: F.xxhash64(g, F.lit(seed))))
 
     split = joined.withColumn("w", F.split(F.lower("text"), "\\s+"))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.xxhash64(F.get("w", i - 1), F.get("w", i), F.get("w", i + 1)))
-    hashed = split.select("doc_id", "text", "toxic", grams.alias("g"))
-    hashed = hashed.select("doc_id", "text", "toxic", *[least(k).alias(f"m{k}") for k in (1, 2)])
-    for m in ("m1", "m2"):
-        hashed = hashed.groupBy(m, "toxic").agg(F.min_by(F.struct("doc_id", "text", "m2"), "doc_id").alias("d")).select("d.*", "toxic")
-    return hashed.select("text", "toxic")
+    hashed = split.select("text", "toxic", grams.alias("g")).select("text", "toxic", least(1).alias("m1"), least(2).alias("m2"))
+    alike = F.greatest(*[F.count("*").over(Window.partitionBy(m, "toxic")) for m in ("m1", "m2")])
+    return hashed.select("text", "toxic", (1 / alike).alias("weight"))
 
 
 def _character_model(docs: DataFrame) -> np.ndarray:
     """The language model of the words of all texts; it needs no labels. Tasks send at most SIZE cubed numbers each."""
 
     def count(batches):
-        counts, seen = np.zeros(SIZE**3, np.int64), Counter()
+        counts, seen, size = np.zeros(SIZE**3, np.int64), Counter(), 0
 
         def add():
             words = Counter()
             for t, n in seen.items():
-                words[_TRIM.sub("", t)] += n
+                words[trim(t)] += n
             del words[""]
             trigram_counts(words, counts)
             seen.clear()
@@ -239,8 +317,10 @@ def _character_model(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 seen.update(normalise(text).split())
-                if len(seen) >= COUNTED:
+                size += len(text)
+                if len(seen) >= COUNTED or size >= 4 * HELD_LETTERS:
                     add()
+                    size = 0
         add()
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"k": pa.array(at), "n": pa.array(counts[at])})
@@ -251,43 +331,46 @@ def _character_model(docs: DataFrame) -> np.ndarray:
     return language_model(counts.reshape(SIZE, SIZE, SIZE))
 
 
-def _lexicon(train: DataFrame, chars: np.ndarray, toxic: int, clean: int) -> dict[str, float]:
+def _lexicon(train: DataFrame, chars: np.ndarray, toxic: float, clean: float) -> dict[str, float]:
     """Features whose share of toxic documents chance can't explain, with smoothed log odds."""
 
     def count(batches):
-        seen: dict[str, list[int]] = {}
+        seen: dict[str, list[float]] = {}
+        size = 0
 
         def counted():
-            out = pa.RecordBatch.from_pydict({"f": pa.array(seen.keys(), pa.string()), "c": pa.array([v[0] for v in seen.values()], pa.int64()), "t": pa.array([v[1] for v in seen.values()], pa.int64())})
+            out = pa.RecordBatch.from_pydict({"f": pa.array(seen.keys(), pa.string()), "c": pa.array([v[0] for v in seen.values()], pa.float64()), "t": pa.array([v[1] for v in seen.values()], pa.float64())})
             seen.clear()
             return out
 
         for batch in batches:
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                for f in {f for t in words_of(normalise(text), chars) for w in restored(t, chars) for f in features(w)}:
-                    seen.setdefault(f, [0, 0])[y] += 1
-                if len(seen) >= COUNTED:
+            for text, y, weight in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "weight"))):
+                for f in features({w for t in tokens_of(normalise(text), chars) for w in restored(t, chars)}):
+                    seen.setdefault(f, [0.0, 0.0])[y] += weight
+                    size += len(f)
+                if len(seen) >= COUNTED or size >= HELD_LETTERS:
                     yield counted()
+                    size = 0
         yield counted()
 
-    counts = train.mapInArrow(count, "f string, c bigint, t bigint").groupBy("f").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+    counts = train.mapInArrow(count, "f string, c double, t double").groupBy("f").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
     base = toxic / (toxic + clean)
     n, rate = F.col("t") + F.col("c"), F.col("t") / (F.col("t") + F.col("c"))
     # Chernoff's bound on so many toxic documents among n, against the number of features tried.
     surprise = n * (rate * F.log(rate / base) + F.when(rate < 1, (1 - rate) * F.log((1 - rate) / (1 - base))).otherwise(0.0))
-    odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
-    kept = counts.where((F.col("t") >= 2) & (rate > base)).select("f", surprise.alias("s"), odds.alias("w")).where((F.col("s") > 11.5) & (F.col("w") > 1.5))
-    return {r["f"]: r["w"] for r in kept.orderBy(F.desc("s"), "f").limit(LEXICON).collect()}
+    odds = F.log((F.col("t") + PRIOR * base) / (F.col("c") + PRIOR * (1 - base))) - math.log(base / (1 - base))
+    kept = counts.where((F.col("t") >= 2 - 1e-6) & (rate > base)).select("f", surprise.alias("s"), odds.alias("w")).where((F.col("s") > 11.5) & (F.col("w") > 1.5))
+    return {r["f"]: r["w"] for r in kept.collect()}
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Ridge logistic regression by Newton steps."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
+    """Ridge logistic regression of weighted rows by Newton steps."""
     a = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(a.shape[1])
     ridge = np.diag([1e-3, *[0.05] * x.shape[1]])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        w -= np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge, a.T @ (p - y) + ridge @ w)
+        w -= np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + ridge, a.T @ (weight * (p - y)) + ridge @ w)
     return tuple(float(v) for v in w)
 
 
@@ -296,22 +379,22 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     from .common import materialise
 
     train = materialise(training_rows(docs, labels, rows), "toxic-train")
-    sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.sum("weight").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
-        return Model(np.zeros((SIZE, SIZE, SIZE)), {}, (-60.0, 0.0, 0.0))
+        return Model(np.zeros((SIZE, SIZE, SIZE)), {}, (-60.0, 0.0, 0.0, 0.0))
     chars = _character_model(docs)
-    model = Model(chars, _lexicon(train, chars, toxic, clean), (0.0, 0.0, 0.0))
+    model = Model(chars, _lexicon(train, chars, toxic, clean), (0.0, 0.0, 0.0, 0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def signals(batches):
         cache: dict[str, float] = {}
         for batch in batches:
             found = [shared.value.signals(t, cache) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64())], names=["y", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("weight"), *(pa.array(x, pa.float64()) for x in np.array(found).reshape(-1, 3).T)], names=["y", "weight", "a", "b", "c"])
 
-    points = np.array([tuple(r) for r in train.mapInArrow(signals, "y int, a double, b double").collect()], float)  # about rows at most
-    model.weights = _logistic(points[:, 1:], points[:, 0])
+    points = np.array([tuple(r) for r in train.mapInArrow(signals, "y int, weight double, a double, b double, c double").collect()], float)  # about rows at most
+    model.weights = _logistic(points[:, 2:], points[:, 0], points[:, 1])
     return model
 
 
