@@ -30,7 +30,7 @@ def brute_topk(rows, k=5):
 def test_topk(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD_ROWS", 70)
     monkeypatch.setattr(topk, "LEAF_ROWS", 8)
-    monkeypatch.setattr(topk, "GROUP_SHARDS", 2)
+    monkeypatch.setattr(topk, "SAMPLE_ROWS", 150)
     monkeypatch.setattr(topk, "BLOCK_QUERIES", 3)
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=4).round(1)]) for i in range(400)]
@@ -39,12 +39,30 @@ def test_topk(spark, monkeypatch):
     search = lambda d: sorted(map(tuple, topk.search(d.select("vec_id", topk.quantised(F.col("embedding")).alias("v")), F.col("vec_id") % 50 == 0).collect()))
     assert search(df) == brute_topk(rows)
     assert search(df.where("false")) == []
+    hot = rows + [(i, rows[7][1]) for i in range(1000, 1300)]  # one vector in nearly half of all rows
+    assert search(spark.createDataFrame([(*r, 1) for r in hot], "vec_id bigint, embedding array<float>, score int")) == brute_topk(hot)
+
+
+def test_topk_of_large_numbers(spark):
+    big = [(0, [3_000_000_001, 3_000_000_007]), (1, [1_500_000_011, 1_000_000_003]), (2, [1_500_000_011, 1_000_000_004]), (3, [1_500_000_012, 1_000_000_003])]
+    df = spark.createDataFrame(big, "vec_id bigint, v array<bigint>")
+    want = sorted((-sum(a * b for a, b in zip(big[0][1], v)), i) for i, v in big[1:])
+    assert [(r["vec_id"], r["score"]) for r in topk.search(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(i, -s) for s, i in want]
+
+
+def test_topk_opens_few_leaves_of_clustered_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 500)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16)) * 400
+    rows = [(i, [int(x) for x in centres[i % 40] + rng.normal(size=16) * 8]) for i in range(8000)]
+    got = topk.found(spark.createDataFrame(rows, "vec_id bigint, v array<bigint>"), F.col("vec_id") % 100 == 0, 5)
+    assert got.agg(F.sum("scored")).first()[0] < 0.15 * 80 * 8000
 
 
 def test_ball_tree_bounds_hold():
     rng = np.random.default_rng(2)
-    v, q = rng.integers(-50, 50, (500, 6)).astype(float), rng.integers(-50, 50, (20, 6)).astype(float)
-    tree = topk.BallTree(np.arange(500), v)
+    v, q = rng.integers(-50, 50, (500, 6)), rng.integers(-50, 50, (20, 6)).astype(float)
+    tree = topk.BallTree.from_bytes(topk.BallTree(np.arange(500), v).to_bytes())
     bounds, starts = tree.bounds(q), [0, *tree.ends[:-1]]
     for leaf, (a, b) in enumerate(zip(starts, tree.ends)):
         assert (q @ tree.vectors[a:b].T <= bounds[:, leaf][:, None]).all()
