@@ -1,6 +1,7 @@
 """Toxicity, quality and personal data: held-out accuracy, brute force and hostile rows."""
 
 import itertools
+import math
 import os
 import random
 import re
@@ -124,12 +125,44 @@ def test_quality(spark):
     assert quality.score(docs(spark, []), labels, F.col("source"), F.col("lang")).count() == 0
 
 
-def test_sites_shrink_to_the_global_rate(spark):
-    rows = [("big", "x", 0.9)] * 400 + [("bad", "x", 0.1)] * 400 + [("tiny", "y", 0.0)] + [(None, None, 0.5)]
-    s = {r["host"]: r for r in quality.sites(spark.createDataFrame(rows, "host string, path string, p double")).collect()}
-    mu = s["big"]["mu"]
-    assert abs(s["big"]["path_posterior"] - 0.9) < 0.02 and abs(s["bad"]["path_posterior"] - 0.1) < 0.02
-    assert 0 < s["tiny"]["path_posterior"] < s["tiny"]["host_posterior"] < mu
+def plain_quality(rated, labelled):
+    """Posteriors and scores one by one: (host posterior, path posterior, score) of each (doc_id, host, path, p)."""
+    logit = lambda p: math.log(min(max(p, 1e-9), 1 - 1e-9)) - math.log(1 - min(max(p, 1e-9), 1 - 1e-9))
+    mu = sum(p for *_, p in rated) / len(rated)
+    of_host = {h: [p for _, x, _, p in rated if x == h] for _, h, _, _ in rated}
+    v = np.mean([(np.mean(x) - mu) ** 2 - mu * (1 - mu) / len(x) for x in of_host.values()])
+    k = min(max(mu * (1 - mu) / v - 1 if v > 0 else 1000.0, 1.0), 1000.0)
+    out = []
+    for d, h, path, p in rated:
+        host = (k * mu + sum(of_host[h]) - p) / (k + len(of_host[h]) - 1)
+        own = [q for _, x, y, q in rated if (x, y) == (h, path)]
+        out.append((d, host, (k * host + sum(own) - p) / (k + len(own) - 1), logit(p)))
+    w = 0.0
+    points = [(labelled[d], o, logit(path) - logit(mu)) for d, _, path, o in out if d in labelled]
+    for _ in range(30):
+        p = [1 / (1 + math.exp(-min(max(o + w * x, -30), 30))) for _, o, x in points]
+        w -= (sum(x * (q - y) for q, (y, _, x) in zip(p, points)) + 1e-3 * w) / (sum(x * x * q * (1 - q) for q, (_, _, x) in zip(p, points)) + 1e-3)
+        w = min(max(w, 0.0), 2.0)
+    return [(d, host, path, 1 / (1 + math.exp(-(o + w * (logit(path) - logit(mu)))))) for d, host, path, o in out]
+
+
+def test_quality_against_a_plain_computation(spark):
+    """Many sparse hosts and paths out of URLs, and one host with a third of all rows."""
+    rng = random.Random(3)
+    good = lambda: " ".join(rng.choice("the of and river stone light house every morning to".split()) for _ in range(rng.randint(5, 60))) + "."
+    rows = []
+    for i in range(400):
+        host = "big.example" if i % 3 == 0 else f"h{rng.randint(0, 120)}.example"
+        rows.append((i, good().upper() + "!!! |" * 9 if (hash_ := rng.random()) < (0.7 if host < "h6" else 0.1) else good(), f"https://{host.upper()}:80/p{int(hash_ * 9)}/x?y#z", "en"))
+    d = docs(spark, rows)
+    labels = spark.createDataFrame([(i, int("!" not in rows[i][1]) if i % 11 else i % 2) for i in range(300)], "doc_id bigint, quality int")
+    host, path = quality.host_of(F.col("lang")), quality.path_of(F.col("lang"))
+    marked = quality.marked_rows(labels)
+    rated = [tuple(r) for r in quality.evidence(d, quality.fit(d, marked), host, path).collect()]
+    assert len({r[1] for r in rated}) > 60 and {r[1] for r in rated if r[0] % 3 == 0} == {"big.example"}
+    want = sorted(plain_quality(rated, {r["doc_id"]: r["y"] for r in marked.collect()}))
+    got = sorted((r["doc_id"], r["host_posterior"], r["path_posterior"], r["score"]) for r in quality.score(d, labels, host, path).collect())
+    assert np.allclose(np.array(got), np.array(want), atol=1e-9)
 
 
 @pytest.fixture(scope="module")

@@ -3,12 +3,14 @@
 1. A logistic classifier over the shape of a text (its characters, repetitions, lengths), learned from labelled rows, gives each document a probability.
 2. Grouped aggregation sums those probabilities by host and by path within host. A Beta prior around the global rate, its strength estimated from
    the spread between hosts, shrinks each host; the same prior strength around the host's posterior shrinks each path. Sparse sites
-   stay near the global rate.
-3. The score's log odds are the document's plus the path posterior's distance from the global rate, weighted by SITE_WEIGHT.
+   stay near the global rate. A document's own probability is left out of the posteriors that it meets.
+3. The score's log odds are the document's plus the path posterior's distance from the global rate, by a weight fitted on the labelled rows.
+
+Any two columns serve as host and path; :func:`host_of` and :func:`path_of` cut them out of a URL.
 
 Fitting takes about TRAIN_ROWS labelled rows at most, chosen by a hash of doc_id; all statistics of sites cover all documents. Defined results: null and
 empty texts are judged as empty; null hosts and paths are sites of their own; repeated rows are judged one by one; labels that are null are ignored, the
-smaller one counts where a doc_id has several; without labels of both kinds the classifier gives every document 1/2; an empty table gives no rows;
+smaller one counts where a doc_id has several; without labels of both kinds the classifier gives every document 1/2 and sites have no weight; an empty table gives no rows;
 further columns are ignored by :func:`score`.
 """
 
@@ -23,8 +25,8 @@ from .common import materialise
 from .toxicity import held_out
 
 TRAIN_ROWS = 30_000
-#: How much a site's distance from the global rate counts against a document's own evidence, in log odds.
-SITE_WEIGHT = 0.3
+#: What a site's distance from the global rate, in log odds, may count at most against a document's own.
+MOST_WEIGHT = 2.0
 THRESHOLD = 0.5
 #: A prior is worth between so many documents.
 STRENGTH = (1.0, 1000.0)
@@ -62,12 +64,27 @@ def _design(f: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(z)), z, z**2])
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Mean, scale and weights of the document classifier; None without labels of both kinds."""
+def host_of(url: Column) -> Column:
+    """The host of a URL, lower-cased, without a port; null where it has none."""
+    return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
+
+
+def path_of(url: Column) -> Column:
+    """The first part of a URL's path, the empty string without one."""
+    return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]*)", 1)
+
+
+def marked_rows(labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """About that many labelled ids outside the held-out part: doc_id, y."""
     marked = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("doc_id")).agg((F.min("quality") > 0).cast("int").alias("y"))
     n = marked.count()
     if n > rows:
         marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * rows / n))
+    return marked
+
+
+def fit(docs: DataFrame, marked: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Mean, scale and weights of the document classifier; None without labels of both kinds."""
 
     def features(batches):
         for batch in batches:
@@ -101,19 +118,24 @@ def evidence(docs: DataFrame, model, host: Column, path: Column) -> DataFrame:
 
 
 def sites(rated: DataFrame) -> DataFrame:
-    """Per (host, path): host_posterior, path_posterior and the global rate. Rows grow with sites, not documents."""
+    """Per (host, path): n, s, its documents and the sum of their probabilities, hn, hs, those of its host, mu, the global rate, and the prior's strength. Rows grow with sites, not documents."""
     paths = rated.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
     # Method of moments: the variance between hosts' rates, less what sampling explains, against mu (1 - mu).
-    total = hosts.agg(F.sum("hs").alias("s"), F.sum("hn").alias("n"), F.count("*").alias("k")).select((F.col("s") / F.greatest("n", F.lit(1))).alias("mu"), "k")
+    total = hosts.agg(F.sum("hs").alias("s"), F.sum("hn").alias("n")).select((F.col("s") / F.greatest("n", F.lit(1))).alias("mu"))
     spread = hosts.join(F.broadcast(total)).select("mu", (F.pow(F.col("hs") / F.col("hn") - F.col("mu"), 2) - F.col("mu") * (1 - F.col("mu")) / F.col("hn")).alias("v"))
     prior = spread.groupBy("mu").agg(F.avg("v").alias("v"))
     strength = F.when(F.col("v") > 0, F.col("mu") * (1 - F.col("mu")) / F.col("v") - 1).otherwise(F.lit(STRENGTH[1]))
     prior = prior.select("mu", F.greatest(F.lit(STRENGTH[0]), F.least(F.lit(STRENGTH[1]), strength)).alias("strength"))  # one row
-    posterior = hosts.join(F.broadcast(prior)).select("host", "mu", "strength", ((F.col("strength") * F.col("mu") + F.col("hs")) / (F.col("strength") + F.col("hn"))).alias("host_posterior"))
-    joined = paths.alias("a").join(posterior.alias("b"), F.col("a.host").eqNullSafe(F.col("b.host")))
-    own = (F.col("strength") * F.col("host_posterior") + F.col("s")) / (F.col("strength") + F.col("n"))
-    return joined.select(F.col("a.host").alias("host"), "path", "mu", "host_posterior", own.alias("path_posterior"))
+    known = hosts.join(F.broadcast(prior))
+    joined = paths.alias("a").join(known.alias("b"), F.col("a.host").eqNullSafe(F.col("b.host")))
+    return joined.select(F.col("a.host").alias("host"), "path", "n", "s", "hn", "hs", "mu", "strength")
+
+
+def _shrunk(prior: Column, total: Column, count: Column) -> Column:
+    """The posterior rate of the others of a site, its own row (p) left out."""
+    k = F.col("strength")
+    return (k * prior + total - F.col("p")) / (k + count - 1)
 
 
 def _logit(p: Column) -> Column:
@@ -121,11 +143,25 @@ def _logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
+def site_weight(judged: DataFrame, marked: DataFrame) -> float:
+    """What the distance counts: a logistic fit of one number on the labelled rows, the document's own log odds given."""
+    points = judged.join(F.broadcast(marked), "doc_id").select("y", "own", "distance").collect()  # at most about TRAIN_ROWS ids
+    y, own, distance = (np.array(c, float) for c in zip(*points)) if points else (np.zeros(0),) * 3
+    w = 0.0
+    for _ in range(30 if len(set(y)) > 1 else 0):
+        p = 1 / (1 + np.exp(-np.clip(own + w * distance, -30, 30)))
+        w -= (distance @ (p - y) + 1e-3 * w) / (distance**2 @ (p * (1 - p)) + 1e-3)
+        w = min(max(w, 0.0), MOST_WEIGHT)
+    return float(w)
+
+
 def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = THRESHOLD) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted (1: good), host_posterior, path_posterior."""
-    rated = materialise(evidence(docs, fit(docs, labels), host, path), "rated")
-    by_site = sites(rated)
-    joined = rated.alias("r").join(by_site.alias("s"), F.col("r.host").eqNullSafe(F.col("s.host")) & F.col("r.path").eqNullSafe(F.col("s.path")))
-    odds = _logit(F.col("p")) + SITE_WEIGHT * (_logit(F.col("path_posterior")) - _logit(F.col("mu")))
-    value = 1 / (1 + F.exp(-odds))
-    return joined.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), value.alias("score"), (value >= threshold).cast("int").alias("predicted"), "host_posterior", "path_posterior")
+    marked = marked_rows(labels)
+    rated = materialise(evidence(docs, fit(docs, marked), host, path), "rated")
+    joined = rated.alias("r").join(sites(rated).alias("s"), F.col("r.host").eqNullSafe(F.col("s.host")) & F.col("r.path").eqNullSafe(F.col("s.path")))
+    judged = joined.withColumn("host_posterior", _shrunk(F.col("mu"), F.col("hs"), F.col("hn")))
+    judged = judged.withColumn("path_posterior", _shrunk(F.col("host_posterior"), F.col("s"), F.col("n")))
+    judged = judged.select("doc_id", "host_posterior", "path_posterior", _logit(F.col("p")).alias("own"), (_logit(F.col("path_posterior")) - _logit(F.col("mu"))).alias("distance"))
+    value = 1 / (1 + F.exp(-(F.col("own") + site_weight(judged, marked) * F.col("distance"))))
+    return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), value.alias("score"), (value >= threshold).cast("int").alias("predicted"), "host_posterior", "path_posterior")
