@@ -149,9 +149,11 @@ def brute_dedup(rows):
 
 
 @pytest.mark.parametrize("small", [False, True])
-def test_suffix_dedup(spark, monkeypatch, small):
+@pytest.mark.parametrize("hot", [30_000, 4])
+def test_suffix_dedup(spark, monkeypatch, small, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     if small:
-        monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(suffix_dedup, "BROADCAST_BYTES", 0)
         monkeypatch.setattr(suffix_dedup, "BUCKET", 50)
         monkeypatch.setattr(suffix_dedup, "RUN", 40)
     rng = random.Random(4)
@@ -163,6 +165,33 @@ def test_suffix_dedup(spark, monkeypatch, small):
     assert got == brute_dedup(rows)
 
 
+@pytest.mark.parametrize("hot", [30_000, 8])
+def test_suffix_dedup_of_one_passage_in_every_document(spark, monkeypatch, hot):
+    """At its end each document goes on in its own way: one seed has as many suffixes as there are documents."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "RUN", 160)
+    cloudpickle.register_pickle_by_value(suffix_dedup)
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choices("abcdefgh é", k=n))
+    p, ends = text(180), [text(40) for _ in range(3)]
+    rows = [(i, text(rng.randint(0, 150)) + p + (ends[i % 3] if i % 2 else "") + text(rng.randint(0, 150))) for i in range(90)]
+    try:
+        got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.report(docs(spark, rows).repartition(3)).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(suffix_dedup)
+    assert got == brute_dedup(rows)
+
+
+def test_suffix_dedup_of_equal_ids(spark):
+    """Other texts of one doc_id are documents of their own, in some order: together they lose what two documents would."""
+    rng = random.Random(12)
+    a, b, c = ("".join(rng.choices("abcdefgh", k=300)) for _ in range(3))
+    rows = [(1, a + b), (1, b + c), (1, "short"), (1, a + b), (2, c + a)]
+    got = sorted(tuple(r)[:4] for r in suffix_dedup.report(docs(spark, rows)).collect())
+    assert [r[1] for r in got] == [5, 600, 600, 600, 600] and got[0][2] == 0 and got[4] == (2, 600, 600, 1)
+    assert sorted(r[2] for r in got[1:4]) in ([0, 0, 300], [0, 300, 300])
+
+
 def test_suffix_dedup_edges(spark, monkeypatch):
     assert suffix_dedup.report(docs(spark, [])).count() == 0
     assert [tuple(r)[:4] for r in suffix_dedup.report(docs(spark, [(None, "z" * 300)])).collect()] == [(None, 300, 0, 0)]

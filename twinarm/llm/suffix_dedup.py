@@ -10,10 +10,12 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier (
    a task at most one suffix for each place in it.
 3. Runs meet by seed. A loser tree merges them; it knows the common prefix of each loser with the winner that beat it, so no byte known to be equal is compared again.
 4. Among suffixes of one seed the merged order gives the equal ones; for the others the first string at each offset is found and later ones are marked.
+5. Where a common passage ends, every document goes on in its own way, so its last seed has as many different suffixes as there are documents. Suffixes of a seed
+   that occurs more than HOT times are marked within their run in the same way, and only the first of each string, by its hash, meets those of other runs: one seed is spread over all tasks.
 
 Documents of equal text (of at least LENGTH bytes) after the first are removed whole at the start. Defined results: null texts are empty; texts shorter
-than LENGTH lose nothing; rows of equal doc_id and equal text are one document and get the same result; rows of equal doc_id and other text are told apart; rows of a null
-doc_id take no part and keep all; an empty table gives no rows; further columns are ignored.
+than LENGTH lose nothing; rows of equal doc_id and equal text are one document and get the same result; rows of equal doc_id and other text are documents of their own, in order of a hash
+(an error says so if one doc_id has half a million texts or more); rows of a null doc_id take no part and keep all; an empty table gives no rows; further columns are ignored by :func:`report`.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -35,8 +37,12 @@ PLACES = LENGTH - SEED + 1
 BEFORE = PLACES - 1
 #: Bytes hashed at once, suffixes in a run, suffixes that meet in a bucket (about).
 CHUNK, RUN, BUCKET = 1 << 22, 200_000, 120_000
-#: Up to so many rows a table of documents (ids, flags or removed ranges) is broadcast; beyond, it is joined by shuffle.
-BROADCAST_ROWS = 300_000
+#: A seed of more suffixes than this, or than one in HOT_SEEDS of all bytes, is hot; so there are at most about HOT_SEEDS hot seeds.
+HOT, HOT_SEEDS = 30_000, 1_000_000
+#: Ids of documents are broadcast up to so many bytes; beyond, they are joined by shuffle.
+BROADCAST_BYTES = 1 << 20
+#: Bits of a text's number among those of its doc_id.
+NUMBER_BITS = 20
 #: Marks the bytes beyond a document's ends; UTF-8 has none like it.
 BEYOND = 0xFF
 KEY = LENGTH + BEFORE
@@ -183,18 +189,19 @@ def merge_runs(runs: list[tuple[list[bytes], bytes]]):
             node //= 2
 
 
-# Packed: digest of the text (15 bits), anchor (32 bits), distances from the anchor back to its last and first string (8 bits each).
-def _pack(digest, a, lo, hi):
-    return (np.asarray(digest, np.int64) << 48) | (a.astype(np.int64) << 16) | ((a - hi).astype(np.int64) << 8) | (a - lo).astype(np.int64)
+# Packed: number of the text under its doc_id (20 bits), anchor (32 bits), distances from the anchor back to its last and first string (6 bits each, at most PLACES - 1).
+def _pack(number, a, lo, hi):
+    return (np.asarray(number, np.int64) << 44) | (a.astype(np.int64) << 12) | ((a - hi).astype(np.int64) << 6) | (a - lo).astype(np.int64)
 
 
-def _digest(text: Column) -> Column:
-    return F.pmod(F.xxhash64(text), F.lit(1 << 15)).cast("int")
+def _unpack(w):
+    """(number, anchor, distance to the last string, distance to the first one) of packed values."""
+    return w >> 44, w >> 12 & 0xFFFFFFFF, w >> 6 & 0x3F, w & 0x3F
 
 
-def _near(table: DataFrame) -> DataFrame:
-    """table with a broadcast hint where its size allows."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+def _near(ids: DataFrame, row_bytes: int = 16) -> DataFrame:
+    """A table of ids with a broadcast hint where its size allows."""
+    return F.broadcast(ids) if ids.count() * row_bytes <= BROADCAST_BYTES else ids
 
 
 def _slices(batches, rows: int = 512):
@@ -212,9 +219,9 @@ OPEN, KNOWN, SIGN = range(3)
 
 
 def fingerprints(texts: DataFrame) -> DataFrame:
-    """(seed, doc_id, w, kind) for each anchor of texts (doc_id, digest, text).
+    """(seed, doc_id, w, kind) for each anchor of texts (doc_id, number, text).
 
-    Seeds that a task meets several times are known to be repeated: their rows are dealt out at random, with two signs for each such seed, so a
+    Seeds that a task meets several times are known to be repeated: their rows are dealt out at random, with two signs for each such seed (w: how many rows they stand for), so a
     passage in a third of all documents doesn't gather in one task.
     """
 
@@ -223,23 +230,25 @@ def fingerprints(texts: DataFrame) -> DataFrame:
             d, a, lo, hi, seeds = anchors(_raws(rows))
             if not len(d):
                 continue
-            w = _pack(rows.column("digest").to_numpy()[d], a, lo, hi)
+            w = _pack(rows.column("number").to_numpy()[d], a, lo, hi)
             _, place, count = np.unique(seeds, return_inverse=True, return_counts=True)
             known = count[place] > 1
             doc = rows.column("doc_id").to_numpy()[d]
             salted = np.where(known, mix(w.view(np.uint64) ^ (doc.view(np.uint64) << np.uint64(20))), seeds)
-            signs = np.repeat(np.unique(seeds[known]), 2)
-            none = np.zeros(len(signs), np.int64)
+            seed, times = np.unique(seeds[known], return_counts=True)
+            signs, none = np.repeat(seed, 2), np.zeros(2 * len(seed), np.int64)
+            weight = none.copy()
+            weight[::2] = times
             kind = np.concatenate([np.where(known, KNOWN, OPEN), np.full(len(signs), SIGN)]).astype(np.int32)
-            columns = [np.concatenate(c) for c in ((salted.view(np.int64), signs.view(np.int64)), (doc, none), (w, none))]
+            columns = [np.concatenate(c) for c in ((salted.view(np.int64), signs.view(np.int64)), (doc, none), (w, weight))]
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(kind)], names=["seed", "doc_id", "w", "kind"])
 
     return texts.mapInArrow(scan, "seed bigint, doc_id bigint, w bigint, kind int")
 
 
-def repeated(batches):
-    """Of fingerprint rows sorted by seed, (doc_id, w) of the known ones and of those whose neighbour has their seed. Holds one batch and a row."""
-    held, sent = None, False
+def repeated(batches, hot: int):
+    """Of fingerprint rows sorted by seed, (doc_id, w) of the known ones and of those whose neighbour has their seed; and (null, seed) of seeds of more than hot rows. Holds one batch and a row."""
+    held, sent, total, last_seed = None, False, 0, None
     for batch in batches:
         table = pa.Table.from_batches([batch] if held is None else [held, batch])
         seed, kind = table.column("seed").to_numpy(), table.column("kind").to_numpy()
@@ -254,18 +263,49 @@ def repeated(batches):
         if sent:
             keep[0] = False
         yield from table.filter(pa.array(keep)).select(["doc_id", "w"]).combine_chunks().to_batches()
+        # Rows of each seed: its own, and those that its signs stand for. A seed goes on into the next batch.
+        new = slice(0 if held is None else 1, None)
+        rows = np.where(kind[new] == SIGN, table.column("w").to_numpy()[new], kind[new] == OPEN).astype(np.int64)
+        if len(rows):
+            own = seed[new]
+            start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            sums, seeds = np.add.reduceat(rows, start), own[start]
+            if seeds[0] == last_seed:
+                sums[0] += total
+                before = total > hot
+            else:
+                before = False
+            found = seeds[sums > hot][1 if before and sums[0] > hot else 0 :]
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(found), pa.int64()), pa.array(found)], names=["doc_id", "w"])
+            total, last_seed = int(sums[-1]), seeds[-1]
         held, sent = table.slice(len(seed) - 1, 1).combine_chunks().to_batches()[0], last
 
 
 _RUNS = "bucket int, lcps binary, rests binary, docs binary, packed binary"
 
 
-def sorted_runs(held: DataFrame, buckets: int) -> DataFrame:
-    """Front-coded runs by bucket, from (doc_id, text, ws); and, as rows without lcps, suffixes equal to an earlier one of the same run."""
+#: What a row of runs holds beside the bucket of a run: suffixes equal to an earlier one, ranges of repeated strings, first strings of hot seeds.
+LATER, MARKED, FIRST = -1, -2, -3
+
+
+def _seed_hashes(raw: bytes, at: np.ndarray) -> np.ndarray:
+    """The hashes of the seeds at some places of a text, as :func:`anchors` gives them."""
+    held = np.frombuffer(raw, np.uint8)[at[:, None] + np.arange(SEED)]
+    return mix((_MIX[held] * _power(SEED)[0][:SEED]).sum(1, dtype=np.uint64))
+
+
+def sorted_runs(held: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
+    """Front-coded runs by bucket, from (doc_id, text, ws); suffixes equal to an earlier one of the same run; and of hot seeds (sorted hashes) repeated ranges and first strings."""
 
     def scan(batches):
         first: dict[bytes, tuple[int, int]] = {}
         later: list[tuple[int, int]] = []
+        common: list[tuple[bytes, int, int]] = []
+        types = (pa.int32(), *[pa.binary()] * 4)
+
+        def rows_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["bucket", "lcps", "rests", "docs", "packed"])
 
         def flush():
             parts: list[list[bytes]] = [[] for _ in range(buckets)]
@@ -274,41 +314,71 @@ def sorted_runs(held: DataFrame, buckets: int) -> DataFrame:
             rows = [(k, *front_code(keys), *(np.array([first[x][c] for x in keys], "<i8").tobytes() for c in (0, 1))) for k, keys in enumerate(parts) if keys]
             if later:
                 pairs = np.array(later, "<i8")
-                rows.append((-1, None, None, pairs[:, 0].tobytes(), pairs[:, 1].tobytes()))
+                rows.append((LATER, None, None, pairs[:, 0].tobytes(), pairs[:, 1].tobytes()))
+            if common:
+                keys = np.frombuffer(b"".join(c[0] for c in common), np.uint8).reshape(-1, KEY)
+                docs, ws = (np.array([c[k] for c in common], np.int64) for k in (1, 2))
+                doc, number, s, e = _marked(keys, docs, ws)
+                rows.append((MARKED, *(x.astype("<i8").tobytes() for x in (s, e, doc, number))))
+                rows.append((FIRST, *(x.astype("<i8").tobytes() for x in _firsts(keys, docs, ws))))
             first.clear()
             later.clear()
-            types = (pa.int32(), *[pa.binary()] * 4)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["bucket", "lcps", "rests", "docs", "packed"]) if rows else None
+            common.clear()
+            return rows_of(rows) if rows else None
 
         for rows in _slices(batches):
             for doc, raw, ws in zip(rows.column("doc_id").to_pylist(), _raws(rows), rows.column("ws").to_pylist()):
-                for w in ws:
-                    key, own = suffix_key(raw, w >> 16 & 0xFFFFFFFF), (doc, w)
+                if len(hot):
+                    at = _unpack(np.array(ws, np.int64))[1]
+                    is_hot = np.isin(_seed_hashes(raw, at).view(np.int64), hot).tolist()
+                else:
+                    is_hot = [False] * len(ws)
+                for w, apart in zip(ws, is_hot):
+                    key, own = suffix_key(raw, w >> 12 & 0xFFFFFFFF), (doc, w)
+                    if apart:
+                        common.append((key, *own))
+                        continue
                     known = first.setdefault(key, own)
                     if known != own:
                         later.append(max(known, own))
                         if own < known:
                             first[key] = own
-                if len(first) >= RUN or len(later) >= 4 * RUN:
+                if len(first) >= RUN or len(later) >= 4 * RUN or len(common) >= RUN // 8:
                     yield flush()
-        if first:
+        if first or later or common:
             yield flush()
 
     return held.mapInArrow(scan, _RUNS)
 
 
-def _marked(keys: np.ndarray, docs: np.ndarray, ws: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Repeated strings among different suffixes of equal seed: (document, digest, first byte, last string + 1) of their runs. keys: (n, KEY) bytes."""
-    order = np.lexsort((ws, docs))
-    keys, docs, ws = keys[order], docs[order], ws[order]
+def _strings(keys: np.ndarray, ws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the strings around suffixes, a column for each distance from the string's start to the anchor, and whether the suffix stands for that one. keys: (n, KEY) bytes."""
     text = np.concatenate([keys[:, LENGTH:][:, ::-1], keys[:, :LENGTH]], 1)  # in reading order, the anchor at BEFORE
     up, down = _power(KEY + 1)
     sums = np.zeros((len(text), KEY + 1), np.uint64)
     np.cumsum(_MIX[text] * up[:KEY], axis=1, out=sums[:, 1:])
-    back = np.arange(PLACES)  # distance from the string's start to the anchor
+    back = np.arange(PLACES)
     start = BEFORE - back
     strings = mix((sums[:, start + LENGTH] - sums[:, start]) * down[start]) * np.uint64(2 * PLACES + 1) + back.astype(np.uint64)
-    own = (back >= (ws >> 8 & 0xFF)[:, None]) & (back <= (ws & 0xFF)[:, None])
+    _, _, least, most = _unpack(ws)
+    return strings, (back >= least[:, None]) & (back <= most[:, None])
+
+
+def _firsts(keys: np.ndarray, docs: np.ndarray, ws: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(hash, distance, document, packed) of the first of each string around suffixes."""
+    order = np.lexsort((_unpack(ws)[1], ws >> 44, docs))
+    keys, docs, ws = keys[order], docs[order], ws[order]
+    strings, own = _strings(keys, ws)
+    row, col = np.nonzero(own)
+    found, index = np.unique(strings[row, col], return_index=True)
+    return found.view(np.int64), col[index], docs[row[index]], ws[row[index]]
+
+
+def _marked(keys: np.ndarray, docs: np.ndarray, ws: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Repeated strings among suffixes of equal seed: (document, number, first byte, last string + 1) of their runs. keys: (n, KEY) bytes."""
+    order = np.lexsort((_unpack(ws)[1], ws >> 44, docs))
+    keys, docs, ws = keys[order], docs[order], ws[order]
+    strings, own = _strings(keys, ws)
     row, col = np.nonzero(own)
     _, index = np.unique(strings[row, col], return_index=True)
     repeated = np.zeros(own.shape, bool)
@@ -320,26 +390,26 @@ def _marked(keys: np.ndarray, docs: np.ndarray, ws: np.ndarray) -> tuple[np.ndar
     step = np.diff(flat, axis=1)
     r0, c0 = np.nonzero(step == 1)
     _, c1 = np.nonzero(step == -1)
-    a = ws[r0] >> 16 & 0xFFFFFFFF
-    return docs[r0], ws[r0] >> 48, a - (PLACES - 1 - c0), a - (PLACES - 1 - c1)
+    number, a, _, _ = _unpack(ws[r0])
+    return docs[r0], number, a - (PLACES - 1 - c0), a - (PLACES - 1 - c1)
 
 
-_RANGES = "doc_id bigint, digest int, s bigint, e bigint"
+_RANGES = "doc_id bigint, number int, s bigint, e bigint"
 
 
 def _whole(docs: np.ndarray, ws: np.ndarray) -> tuple[np.ndarray, ...]:
     """All strings of suffixes that equal an earlier one."""
-    a = ws >> 16 & 0xFFFFFFFF
-    return docs, ws >> 48, a - (ws & 0xFF), a - (ws >> 8 & 0xFF) + 1
+    number, a, least, most = _unpack(ws)
+    return docs, number, a - most, a - least + 1
 
 
 def _ranges(found: list[tuple[np.ndarray, ...]]) -> dict:
-    doc, digest, s, e = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
-    return {"doc_id": pa.array(doc, pa.int64()), "digest": pa.array(digest.astype(np.int32)), "s": pa.array(s, pa.int64()), "e": pa.array(e - 1 + LENGTH, pa.int64())}
+    doc, number, s, e = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
+    return {"doc_id": pa.array(doc, pa.int64()), "number": pa.array(number.astype(np.int32)), "s": pa.array(s, pa.int64()), "e": pa.array(e - 1 + LENGTH, pa.int64())}
 
 
 def repeated_ranges(runs: DataFrame) -> DataFrame:
-    """(doc_id, digest, s, e): byte ranges covered by repeated strings."""
+    """(doc_id, number, s, e): byte ranges covered by repeated strings."""
 
     def merge(table: pa.Table) -> pa.Table:
         lcps = table.column("lcps").to_pylist()
@@ -385,11 +455,24 @@ def repeated_ranges(runs: DataFrame) -> DataFrame:
 
     def spread(batches):
         for batch in batches:
-            for doc, w in zip(batch.column("docs").to_pylist(), batch.column("packed").to_pylist()):
-                yield pa.RecordBatch.from_pydict(_ranges([_whole(np.frombuffer(doc, "<i8"), np.frombuffer(w, "<i8"))]))
+            for bucket, *raw in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lcps", "rests", "docs", "packed"))):
+                s, e, doc, w = (np.frombuffer(x or b"", "<i8") for x in raw)
+                yield pa.RecordBatch.from_pydict(_ranges([(doc, w, s, e) if bucket == MARKED else _whole(doc, w)]))
+
+    def firsts(batches):
+        for batch in batches:
+            for raw in zip(*(batch.column(c).to_pylist() for c in ("lcps", "rests", "docs", "packed"))):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, "<i8")) for x in raw], names=["h", "back", "doc_id", "w"])
 
     merged = runs.where("bucket >= 0").groupBy("bucket").applyInArrow(merge, _RANGES)
-    return merged.union(runs.where("bucket < 0").select("docs", "packed").mapInArrow(spread, _RANGES))
+    found = merged.union(runs.where(F.col("bucket").isin(LATER, MARKED)).mapInArrow(spread, _RANGES))
+    # A hot seed's strings: a run sends each once, and all but the first of all runs are repeated.
+    each = runs.where(F.col("bucket") == FIRST).mapInArrow(firsts, "h bigint, back bigint, doc_id bigint, w bigint")
+    start = F.shiftright("w", 12).bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")) - F.col("back")
+    number = F.shiftright("w", 44).cast("int")
+    order = Window.partitionBy("h").orderBy("doc_id", number, start)  # at most a row of each run
+    again = each.withColumn("k", F.row_number().over(order)).where("k > 1")
+    return found.union(again.select("doc_id", number.alias("number"), start.alias("s"), (start + LENGTH).alias("e")))
 
 
 def _joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -403,21 +486,46 @@ def _joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Texts (doc_id, digest, text) and what goes: (doc_id, digest, ranges), where a range to -1 means the whole text."""
-    texts = docs.select("doc_id", _digest(F.coalesce("text", F.lit(""))).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = texts.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
-    same = materialise(whole.select("doc_id", "digest", F.md5(F.col("text").cast("binary")).alias("md5")), "digests")
-    least = same.groupBy("md5").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    copies = materialise(same.join(least, "md5").where("doc_id > least").select("doc_id", "digest").distinct(), "copies")
-    rest = whole.join(_near(copies), ["doc_id", "digest"], "left_anti")
-    shared = fingerprints(rest).repartition("seed").sortWithinPartitions("seed").mapInArrow(repeated, "doc_id bigint, w bigint")
-    listed = shared.groupBy("doc_id", F.shiftright("w", 48).cast("int").alias("digest")).agg(F.collect_list("w").alias("ws"))
-    listed = materialise(listed, "anchors")
-    n = listed.agg(F.sum(F.size("ws")).alias("n")).first()["n"] or 0
-    held = rest.join(listed, ["doc_id", "digest"]).select("doc_id", "text", "ws")
-    runs = materialise(sorted_runs(held, max(1, -(-n // BUCKET))), "runs")
-    ranges = repeated_ranges(runs).groupBy("doc_id", "digest").agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
+def _numbers(same: DataFrame) -> DataFrame | None:
+    """(doc_id, md5, number) of the texts of doc_ids that have several, in order of their md5; None where none has."""
+    several = same.distinct().groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if several.isEmpty():
+        return None
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("md5")) - 1
+    ranked = same.join(several, "doc_id", "left_semi").distinct().withColumn("number", rank)
+    full = F.raise_error(F.lit("too many texts of one doc_id")).cast("int")
+    return materialise(ranked.withColumn("number", F.when(F.col("number") < 1 << NUMBER_BITS - 1, F.col("number")).otherwise(full)), "numbers")
+
+
+def _numbered(rows: DataFrame, md5: Column, numbers: DataFrame | None) -> DataFrame:
+    """rows with number: the text's among those of its doc_id, 0 where that has one."""
+    if numbers is None:
+        return rows.withColumn("number", F.lit(0))
+    known = numbers.select(F.col("doc_id").alias("_id"), F.col("md5").alias("_md5"), F.col("number").alias("_number"))
+    return rows.join(known, (F.col("doc_id") == F.col("_id")) & (md5 == F.col("_md5")), "left").withColumn("number", F.coalesce("_number", F.lit(0))).drop("_id", "_md5", "_number")
+
+
+def find(docs: DataFrame, text: Column) -> tuple[DataFrame, DataFrame]:
+    """docs with number (-1 for rows that take no part), and what goes: (doc_id, number, ranges), where a range to -1 means the whole text."""
+    size, md5 = F.octet_length(text), F.md5(text.cast("binary"))
+    partakes = F.col("doc_id").isNotNull() & (size >= LENGTH)
+    same = materialise(docs.where(partakes).select("doc_id", md5.alias("md5"), size.alias("size")), "digests")
+    total = same.agg(F.sum("size")).first()[0] or 0
+    numbers = _numbers(same.select("doc_id", "md5"))
+    docs = _numbered(docs, md5, numbers).withColumn("number", F.when(partakes, F.col("number")).otherwise(-1))
+    # Written, so that the groups' table and the documents meet by plain exchanges, of which a large group's can be split.
+    least = materialise(same.groupBy("md5").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1"), "copied")
+    copies = _numbered(same.join(least, "md5").where("doc_id > least").select("doc_id", "md5"), F.col("md5"), numbers)
+    copies = materialise(copies.select("doc_id", "number").distinct(), "copies")
+    rest = docs.where("number >= 0").select("doc_id", "number", text.alias("text")).join(_near(copies), ["doc_id", "number"], "left_anti")
+    most = max(HOT, total // (30 * HOT_SEEDS))
+    seen = materialise(fingerprints(rest).repartition("seed").sortWithinPartitions("seed").mapInArrow(lambda b: repeated(b, most), "doc_id bigint, w bigint"), "repeated")
+    hot = np.sort(np.array([r["w"] for r in seen.where("doc_id is null").select("w").distinct().collect()], np.int64))  # about HOT_SEEDS at most
+    listed = seen.where("doc_id is not null").groupBy("doc_id", F.shiftright("w", 44).cast("int").alias("number")).agg(F.collect_list("w").alias("ws"))
+    n = seen.where("doc_id is not null").count()
+    held = rest.join(listed.hint("shuffle_hash"), ["doc_id", "number"]).select("doc_id", "text", "ws")
+    runs = materialise(sorted_runs(held, max(1, -(-n // BUCKET)), hot), "runs")
+    ranges = repeated_ranges(runs).groupBy("doc_id", "number").agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
 
     def join_up(batches):
         for batch in batches:
@@ -425,8 +533,8 @@ def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield batch.set_column(2, batch.schema.field(2), pa.array(merged, batch.schema.field(2).type))
 
     gone = ranges.mapInArrow(join_up, ranges.schema)
-    all_of_it = copies.select("doc_id", "digest", F.array(F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(-1).cast("bigint").alias("e"))).alias("ranges"))
-    return texts, materialise(gone.union(all_of_it), "gone")
+    all_of_it = copies.select("doc_id", "number", F.array(F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(-1).cast("bigint").alias("e"))).alias("ranges"))
+    return docs, materialise(gone.union(all_of_it), "gone").hint("shuffle_hash")
 
 
 _REPORT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
@@ -447,7 +555,7 @@ def _cut(raw: bytes, ranges) -> tuple[bytes, int]:
 
 def report(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    texts, gone = find(docs)
+    texts, gone = find(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), F.col("text"))
 
     def scan(batches):
         for rows in _slices(batches):
@@ -457,14 +565,15 @@ def report(docs: DataFrame) -> DataFrame:
                 out.append((doc, len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (*[pa.int64()] * 4, pa.string()))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return texts.join(_near(gone), ["doc_id", "digest"], "left").select("doc_id", "text", "ranges").mapInArrow(scan, _REPORT)
+    return texts.join(gone, ["doc_id", "number"], "left").select("doc_id", "text", "ranges").mapInArrow(scan, _REPORT)
 
 
 def remove(docs: DataFrame) -> DataFrame:
     """docs with repeated strings cut out of text; a character of which a byte goes, goes; texts that lose all become empty."""
-    texts, gone = find(docs)
-    kept = docs.withColumn("_digest", _digest(F.coalesce("text", F.lit("")))).join(_near(gone.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_own"), F.col("ranges").alias("_ranges"))), (F.col("doc_id") == F.col("_id")) & (F.col("_digest") == F.col("_own")), "left")
     columns = docs.columns
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"))
+    kept, gone = find(whole, F.coalesce("text", F.lit("")))
+    kept = kept.join(gone, ["doc_id", "number"], "left").select(*[F.col(f"_doc.`{c}`").alias(c) for c in columns], F.col("ranges").alias("_ranges"))
     at = columns.index("text")
 
     def scan(batches):
@@ -474,4 +583,4 @@ def remove(docs: DataFrame) -> DataFrame:
                 new.append(text if text is None or not ranges else _cut(text.encode("utf-8", "surrogatepass"), ranges)[0].decode("utf-8", "ignore"))
             yield rows.set_column(at, rows.schema.field(at), pa.array(new, rows.schema.field(at).type)).select(columns)
 
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns], "_ranges").mapInArrow(scan, docs.schema)
+    return kept.mapInArrow(scan, docs.schema)
