@@ -92,8 +92,10 @@ def brute_components(rows):
 
 @pytest.mark.parametrize("few", [True, False])
 def test_jaccard(spark, monkeypatch, few):
+    """Also without broadcasts, and with the lists of all tokens ranked in parts."""
     if not few:
         monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
+        monkeypatch.setattr(jaccard, "LIST_NODES", 2)
     rng = random.Random(3)
     words = [f"w{i}" for i in range(60)]
     rows = [(0, None), (1, ""), (2, " \n\t"), (3, "one two"), (4, "ONE\ttwo"), (5, "two one"), (6, "a b c d e"), (7, "A b c d e"), (8, "a b c d e f")]

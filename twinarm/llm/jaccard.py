@@ -36,6 +36,8 @@ PART, PER = 75, 100
 SKETCH_BITS, SLICE_BITS = 22, 16
 #: Up to so many document ids are broadcast (8 bytes each) to pick their texts from a scan; more go through a shuffle join.
 BROADCAST_IDS = 400_000
+#: Nodes of a token that are ranked in one task, about; the list of a more frequent one is ranked in parts, and then the parts' heads.
+LIST_NODES = 4096
 #: Groups hold sizes within this factor, and about so many nodes at most.
 BAND, GROUP_NODES = 1.15, 1024
 
@@ -238,21 +240,26 @@ def links(docs: DataFrame, members: DataFrame, ranks: np.ndarray) -> DataFrame:
     """Verified links (a, b) between nodes, enough to connect every two nodes that similar pairs connect."""
     nodes = materialise(members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
     tokens = prefixes(docs, ranks).select("node", "n", "popular", F.posexplode("prefix").alias("pos", "tok"))
-    by_token = Window.partitionBy("tok").orderBy(F.desc("popular"), "n", "node")
-    lists = tokens.select(
-        "tok", "node", "n", "pos",
-        F.lag("node").over(by_token).alias("prev"), F.lag("n").over(by_token).alias("prev_n"),
-        F.first("node").over(by_token).alias("head"), F.first("n").over(by_token).alias("head_n"),
-        F.lead("node").over(by_token).isNotNull().alias("more"),
-    )
-    shared = materialise(lists.where(F.col("prev").isNotNull() | F.col("more")).drop("more"), "lists")
-    near = _verified(docs, nodes, _likely(shared), "near")
+    # A token's value tells its frequency (see token_ranks), so a token of a third of all documents is spread over parts at once.
+    parts = F.ceil(F.pow(F.lit(2.0), (F.shiftright("tok", 56) + 1) / 3) / LIST_NODES).cast("int")
+    tokens = tokens.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    order = (F.desc("popular"), F.asc("n"), F.asc("node"))
+    by_part, by_token = Window.partitionBy("tok", "part").orderBy(*order), Window.partitionBy("tok").orderBy(*order)
+
+    def neighbours(at) -> list[Column]:
+        return [F.lag("node").over(at).alias("prev"), F.lag("n").over(at).alias("prev_n"), F.first("node").over(at).alias("head"), F.first("n").over(at).alias("head_n")]
+
+    lists = tokens.select("tok", "node", "n", "pos", "popular", "parts", *neighbours(by_part), F.lead("node").over(by_part).isNotNull().alias("more"))
+    shared = materialise(lists.where(F.col("prev").isNotNull() | F.col("more") | (F.col("parts") > 1)).drop("more"), "lists")
+    heads = shared.where((F.col("parts") > 1) & F.col("prev").isNull()).select("tok", "node", "n", "popular")
+    near = _verified(docs, nodes, _likely(shared.drop("popular", "parts", "pos").unionByName(heads.select("tok", "node", "n", *neighbours(by_token)))), "near")
     roots = connected(near)
-    roots = roots.join(roots.groupBy("root").agg(F.count("*").alias("nodes")), "root")
+    roots = roots.join(materialise(roots.groupBy("root").agg(F.count("*").alias("nodes")), "sizes"), "root")
     # From here on only tokens count that occur in more than one component.
-    placed = shared.select("tok", "node", "n", "pos").join(_close(roots), "node", "left").select("tok", "node", "n", "pos", F.coalesce("root", "node").alias("comp"), F.coalesce("nodes", F.lit(1)).alias("nodes")).repartition("tok")
+    placed = shared.select("tok", "node", "n", "pos").join(_close(roots), "node", "left").select("tok", "node", "n", "pos", F.coalesce("root", "node").alias("comp"), F.coalesce("nodes", F.lit(1)).alias("nodes"))
     size = F.struct("nodes", "comp")
-    mixed = placed.groupBy("tok").agg(F.min(size).alias("lo"), F.max(size).alias("hi")).where("lo < hi")
+    # Written, so that a frequent token's rows meet it by a plain exchange, which can be split.
+    mixed = materialise(placed.groupBy("tok").agg(F.min(size).alias("lo"), F.max(size).alias("hi")).where("lo < hi"), "mixed")
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("nodes") / GROUP_NODES))  # so that a group has a bound, however large its component
     # A token's largest component has none to ask there, and its smallest is asked by none.
     grouped = placed.join(mixed, "tok").select("tok", "node", "n", "pos", "comp", "nodes", _group(F.col("n")).alias("band"), (size < F.col("hi")).alias("asks"), (size > F.col("lo")).alias("asked"))
@@ -266,8 +273,8 @@ def similar_components(docs: DataFrame) -> DataFrame:
     members = surveyed.where(F.col("doc_id").isNotNull()).select("doc_id", "n", "node")
     roots = connected(links(docs, members, token_ranks(surveyed)))
     least = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left")
-    least = least.withColumn("root", F.coalesce("root", "node"))
-    final = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    least = materialise(least.withColumn("root", F.coalesce("root", "node")), "least")
+    final = least.join(materialise(least.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids"), "root").select("node", "component_id")
     linked = members.where("n > 0").join(final, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.union(alone)
