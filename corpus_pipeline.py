@@ -21,10 +21,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one of the least doc_id stays; rows without a doc_id are in no group."""
+    """Of each group of similar documents the row of the least doc_id stays (one of them if it is repeated); rows without a doc_id are in no group."""
     importable(spark)
-    gone = jaccard.similar_components(docs).where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    known = docs.where(F.col("doc_id").isNotNull())
+    if known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        gone = jaccard.similar_components(docs).where(F.col("component_id") < F.col("doc_id")).select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # Ids are repeated: the rows are numbered once and judged by their numbers.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    rows = materialise(docs.select(whole, "doc_id", "text", F.monotonically_increasing_id().alias("_row")), "rows")
+    found = jaccard.similar_components(rows.where(F.col("doc_id").isNotNull()).select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    found = materialise(found.join(rows.select("_row", "doc_id"), "_row"), "judged")
+    stays = materialise(found.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("first")), "stays")
+    gone = found.join(stays, "component_id").where(F.col("first._row") != F.col("_row")).select("_row")
+    return rows.join(gone, "_row", "left_anti").select("_doc.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
