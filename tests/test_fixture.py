@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from twinarm.operators import chimeric, graph, groups, stems
+from twinarm.functions import fold
+from twinarm.operators import chimeric, graph, groups, stems, validation
 from twinarm.operators import reads as rd
-from twinarm.plans import pipeline
+from twinarm.plans import cli, pipeline
 from twinarm.sources import files, sinks
 
 SEQ = "".join("ACGT"[(7 * i + i * i // 3) % 4] for i in range(300))
@@ -133,18 +134,73 @@ def test_nulls_empty_tables_and_ties(spark, reads):
         pipeline.Config(cluster="other")
 
 
-def test_run_writes_files(spark, paths, tmp_path):
+def text(folder):
+    return [x for f in sorted(folder.glob("part-*")) for x in f.read_text().splitlines()]
+
+
+def test_run_writes_files(spark, paths, tmp_path, caplog):
     out = tmp_path / "out"
-    found = pipeline.run(spark, str(paths / "reads.sam"), str(paths / "ref.fa"), str(paths / "genes.bed"), str(out), config=pipeline.Config(cluster="cliques", t_o=0.5))
-    text = lambda p: [x for f in sorted(p.glob("part-*")) for x in f.read_text().splitlines()]
-    base = sinks.output_name("reads", "gA", "gC", "cliques", 0.5)
+    with caplog.at_level("INFO", "twinarm"):
+        found = pipeline.run(spark, str(paths / "reads.sam"), str(paths / "ref.fa"), str(paths / "genes.bed"), str(out), config=pipeline.Config(cluster="cliques", t_o=0.5))
+    base = "output=" + sinks.output_name("reads", "gA", "gC", "cliques", 0.5)
     sam = text(out / f"{base}.sam")
-    assert sam[0].startswith("@HD") and len(sam) == 7 and sam[1].endswith("DG:i:0\tNG:i:0")
+    assert sam[0].startswith("@HD") and len(sam) == 7 and sam[1].endswith("DG:i:0\tNG:i:0") and [x.split("\t")[0] for x in sam[1:]] == ["r01", "r02", "r03", "r04", "r14", "r15"]
     bed = text(out / f"{base}_dg.bed")
     assert bed[0].split("\t")[:3] == ["chr1", "11", "112"] and bed[0].split("\t")[4] == "4" and len(bed[0].split("\t")) == 12
     aux = [p for p in out.iterdir() if p.name.endswith(".aux")]
-    assert all(text(p)[0] == sinks.AUX_HEADER for p in aux)
+    assert aux and all(text(p)[0] == sinks.AUX_HEADER for p in aux)
+    rows = [x.split("\t") for x in text(out / f"{base}_sg_p90.aux")[1:]]
+    assert [r[0] for r in rows] == ["Group_0", "Group_1"] and rows[0][1:] == ["0"] + ["0,0,0"] * 5 and rows[1][1] == "1" and rows[1][3] == "27,27,0.0"
+    assert all(text(p)[0] == sinks.BP_TRACK for p in out.iterdir() if p.name.endswith("_arc.bed") or p.name.endswith("_bp.bed"))
     assert found["failed"].count() == 0
+    assert {(r["l_gene"], r["r_gene"]): (r["n_reads"], r["n_groups"], r["dropped"]) for r in found["pairs"].collect()} == {("gA", "gC"): (6, 2, False), ("gA", "gB"): (4, 1, False)}
+    assert "lines: 1 header, 1 other tag, 1 no cigar, 3 other shape, 1 no gene, 10 read" in caplog.text and "gA, gC: 6 reads, 2 duplex groups" in caplog.text
+
+
+def test_dropped_pairs_are_told(spark, reads, caplog):
+    """Two reads of one group that don't overlap."""
+    apart = reads.where("read_id in ('r01', 'r06')").withColumns({"l_gene": F.lit("a"), "r_gene": F.lit("b"), "dg": F.lit(0)})
+    failed = groups.non_overlapping(apart)
+    report = pipeline.pair_report(apart, {"failed": failed, "groups": groups.without_failed_pairs(groups.medians(apart), failed)})
+    with caplog.at_level("INFO", "twinarm"):
+        pipeline.tell(report)
+    assert [tuple(r) for r in report.collect()] == [("a", "b", 2, 0, 2, True)] and "2 of 2 reads" in caplog.text
+
+
+def test_lines_of_several_files(spark, tmp_path):
+    """Numbers are unique over files and rise with path and place."""
+    for name in ("b x.sam", "a.sam", "c.sam"):
+        (tmp_path / name).write_text("".join(f"{name[0]}{i}\n" for i in range(5)))
+    got = files.numbered_lines(spark, str(tmp_path)).orderBy("file_line").collect()
+    assert [r["value"] for r in got] == [f"{f}{i}" for f in "abc" for i in range(5)] and len({r["file_line"] for r in got}) == 15
+
+
+def test_base_pairs_and_combined_lines(spark, tmp_path):
+    (tmp_path / "gold.bp").write_text("track graphType=arc\nchr1\t11\t112\nchr1\t12\t111\n\nchr1\t60\t70\n")
+    assert [(r["region"], r["l"], r["r"]) for r in files.read_base_pairs(spark, str(tmp_path / "gold.bp")).orderBy("line").collect()] == [("chr1", 11, 112), ("chr1", 12, 111), ("chr1", 60, 70)]
+    (tmp_path / "reads.sam").write_text("@HD\tVN:1.4\n" + line("r1", 0, 5, "20M60N22M", "A" * 42) + "  \n")
+    mates = [line(n, f, p, c, SEQ[:60], 0) for n in ("z9", "a1", "m5") for f, p, c in ((256, 11, "20M"), (0, 91, "20S22M"))]
+    (tmp_path / "chimeric.sam").write_text("@HD\n" + "\n".join(mates) + "\n")
+    merged = chimeric.lines(files.read_sam(spark, str(tmp_path / "chimeric.sam")).where("not is_header"))
+    sinks.write_lines(sinks.combined(files.read_sam(spark, str(tmp_path / "reads.sam")), merged), str(tmp_path / "out"), ["part", "file_line"])
+    got = text(tmp_path / "out")
+    assert got[0] == "@HD\tVN:1.4" and got[1] == line("r1", 0, 5, "20M60N22M", "A" * 42) + "\tXG:i:0" and [x.split("\t")[0] for x in got[2:]] == ["z9", "a1", "m5"] and got[2].endswith("XG:i:1")
+
+
+def test_command_line(spark, paths, tmp_path, monkeypatch):
+    cli.main([str(paths / "reads.sam"), str(paths / "ref.fa"), str(paths / "genes.bed"), "-out", str(tmp_path / "o"), "-genes", "gA,gC", "-cluster", "cliques", "-t_o", "0.5"])
+    assert {p.name.split(".cliques")[0] for p in (tmp_path / "o").iterdir() if p.name.startswith("output=")} == {"output=reads_twinarm.ggA,gC"}
+    with pytest.raises(SystemExit):
+        cli.parser().parse_args(["reads.sam"])
+
+
+def test_shifts(spark):
+    stem = spark.createDataFrame([(1, "chr1", 10, 19, 40, 49, 0, 99), (2, "chr1", 10, 19, 40, 49, 10, 49)], "stem_ix long, region string, l_start long, l_stop long, r_start long, r_stop long, g_start long, g_stop long")
+    regions = spark.createDataFrame([("chr1", SEQ)], "region string, seq string")
+    got = validation.shifted(stem, regions, 100).collect()
+    want = sorted((fold.duplex(SEQ[s : s + 10], SEQ[s + 30 : s + 40])[1] for s in range(0, 61) if s != 10), reverse=True)
+    assert [r["stem_ix"] for r in got] == [1] * 60 and [r["energy"] for r in sorted(got, key=lambda r: r["rank"])] == pytest.approx(want)
+    assert validation.shifted(stem, regions, 7).count() == 7
 
 
 def test_genes_option(reads):

@@ -18,6 +18,7 @@ def pairs(records: DataFrame) -> DataFrame:
         F.count_distinct("flag").alias("flags"),
         F.max_by(fields, F.when(F.col("flag") == LEFT, F.col("file_line"))).alias("l"),
         F.max_by(fields, F.when(F.col("flag") == RIGHT, F.col("file_line"))).alias("r"),
+        F.max(F.when(F.col("flag") == LEFT, F.col("file_line"))).alias("file_line"),
         F.max((F.col("flag") == LEFT).cast("int")).alias("has_l"),
         F.max((F.col("flag") == RIGHT).cast("int")).alias("has_r"),
     )
@@ -26,7 +27,7 @@ def pairs(records: DataFrame) -> DataFrame:
 
 
 def merged(records: DataFrame) -> DataFrame:
-    """qname, rname, pos, cigar, seq, qual, score, md, jm, ji of each merged pair.
+    """file_line, qname, rname, pos, cigar, seq, qual, score, md, jm, ji of each merged pair.
 
     The gap n is what lies between both matches and the left record's trailing clip x. Where x is 0 the result is a gap (or an insertion if n is negative);
     otherwise x mismatches and an insertion.
@@ -43,7 +44,7 @@ def merged(records: DataFrame) -> DataFrame:
         return F.concat(F.substr(text, (F.col("l_clip") + 1).cast("int")), F.substr(text, (F.col("r_clip") + 1).cast("int"), F.col("r_m").cast("int")))
 
     return p.select(
-        "qname", F.col("r.rname").alias("rname"), F.col("l.pos").alias("pos"), "n",
+        "file_line", "qname", F.col("r.rname").alias("rname"), F.col("l.pos").alias("pos"), "n",
         F.when(F.col("l_x") == 0, plain).otherwise(mixed).alias("cigar"),
         joined("seq").alias("seq"), joined("qual").alias("qual"),
         F.bround((F.col("l.score") + F.col("r.score")) / 2).cast("bigint").alias("score"),
@@ -52,8 +53,8 @@ def merged(records: DataFrame) -> DataFrame:
 
 
 def lines(records: DataFrame) -> DataFrame:
-    """The merged pairs as alignment lines (value)."""
+    """The merged pairs as alignment lines (file_line of the left record, qname, value)."""
     m = merged(records)
     tags = F.format_string("NH:i:1\tHI:i:1\tAS:i:%d\tnM:i:0\tNM:i:0\tMD:Z:%d", "score", "md")
     head = [F.col("qname"), F.lit("256"), F.col("rname"), F.col("pos").cast("string"), F.lit("255"), F.col("cigar"), F.lit("*"), F.lit("0"), F.lit("0")]
-    return m.select("qname", F.concat_ws("\t", *head, "seq", "qual", tags, F.coalesce("jm", F.lit("")), F.coalesce("ji", F.lit("")), F.lit("XG:i:1")).alias("value"))
+    return m.select("file_line", "qname", F.concat_ws("\t", *head, "seq", "qual", tags, F.coalesce("jm", F.lit("")), F.coalesce("ji", F.lit("")), F.lit("XG:i:1")).alias("value"))

@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .range_join import overlap_join
-
 PAIR = ["l_gene", "r_gene"]
 KEY = [*PAIR, "dg"]
 _ENDS = ("l_start", "l_stop", "r_start", "r_stop")
@@ -25,14 +23,22 @@ def medians(members: DataFrame) -> DataFrame:
     return members.groupBy(*KEY).agg(*[F.median(c).cast("bigint").alias(c) for c in _ENDS], F.count("*").alias("num_reads"), F.min("l_start").alias("ext_min"), F.max("r_stop").alias("ext_max"))
 
 
-def coverage(groups: DataFrame, members: DataFrame, width: int = 64) -> DataFrame:
-    """groups with n_l and n_r, the pair's reads that overlap the group's left and right median arm, and coverage = num_reads / sqrt(n_l n_r)."""
-    for side in "lr":
-        ends = (f"{side}_start", f"{side}_stop")
-        met = overlap_join(groups.select(*KEY, *ends), members.select(*PAIR, *ends), PAIR, ends, ends, width)
-        counted = met.groupBy(*[F.col(f"a.{k}").alias(k) for k in KEY]).agg(F.count("*").alias(f"n_{side}"))
-        groups = groups.join(counted, KEY, "left").withColumn(f"n_{side}", F.coalesce(f"n_{side}", F.lit(0)))
-    return groups.withColumn("coverage", F.try_divide(F.col("num_reads"), F.sqrt(F.col("n_l") * F.col("n_r"))))
+def coverage(groups: DataFrame, members: DataFrame) -> DataFrame:
+    """groups with n_l and n_r, the pair's reads that overlap the group's left and right median arm, and coverage = num_reads / sqrt(n_l n_r).
+
+    Those are the reads that start by the arm's end, less those that stop before its start. Both numbers are running sums over the pair's distinct positions,
+    to which reads are added up before the shuffle, so no pair of group and read is ever formed.
+    """
+    ends = F.array(*[F.struct(F.lit(f"{s}_{e}").alias("series"), (F.col(f"{s}_{e}") + int(e == "stop")).alias("x")) for s in "lr" for e in ("start", "stop")])
+    counted = members.select(*PAIR, F.explode(ends).alias("p")).groupBy(*PAIR, "p.series", "p.x").agg(F.count("*").alias("n"))
+    counted = counted.select(*PAIR, "series", "x", "n", F.lit(0).alias("asks"), F.lit(None).cast(groups.schema["dg"].dataType).alias("dg"))
+    asked = F.array(*[F.struct(F.lit(f"{s}_{e}").alias("series"), F.col(f"{s}_{o}").alias("x")) for s in "lr" for e, o in (("start", "stop"), ("stop", "start"))])
+    asked = groups.select(*PAIR, "dg", F.explode(asked).alias("p")).select(*PAIR, "p.series", "p.x", F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("asks"), "dg")
+    upto = Window.partitionBy(*PAIR, "series").orderBy("x", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    sums = counted.unionByName(asked).withColumn("upto", F.sum("n").over(upto)).where("asks = 1")
+    met = [F.sum(F.when(F.col("series") == f"{s}_start", F.col("upto")).when(F.col("series") == f"{s}_stop", -F.col("upto")).otherwise(0)).alias(f"n_{s}") for s in "lr"]
+    counted = groups.join(sums.groupBy(*KEY).agg(*met), KEY)
+    return counted.withColumn("coverage", F.try_divide(F.col("num_reads"), F.sqrt(F.col("n_l") * F.col("n_r"))))
 
 
 def first_fit(extents: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -67,18 +73,24 @@ def colours(groups: DataFrame) -> DataFrame:
 def non_overlapping(members: DataFrame) -> DataFrame:
     """Reads that lie strictly beyond, or before, another read of their group on both arms.
 
-    Extremes of a group decide whether it can have such reads at all, so only suspicious groups are joined with themselves.
+    Extremes of a group decide whether it can have such reads at all. In suspicious groups, a read lies beyond another where the least right end among the reads whose left arm
+    ends before its own begins is before its right arm; and before another likewise. Both are running extremes in order of position, without a join of reads.
     """
     limits = members.groupBy(*KEY).agg(*[f(c).alias(f"{n}_{c}") for c in _ENDS for f, n in ((F.min, "min"), (F.max, "max"))])
     suspects = limits.where((F.col("max_l_start") > F.col("min_l_stop")) & (F.col("max_r_start") > F.col("min_r_stop"))).select(*KEY)
     held = members.join(suspects, KEY, "left_semi").select(*KEY, "read_id", *_ENDS)
-    a, b = held.alias("a"), held.alias("b")
-    same = F.lit(True)
-    for k in KEY:
-        same &= F.col(f"a.{k}") == F.col(f"b.{k}")
-    after = (F.col("a.l_start") > F.col("b.l_stop")) & (F.col("a.r_start") > F.col("b.r_stop"))
-    before = (F.col("b.l_start") > F.col("a.l_stop")) & (F.col("b.r_start") > F.col("a.r_stop"))
-    return a.join(b, same & (after | before), "left_semi").select(*[F.col(f"a.{c}").alias(c) for c in (*KEY, "read_id")])
+
+    def event(x: str, asks: int, value: str):
+        return F.struct(F.col(x).alias("x"), F.lit(asks).alias("asks"), F.col(value).alias("value"))
+
+    # At one position, questions come before the other reads' ends (and after their starts), so only strictly earlier (later) ones count.
+    rows = held.select(*KEY, "read_id", F.explode(F.array(event("l_start", 0, "r_start"), event("l_stop", 1, "r_stop"))).alias("e")).select(*KEY, "read_id", "e.*")
+    before = Window.partitionBy(*KEY).orderBy("x", "asks").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*KEY).orderBy(F.desc("x"), F.desc("asks")).rowsBetween(Window.unboundedPreceding, -1)
+    least = F.min(F.when(F.col("asks") == 1, F.col("value"))).over(before)
+    most = F.max(F.when(F.col("asks") == 0, F.col("value"))).over(after)
+    marked = rows.select(*KEY, "read_id", F.when(F.col("asks") == 0, least < F.col("value")).otherwise(most > F.col("value")).alias("apart"))
+    return marked.where("apart").select(*KEY, "read_id").distinct()
 
 
 def without_failed_pairs(groups: DataFrame, failed_reads: DataFrame) -> DataFrame:

@@ -33,17 +33,41 @@ def last_of_each(reads: DataFrame) -> DataFrame:
     return last.select("read_ord", "read_id", "_v.*")
 
 
-def parse(sam: DataFrame, genes: DataFrame, small_genes: bool | None = None) -> DataFrame:
-    """Alignment lines (see sources) to reads: tag and shape filters come before the joins with genes."""
+def in_genes(sam: DataFrame, genes: DataFrame, small_genes: bool | None = None) -> DataFrame:
+    """Arms of the accepted lines with l_gene and r_gene, null where an arm lies in no gene; tag and shape filters come before the joins."""
     records = sam.where(~F.col("is_header") & accepted_tag(F.col("xg")))
     arms = with_arms(records.select(F.col("file_line").alias("read_ord"), F.col("qname").alias("read_id"), F.col("rname").alias("region"), "pos", "cigar", "seq"))
     for side in "lr":
         arms = last_containing(arms, f"{side}_start", genes, f"{side}_gene", small_genes)
+    return arms
+
+
+def parse(sam: DataFrame, genes: DataFrame, small_genes: bool | None = None) -> DataFrame:
+    """Alignment lines (see sources) to reads with both arms in genes."""
+    arms = in_genes(sam, genes, small_genes)
     kept = arms.where((F.col("l_gene") != "") & (F.col("r_gene") != ""))
     columns = ["read_ord", "read_id", "region", "l_start", "l_stop", "r_start", "r_stop", "l_gene", "r_gene", "l_seq", "r_seq"]
     return last_of_each(kept.select(*columns))
 
 
+#: What becomes of a line.
+OUTCOMES = ("header", "other tag", "no cigar", "other shape", "no gene", "read")
+
+
+def outcomes(sam: DataFrame, genes: DataFrame) -> DataFrame:
+    """(outcome, n) for each of OUTCOMES that lines have: headers, lines rejected for their tag, for a missing or other alignment shape or for arms in no gene, and reads."""
+    line = (
+        F.when(F.col("is_header"), "header")
+        .when(~accepted_tag(F.col("xg")), "other tag")
+        .when(F.coalesce(F.col("cigar"), F.lit("*")) == "*", "no cigar")
+        .when(~cg.is_gapped(F.col("cigar")), "other shape")
+    )
+    early = sam.select(line.alias("outcome")).where(F.col("outcome").isNotNull())
+    both = (F.col("l_gene") != "") & (F.col("r_gene") != "")
+    late = in_genes(sam, genes).select(F.when(F.coalesce(both, F.lit(False)), "read").otherwise("no gene").alias("outcome"))
+    return early.unionByName(late).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
 def single_region(reads: DataFrame) -> str:
     """The only region of the reads; an error if there is none, or several."""
     found = [r["region"] for r in reads.select("region").distinct().limit(2).collect()]

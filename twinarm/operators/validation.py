@@ -11,12 +11,22 @@ from ..functions.fold import KERNELS
 from .sizes import near
 
 
-def gold_stems(pairs: DataFrame, gap: int = 3) -> DataFrame:
-    """pairs (line, l, r; 1-based) in file order to stems: a new one begins where both indices jump by more than gap."""
-    order = Window.orderBy("line")  # a table of known base pairs is small; its order is global by definition
-    jump = (F.abs(F.col("l") - F.lag("l").over(order)) > gap) & (F.abs(F.col("r") - F.lag("r").over(order)) > gap)
-    marked = pairs.withColumn("stem_ix", F.sum(F.coalesce(jump, F.lit(False)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy("stem_ix").agg((F.min_by("l", "line") - 1).alias("l_start"), (F.max_by("l", "line") - 1).alias("l_stop"), (F.min("r") - 1).alias("r_start"), (F.max("r") - 1).alias("r_stop"))
+def gold_stems(pairs: DataFrame, gap: int = 3, stretch: int = 1024) -> DataFrame:
+    """pairs (line, l, r; 1-based) in file order to stems: a new one begins where both indices jump by more than gap.
+
+    Lines are taken in stretches; only the last pair and the number of jumps of each stretch meet in one window.
+    """
+    pairs = pairs.withColumn("_stretch", F.floor(F.col("line") / stretch))
+    ends = pairs.groupBy("_stretch").agg(F.max_by(F.struct("l", "r"), "line").alias("last"))
+    ends = ends.select("_stretch", F.lag("last").over(Window.orderBy("_stretch")).alias("_before"))
+    own = Window.partitionBy("_stretch").orderBy("line")
+    former = F.coalesce(F.lag(F.struct("l", "r")).over(own), F.col("_before"))
+    jump = (F.abs(F.col("l") - F.col("_former.l")) > gap) & (F.abs(F.col("r") - F.col("_former.r")) > gap)
+    marked = pairs.join(ends, "_stretch").withColumn("_former", former).withColumn("_jump", F.coalesce(jump, F.lit(False)).cast("int"))
+    sums = marked.groupBy("_stretch").agg(F.sum("_jump").alias("_jumps"))
+    sums = sums.select("_stretch", (F.sum("_jumps").over(Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_jumps")).alias("_base"))
+    placed = marked.join(sums, "_stretch").withColumn("stem_ix", F.col("_base") + F.sum("_jump").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    return placed.groupBy("stem_ix").agg((F.min_by("l", "line") - 1).alias("l_start"), (F.max_by("l", "line") - 1).alias("l_stop"), (F.min("r") - 1).alias("r_start"), (F.max("r") - 1).alias("r_stop"))
 
 
 def stem_gene(stems: DataFrame, genes: DataFrame) -> DataFrame:
@@ -33,11 +43,11 @@ def shift_candidates(stems: DataFrame) -> DataFrame:
     return stems.where(F.col("g_stop") - (F.col("r_stop") - F.col("l_start")) >= F.col("g_start")).select("stem_ix", own.alias("start"))
 
 
-def shifted(stems: DataFrame, n: int, seed: int = 0, kernel: str = "duplex") -> DataFrame:
-    """Energies of up to n random shifts of each stem (seq: the region's sequence), greatest first: stem_ix, rank, energy."""
+def shifted(stems: DataFrame, regions: DataFrame, n: int, seed: int = 0, kernel: str = "duplex") -> DataFrame:
+    """Energies of up to n random shifts of each stem (stem_ix, region, ends, g_start, g_stop), greatest first: stem_ix, rank, energy. A stem that fills its gene has none."""
     starts = shift_candidates(stems).withColumn("u", F.xxhash64("stem_ix", "start", F.lit(seed)))
     chosen = starts.withColumn("k", F.row_number().over(Window.partitionBy("stem_ix").orderBy("u", "start"))).where(F.col("k") <= n)
-    moved = chosen.join(stems, "stem_ix").withColumn("by", F.col("start") - F.col("l_start"))
+    moved = chosen.join(stems, "stem_ix").withColumn("by", F.col("start") - F.col("l_start")).join(near(regions, "seq"), "region")
 
     def cut(s: str) -> Column:
         return F.substr("seq", (F.col(f"{s}_start") + F.col("by") + 1).cast("int"), (F.col(f"{s}_stop") - F.col(f"{s}_start") + 1).cast("int"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import os
 
 from pyspark.sql import SparkSession
@@ -29,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> None:
     """Run the pipeline over files."""
     a = parser().parse_args(argv)
+    logging.basicConfig(level=logging.INFO, format="%(asctime)s %(message)s")
     builder = SparkSession.builder.appName("twinarm")
     spark = (builder.master(f"local[{a.n}]") if a.n else builder).getOrCreate()
     pair = tuple(a.genes.split(",", 1)) if a.genes else None

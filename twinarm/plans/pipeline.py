@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import logging
+import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chimeric, graph, groups, stems
@@ -13,6 +15,9 @@ from ..operators.components import ensure_checkpoints
 from ..operators.sizes import near
 from ..sources import files, sinks
 
+log = logging.getLogger("twinarm")
+PAIR = ["l_gene", "r_gene"]
+
 
 @dataclass
 class Config:
@@ -65,42 +70,80 @@ def stem_groups(members: DataFrame, regions: DataFrame, config: Config) -> dict[
     return {"stems": found.checkpoint(), "spread": stems.edge_stats(chosen).checkpoint()}
 
 
+def pair_report(reads: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
+    """Per gene pair: its reads, its duplex groups, its reads that don't overlap others of their group, and whether it is dropped for them."""
+    n = reads.groupBy(*PAIR).agg(F.count("*").alias("n_reads"))
+    failed = found["failed"].groupBy(*PAIR).agg(F.count("*").alias("n_apart"))
+    groups = found["groups"].groupBy(*PAIR).agg(F.count("*").alias("n_groups"))
+    joined = n.join(groups, PAIR, "left").join(failed, PAIR, "left").fillna(0, ["n_groups", "n_apart"])
+    return joined.select(*PAIR, "n_reads", "n_groups", "n_apart", (F.col("n_apart") > 0).alias("dropped"))
+
+
+def tell(report: DataFrame) -> None:
+    """Log what became of each gene pair."""
+    for r in report.orderBy(*PAIR).toLocalIterator():
+        log.info("%s, %s: %d reads, %d duplex groups", r["l_gene"], r["r_gene"], r["n_reads"], r["n_groups"])
+        if r["dropped"]:
+            log.error("%s, %s: no output, as %d of %d reads share a group with a read that they don't overlap; try this pair alone with a t_o greater by 0.1, or with cliques", r["l_gene"], r["r_gene"], r["n_apart"], r["n_reads"])
+
+
 def run(spark: SparkSession, reads_file: str, seq_file: str, gene_file: str, out: str | None = None, chimeric_file: str | None = None, config: Config | None = None) -> dict[str, DataFrame]:
-    """The whole run over files; out is a folder for all outputs, or None to write nothing."""
-    config = config or Config()
+    """The whole run over files; out is a folder for all outputs, or None to write nothing. Counts, dropped pairs and times go to the log ``twinarm``."""
+    config, began = config or Config(), time.perf_counter()
     sam = files.read_sam(spark, reads_file)
     if chimeric_file:
         merged = chimeric.lines(files.read_sam(spark, chimeric_file).where("not is_header"))
-        last = sam.agg(F.max("file_line").alias("top"))
-        extra = merged.join(F.broadcast(last)).select((F.coalesce("top", F.lit(0)) + 1 + F.pmod(F.xxhash64("qname"), F.lit(1 << 62))).alias("file_line"), "value")
         if out:
             sinks.write_lines(sinks.combined(sam, merged), f"{out}/combined.sam", ["part", "file_line"])
-        sam = sam.unionByName(files.sam_fields(extra))
+        last = sam.agg(F.max("file_line")).first()[0] or 0
+        sam = sam.unionByName(files.sam_fields(merged.select((F.col("file_line") + last + 1).alias("file_line"), "value")))
     regions, genes = files.read_fasta(spark, seq_file), files.read_genes(spark, gene_file)
-    reads = rd.parse(sam, genes).cache()
+    ensure_checkpoints(sam)
+    reads = rd.parse(sam, genes).checkpoint()
+    if log.isEnabledFor(logging.INFO):
+        counts = {r["outcome"]: r["n"] for r in rd.outcomes(sam, genes).collect()}  # a row for each outcome
+        log.info("lines: %s", ", ".join(f"{counts.get(k, 0)} {k}" for k in rd.OUTCOMES))
     if not config.allow_multi_region:
         rd.single_region(reads)
     if config.genes:
         reads = rd.restrict(reads, *config.genes)
     found = duplex_groups(reads, config)
-    region = reads.groupBy("l_gene", "r_gene").agg(F.max("region").alias("region"))
-    found["groups"] = found["groups"].join(region, ["l_gene", "r_gene"]).cache()
+    region = reads.groupBy(*PAIR).agg(F.max("region").alias("region"))
+    found["groups"] = found["groups"].join(region, PAIR).checkpoint()
+    found["pairs"] = pair_report(reads, found)
+    if log.isEnabledFor(logging.ERROR):
+        tell(found["pairs"])
+    log.info("duplex groups after %.1f s", time.perf_counter() - began)
     found |= stem_groups(found["members"], regions, config)
     if out:
         write(sam, found, out, config)
+    log.info("all after %.1f s", time.perf_counter() - began)
     return found
 
 
 def write(sam: DataFrame, found: dict[str, DataFrame], out: str, config: Config) -> None:
-    """All outputs, a folder per gene pair."""
-    for p in found["groups"].select("l_gene", "r_gene").distinct().toLocalIterator():
-        own = (F.col("l_gene") == p["l_gene"]) & (F.col("r_gene") == p["r_gene"])
-        base = sinks.output_name(f"{out}/reads", p["l_gene"], p["r_gene"], config.cluster, config.t_o, config.t_eig)
-        group, stem, spread = (found[k].where(own) for k in ("groups", "stems", "spread"))
-        sinks.write_lines(sinks.with_header(sam, sinks.annotated(sam, group, found["members"].where(own))), f"{base}.sam", ["file_line"])
-        sinks.write_lines(sinks.group_bed(group), f"{base}_dg.bed", ["dg"])
-        for k in [r["ptile"] for r in stem.select("ptile").distinct().collect()]:
-            at = stem.where(F.col("ptile") == k)
-            sinks.write_lines(sinks.arc_bed(at), f"{base}_sg_p{k}_arc.bed", ["dg"], sinks.BP_TRACK)
-            sinks.write_lines(sinks.pair_bed(at), f"{base}_sg_p{k}_bp.bed", ["dg", "i"], sinks.BP_TRACK)
-            sinks.write_lines(sinks.aux_table(group, stem, spread, k), f"{base}_sg_p{k}.aux", ["dg"], sinks.AUX_HEADER)
+    """All outputs in one job, a folder ``output=<name>`` for each gene pair and kind."""
+    group, stem = found["groups"], found["stems"]
+    first, rest = sinks.output_name("reads", "\0", "\0", config.cluster, config.t_o, config.t_eig).split("\0,\0")
+    name = F.concat(F.lit(first), F.col("l_gene"), F.lit(","), F.col("r_gene"), F.lit(rest))
+
+    def lines(df: DataFrame, kind: Column, part: int, place: Column, i: Column | None = None) -> DataFrame:
+        return df.select(F.concat(name, kind).alias("output"), F.lit(part).alias("part"), place.cast("bigint").alias("ord"), (F.lit(0) if i is None else i).cast("bigint").alias("i"), "value")
+
+    def of_percentile(kind: str) -> Column:
+        return F.concat(F.lit("_sg_p"), F.col("ptile").cast("string"), F.lit(kind))
+
+    percentiles, none = stem.select(*PAIR, "ptile").distinct(), F.lit(0)
+    kinds = [
+        lines(sinks.headers(sam, group.select(*PAIR).distinct()), F.lit(".sam"), 0, F.col("file_line")),
+        lines(sinks.annotated(sam, group, found["members"]), F.lit(".sam"), 1, F.col("file_line")),
+        lines(sinks.group_bed(group), F.lit("_dg.bed"), 1, F.col("dg")),
+        *(lines(percentiles.withColumn("value", F.lit(top)), of_percentile(kind), 0, none) for kind, top in (("_arc.bed", sinks.BP_TRACK), ("_bp.bed", sinks.BP_TRACK), (".aux", sinks.AUX_HEADER))),
+        lines(sinks.arc_bed(stem), of_percentile("_arc.bed"), 1, F.col("dg")),
+        lines(sinks.pair_bed(stem), of_percentile("_bp.bed"), 1, F.col("dg"), F.col("i")),
+        lines(sinks.aux_table(group, stem, found["spread"]), of_percentile(".aux"), 1, F.col("dg")),
+    ]
+    every = kinds[0]
+    for k in kinds[1:]:
+        every = every.unionByName(k)
+    sinks.write_outputs(every, out)

@@ -77,7 +77,7 @@ ARMS = RECORDS + r""", parts AS (
 ), sums AS (SELECT *, coalesce(list_sum(list_transform(regexp_extract_all(g.s, '\d+'), lambda x: CAST(x AS BIGINT))), 0) AS s, list_sum(list_transform(regexp_extract_all(g.m, '\d+'), lambda x: CAST(x AS BIGINT))) AS m,
   list_sum(list_transform(regexp_extract_all(g.n, '\d+'), lambda x: CAST(x AS BIGINT))) AS n, list_sum(list_transform(regexp_extract_all(g.k, '\d+'), lambda x: CAST(x AS BIGINT))) AS k FROM parts),
 arms AS (SELECT *, pos - 1 AS l_start, pos - 1 + m - 1 AS l_stop, pos - 1 + m + n AS r_start, pos - 1 + m + n + k - 1 AS r_stop, substr(seq, CAST(s + 1 AS INTEGER), CAST(m AS INTEGER)) AS l_seq, substr(seq, CAST(s + m + 1 AS INTEGER), CAST(k AS INTEGER)) AS r_seq FROM sums)"""
-GENE_ROWS = "gene_rows AS (SELECT p_partkey AS line, 'chr1' AS region, p_partkey * 4 AS start, p_partkey * 4 + 2 + p_size % 9 AS stop, 'g' || (p_partkey % 1900) AS gene FROM part WHERE p_partkey <= 2000)"
+GENE_ROWS = "gene_rows AS (SELECT p_partkey AS line, 'chr1' AS region, p_partkey * 4 AS start, p_partkey * 4 + 2 + p_size % 9 AS stop, 'g' || (p_partkey % 1900) AS gene FROM part)"
 GENES = GENE_ROWS + ", genes AS (SELECT region, gene, arg_min(start, line) - 1 AS g_start, arg_min(stop, line) - 1 AS g_stop, min(line) AS gene_ord FROM gene_rows GROUP BY region, gene)"
 
 
@@ -179,10 +179,17 @@ def read_dedupe_last_wins(spark, sf_dir):
     return rd.last_of_each(r).select("read_id", "read_ord", "pos", "cigar")
 
 
-@query("fasta_records", "SELECT CAST(doc_id AS VARCHAR) AS region, sha256(regexp_replace(regexp_replace(text, '[ \\t\\r]+(\\n|$)', '\\1', 'g'), '\\n+', '', 'g')) AS seq_sha256 FROM documents WHERE length(text) > 0 AND NOT contains(text, '>')")
+@query("line_outcomes", f"""WITH {ARMS}, {GENES}, shaped_right AS (SELECT read_id, EXISTS (SELECT 1 FROM genes WHERE l_start BETWEEN g_start AND g_stop) AND EXISTS (SELECT 1 FROM genes WHERE r_start BETWEEN g_start AND g_stop) AS placed FROM arms),
+ told AS (SELECT CASE WHEN coalesce(xg, 'XG:i:0') NOT IN ('XG:i:0', 'XG:i:1') THEN 'other tag' WHEN cigar = '*' THEN 'no cigar' WHEN NOT {GAPPED} THEN 'other shape' WHEN placed THEN 'read' ELSE 'no gene' END AS outcome FROM records LEFT JOIN shaped_right USING (read_id))
+ SELECT outcome, count(*) AS n FROM told GROUP BY outcome""")
+def line_outcomes(spark, sf_dir):
+    return rd.outcomes(views.records(spark, sf_dir), files.first_genes(views.gene_rows(spark, sf_dir)))
+
+
+@query("fasta_records", "SELECT CAST(doc_id AS VARCHAR) AS region, sha256(regexp_replace(regexp_replace(text, '[ \\t\\r]+(\\n|$)', '\\1', 'g'), '\\n+', '', 'g')) AS seq_sha256 FROM documents WHERE length(text) > 0")
 def fasta_records(spark, sf_dir):
     """Documents as sequence records: the id as header, the text's lines as sequence lines."""
-    d = views.table(spark, sf_dir, "documents").where((F.length("text") > 0) & ~F.col("text").contains(">"))
+    d = views.table(spark, sf_dir, "documents").where(F.length("text") > 0)
     r = files.fasta_records(d.select(F.col("doc_id").alias("ord"), F.concat(F.col("doc_id").cast("string"), F.lit("\n"), "text").alias("value")))
     return r.select("region", F.sha2(F.col("seq").cast("binary"), 256).alias("seq_sha256"))
 
@@ -308,7 +315,15 @@ def dg_coverage(spark, sf_dir):
     return groups.coverage(groups.medians(m), m).select("l_gene", "r_gene", "dg", "num_reads", "n_l", "n_r", F.round("coverage", 6).alias("coverage"))
 
 
-@query("ng_first_fit")
+_FIT = """, placed AS (SELECT l_gene, r_gene, dg, ext_min, ext_max, row_number() OVER (PARTITION BY l_gene, r_gene ORDER BY dg) AS k FROM medians),
+fit AS (
+  SELECT l_gene, r_gene, dg, ext_min, ext_max, k, CAST(0 AS BIGINT) AS ng, [{'c': CAST(0 AS BIGINT), 'a': ext_min, 'b': ext_max}] AS held FROM placed WHERE k = 1
+  UNION ALL SELECT l_gene, r_gene, dg, ext_min, ext_max, k, ng, list_append(held, {'c': ng, 'a': ext_min, 'b': ext_max}) FROM (
+    SELECT p.*, held, list_min(list_filter(range(0, len(held) + 1), lambda c: len(list_filter(held, lambda h: h.c = c AND least(h.b, p.ext_max) - greatest(h.a, p.ext_min) > 0)) = 0)) AS ng
+    FROM fit JOIN placed AS p ON p.l_gene = fit.l_gene AND p.r_gene = fit.r_gene AND p.k = fit.k + 1))"""
+
+
+@query("ng_first_fit", f"{WITH}{MEDIANS}{_FIT} SELECT l_gene, r_gene, dg, ext_min, ext_max, CAST(ng AS INTEGER) AS ng FROM fit")
 def ng_first_fit(spark, sf_dir):
     return groups.colours(groups.medians(_members(spark, sf_dir))).select("l_gene", "r_gene", "dg", "ext_min", "ext_max", "ng")
 
@@ -364,12 +379,13 @@ def sg_edge_stats(spark, sf_dir):
     return s.withColumns({f"{c}_std": F.round(f"{c}_std", 6) for c in _ENDS})
 
 
-@query("sg_aux_left_join", f"{WITH}{CUTOFFS}, own AS (SELECT dg, count(*) AS n, min(l_start) + 1 AS a, max(r_stop) + 1 AS b FROM chosen WHERE ptile = 50 GROUP BY dg) SELECT v.dg, coalesce(n, 0) AS num_reads, coalesce(a, 0) AS l_min, coalesce(b, 0) AS r_max FROM valid AS v LEFT JOIN own ON v.dg = own.dg")
+@query("sg_aux_left_join", f"{WITH}{CUTOFFS}, own AS (SELECT ptile, dg, count(*) AS n, min(l_start) + 1 AS a, max(r_stop) + 1 AS b FROM chosen GROUP BY ptile, dg), every AS (SELECT valid.dg, ptile FROM valid, (SELECT unnest([{', '.join(map(str, stems.PERCENTILES))}]) AS ptile)) SELECT v.ptile, v.dg, coalesce(n, 0) AS num_reads, coalesce(a, 0) AS l_min, coalesce(b, 0) AS r_max FROM every AS v LEFT JOIN own ON v.dg = own.dg AND v.ptile = own.ptile")
 def sg_aux_left_join(spark, sf_dir):
     m = _members(spark, sf_dir)
-    spread = stems.edge_stats(_chosen(m)).where("ptile = 50")
-    joined = m.select("l_gene", "r_gene", "dg").distinct().join(spread, ["l_gene", "r_gene", "dg"], "left")
-    return joined.select("dg", *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(n) for c, n in (("num_reads", "num_reads"), ("l_start_min", "l_min"), ("r_stop_max", "r_max"))])
+    spread = stems.edge_stats(_chosen(m))
+    every = m.select("l_gene", "r_gene", "dg").distinct().select("*", F.explode(F.array(*map(F.lit, stems.PERCENTILES))).alias("ptile"))
+    joined = every.join(spread, ["l_gene", "r_gene", "ptile", "dg"], "left")
+    return joined.select("ptile", "dg", *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(n) for c, n in (("num_reads", "num_reads"), ("l_start_min", "l_min"), ("r_stop_max", "r_max"))])
 
 
 @query("sg_arc", f"{WITH}{CUTOFFS} SELECT ptile, dg, concat_ws(chr(9), 'chr1', (l_start + l_stop) // 2 + 1, (r_start + r_stop) // 2 + 1, dg) AS line FROM envelopes")
@@ -389,9 +405,10 @@ def _patterned(spark, sf_dir) -> DataFrame:
     return r.select(F.col("read_id").alias("dg"), F.lit("x").alias("l_gene"), F.lit("y").alias("r_gene"), F.lit(50).alias("ptile"), "region", "l_start", "r_start", "seq_start", "seq", F.concat(left, right).alias("structure"), n_l.alias("cut"))
 
 
-_STEM = f"""WITH {READS}, region AS (SELECT {BASES.format("0", "19999")} AS seq), s AS (
+_BASE = "substr('ACGT', CAST((7 * ({0}) + (({0}) * ({0})) // 3) % 4 + 1 AS INTEGER), 1)"
+_STEM = f"""WITH {READS}, s AS (
  SELECT read_id AS dg, l_start, r_start, l_stop - l_start + 1 AS cut, rpad(substr('.(((({{((((((((((', 1, CAST(read_id % 9 + 2 AS INTEGER)), CAST(l_stop - l_start + 1 AS INTEGER), '.') AS ls,
-  lpad(substr('))}}))))))))))))', 1, CAST(read_id % 9 + 2 AS INTEGER)), CAST(r_stop - r_start + 1 AS INTEGER), '.') AS rs FROM reads WHERE r_stop < 20000),
+  lpad(substr('))}}))))))))))))', 1, CAST(read_id % 9 + 2 AS INTEGER)), CAST(r_stop - r_start + 1 AS INTEGER), '.') AS rs FROM reads),
  idx AS (SELECT dg, list_transform(list_filter(range(length(ls)), lambda i: substr(ls, CAST(i + 1 AS INTEGER), 1) IN ('(', '{{')), lambda i: i + l_start) AS lefts,
   list_reverse(list_transform(list_filter(range(length(rs)), lambda i: substr(rs, CAST(i + 1 AS INTEGER), 1) IN (')', '}}')), lambda i: i + r_start)) AS rights FROM s),
  bp AS (SELECT dg, len(lefts) AS n_bp, unnest(lefts[1:least(len(lefts), len(rights))]) AS l, unnest(rights[1:least(len(lefts), len(rights))]) AS r FROM idx)"""
@@ -402,8 +419,8 @@ def sg_bp(spark, sf_dir):
     return sinks.pair_bed(stems.stem_info(_patterned(spark, sf_dir))).select("dg", F.col("value").alias("line"))
 
 
-@query("stem_info_crosslinks", _STEM + """, m AS (SELECT dg, n_bp, CASE WHEN l < max(l) OVER (PARTITION BY dg) THEN substr(seq, CAST(l + 1 AS INTEGER), 1) || substr(seq, CAST(r AS INTEGER), 1) ELSE '' END AS p,
-  CASE WHEN l > min(l) OVER (PARTITION BY dg) THEN substr(seq, CAST(l + 1 AS INTEGER), 1) || substr(seq, CAST(r + 2 AS INTEGER), 1) ELSE '' END AS q FROM bp, region)
+@query("stem_info_crosslinks", _STEM + f""", m AS (SELECT dg, n_bp, CASE WHEN l < max(l) OVER (PARTITION BY dg) THEN {_BASE.format("l")} || {_BASE.format("r - 1")} ELSE '' END AS p,
+  CASE WHEN l > min(l) OVER (PARTITION BY dg) THEN {_BASE.format("l")} || {_BASE.format("r + 1")} ELSE '' END AS q FROM bp)
  SELECT dg, CAST(any_value(n_bp) AS BIGINT) AS n_bp, CAST(sum((p = 'TT')::INT + (q = 'TT')::INT) AS BIGINT) AS uu, CAST(sum((p IN ('TC', 'CT'))::INT + (q IN ('TC', 'CT'))::INT) AS BIGINT) AS uc FROM m GROUP BY dg""")
 def stem_info_crosslinks(spark, sf_dir):
     return stems.stem_info(_patterned(spark, sf_dir)).select("dg", "n_bp", "uu", "uc")
@@ -417,12 +434,12 @@ def fold_energy(spark, sf_dir):
 
 # --- validation --------------------------------------------------------------------------------------------------------------
 
-_GOLD = "WITH p AS (SELECT o_orderkey AS line, o_custkey // 40 AS l, o_orderkey % 97 AS r FROM orders WHERE o_orderkey <= 1500)"
+_GOLD = "WITH p AS (SELECT o_orderkey AS line, o_custkey // 40 AS l, o_orderkey % 97 AS r FROM orders)"
 
 
 @query("gold_stem_islands", _GOLD + ", m AS (SELECT *, CASE WHEN abs(l - lag(l) OVER (ORDER BY line)) > 3 AND abs(r - lag(r) OVER (ORDER BY line)) > 3 THEN 1 ELSE 0 END AS j FROM p), s AS (SELECT *, sum(j) OVER (ORDER BY line) AS stem_ix FROM m) SELECT CAST(stem_ix AS BIGINT) AS stem_ix, arg_min(l, line) - 1 AS l_start, arg_max(l, line) - 1 AS l_stop, min(r) - 1 AS r_start, max(r) - 1 AS r_stop FROM s GROUP BY stem_ix")
 def gold_stem_islands(spark, sf_dir):
-    o = views.table(spark, sf_dir, "orders").where("o_orderkey <= 1500")
+    o = views.table(spark, sf_dir, "orders")
     return validation.gold_stems(o.select(F.col("o_orderkey").alias("line"), F.expr("o_custkey div 40").alias("l"), (F.col("o_orderkey") % 97).alias("r")))
 
 
@@ -434,10 +451,20 @@ def shift_candidates(spark, sf_dir):
 
 @query("shuffle_null")
 def shuffle_null(spark, sf_dir):
-    """Null energies of the stem groups at the median percentile."""
-    e = stems.envelopes(_chosen(_members(spark, sf_dir))).where("ptile = 50").withColumn("region", F.lit("chr1"))
-    s = stems.sequences(e, views.regions(spark)).select(F.col("dg").alias("stem_ix"), "l_seq", "r_seq")
-    return validation.shuffled(s, 5).withColumn("energy", F.round("energy", 6))
+    """Null energies of the stem groups at all percentiles; a group whose arms are the same at several is shuffled once."""
+    e = stems.envelopes(_chosen(_members(spark, sf_dir))).withColumn("region", F.lit("chr1"))
+    s = stems.sequences(e, views.regions(spark)).groupBy("dg", "l_seq", "r_seq").agg(F.min("ptile").alias("first"), F.collect_set("ptile").alias("ptiles")).withColumn("stem_ix", F.col("dg") * 100 + F.col("first")).checkpoint()
+    null = validation.shuffled(s.select("stem_ix", "l_seq", "r_seq"), 5).withColumn("energy", F.round("energy", 6))
+    return s.select("stem_ix", "dg", F.explode("ptiles").alias("ptile")).join(null, "stem_ix").select("ptile", "dg", "rank", "energy")
+
+
+@query("shift_null")
+def shift_null(spark, sf_dir):
+    """Energies of the stem groups at all percentiles, shifted within their gene pair's stretch."""
+    e = stems.envelopes(_chosen(_members(spark, sf_dir)))
+    gene = e.groupBy("l_gene", "r_gene").agg(F.min("l_start").alias("g_start"), F.max("r_stop").alias("g_stop"))
+    s = e.join(gene, ["l_gene", "r_gene"]).withColumns({"stem_ix": F.col("dg") * 100 + F.col("ptile"), "region": F.lit("chr1")})
+    return validation.shifted(s.select("stem_ix", "region", "l_start", "l_stop", "r_start", "r_stop", "g_start", "g_stop"), views.regions(spark), 3).withColumn("energy", F.round("energy", 6))
 
 
 # --- end to end --------------------------------------------------------------------------------------------------------------

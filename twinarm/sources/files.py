@@ -2,18 +2,39 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.sizes import near
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file_line, value): file_line rises with the place in the file.
 
-    It is the block's offset and the row's number in its task; a line has a byte at least, so numbers of different blocks don't meet, and no pass over
-    the data counts lines.
+#: Bits of a line number that tell its place in its file; the bits above them number the files in order of their paths.
+PLACE_BITS = 43
+#: Paths are written with one slash or several after the scheme.
+_ROOT = "^([A-Za-z0-9+.-]+):/+"
+
+
+def _placed(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    """rows of a text scan with their number: rising with the file's path and with the place in the file, and unique.
+
+    The place is the block's offset and the row's number in its task; a line has a byte at least, so numbers of different blocks don't meet, and no pass over
+    the data counts lines. Only the list of files is known to the driver.
     """
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return spark.read.text(path).select((F.col("_metadata.file_block_start") + row).alias("file_line"), "value")
+    numbered = rows.select((F.col("_metadata.file_block_start") + row).alias(name), F.regexp_replace("_metadata.file_path", _ROOT, "$1:/").alias("_path"), "value")
+    paths = sorted(re.sub(_ROOT, r"\1:/", path) for path in rows.inputFiles())
+    if len(paths) < 2:
+        return numbered.drop("_path")
+    order = spark.createDataFrame([(path, k) for k, path in enumerate(paths)], "_path string, _file bigint")
+    known = F.coalesce("_file", F.raise_error(F.concat(F.lit("a file without a number: "), "_path")).cast("bigint"))
+    return numbered.join(near(order, "_path"), "_path", "left").select((F.shiftleft(known, PLACE_BITS) + F.col(name)).alias(name), "value")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file_line, value) of a file, a folder or a glob."""
+    return _placed(spark, spark.read.text(path), "file_line")
 
 
 def sam_fields(lines: DataFrame) -> DataFrame:
@@ -48,9 +69,7 @@ def fasta_records(records: DataFrame) -> DataFrame:
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """Sequence file to (region, seq): the record mark is the line separator, so the scan splits like any text file."""
-    records = spark.read.option("lineSep", ">").text(path)
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return fasta_records(records.select((F.col("_metadata.file_block_start") + row).alias("ord"), "value"))
+    return fasta_records(_placed(spark, spark.read.option("lineSep", ">").text(path), "ord"))
 
 
 def first_genes(rows: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: The first lines of the track files and of the auxiliary table.
 BP_TRACK = "track graphType=arc itemRgb=on"
-AUX_HEADER = "\t".join(["Group_ID", "num_reads", "UU_cl,UC_cl,num_basepairs", *(f"{e}_min,{e}_max,{e}_std" for e in ("L_start", "L_stop", "R_start", "R_stop"))])
+AUX_HEADER = "Group_ID\tnum_reads\tUU_cl,UC_cl,num_basepairs\tL_start_min,L_start_max,L_start_std\tL_stop_min,L_stop_max,L_stop_std\tR_start_min,R_start_max,R_start_std\tR_stop_min,R_stop_max,R_stop_std"
 
 
 def _text(*columns):
@@ -15,21 +15,23 @@ def _text(*columns):
 
 
 def annotated(sam: DataFrame, groups: DataFrame, assigned: DataFrame) -> DataFrame:
-    """(file_line, value): every line of a read in a surviving group, with its DG and NG tags; a read in several takes the least."""
-    first = assigned.join(groups.select("l_gene", "r_gene", "dg", "ng"), ["l_gene", "r_gene", "dg"]).groupBy("read_id").agg(F.min(F.struct("dg", "ng")).alias("g"))
+    """(l_gene, r_gene, file_line, value): every line of a read in a surviving group, with its DG and NG tags; a read in several takes the least."""
+    pair = ["l_gene", "r_gene"]
+    first = assigned.join(groups.select(*pair, "dg", "ng"), [*pair, "dg"]).groupBy(*pair, "read_id").agg(F.min(F.struct("dg", "ng")).alias("g"))
     met = sam.where(~F.col("is_header")).join(first, F.col("qname") == F.col("read_id"))
-    return met.select("file_line", F.concat(F.rtrim("value"), F.format_string("\tDG:i:%d\tNG:i:%d", "g.dg", "g.ng")).alias("value"))
+    return met.select(*pair, "file_line", F.concat(F.rtrim("value"), F.format_string("\tDG:i:%d\tNG:i:%d", "g.dg", "g.ng")).alias("value"))
 
 
-def with_header(sam: DataFrame, lines: DataFrame) -> DataFrame:
-    """Header lines of the input before lines, both as (file_line, value)."""
-    return sam.where("is_header").select("file_line", "value").unionByName(lines.select("file_line", "value"))
+def headers(sam: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(l_gene, r_gene, file_line, value): the header lines of the input for each gene pair; each pair's output repeats them."""
+    lines = sam.where("is_header").select("file_line", "value", F.lit(1).alias("_k"))
+    return pairs.select("l_gene", "r_gene", F.lit(1).alias("_k")).join(lines, "_k").drop("_k")
 
 
 def combined(sam: DataFrame, merged: DataFrame) -> DataFrame:
-    """(part, file_line, value): headers as they are, aligned lines tagged XG:i:0, then merged chimeric lines."""
+    """(part, file_line, value): headers as they are, aligned lines tagged XG:i:0, then merged chimeric lines (with the file_line of their left record), all in the order of their files."""
     head = sam.select(F.lit(0).alias("part"), "file_line", F.when(F.col("is_header"), F.col("value")).otherwise(F.concat(F.trim("value"), F.lit("\tXG:i:0"))).alias("value"))
-    return head.unionByName(merged.select(F.lit(1).alias("part"), F.xxhash64("qname").alias("file_line"), "value"))
+    return head.unionByName(merged.select(F.lit(1).alias("part"), "file_line", "value"))
 
 
 def group_bed(groups: DataFrame) -> DataFrame:
@@ -52,11 +54,12 @@ def arc_bed(stems: DataFrame) -> DataFrame:
     return stems.select("l_gene", "r_gene", "ptile", "dg", _text("region", *mid, "dg").alias("value"))
 
 
-def aux_table(groups: DataFrame, stems: DataFrame, stats: DataFrame, ptile: int) -> DataFrame:
-    """One line per duplex group: its stem group's reads, crosslinks and spread of ends; zeros where it has none."""
-    key = ["l_gene", "r_gene", "dg"]
-    own = stems.where(F.col("ptile") == ptile).select(*key, F.concat_ws(",", "uu", "uc", "n_bp").alias("links"))
-    spread = stats.where(F.col("ptile") == ptile).join(own, key)
+def aux_table(groups: DataFrame, stems: DataFrame, stats: DataFrame) -> DataFrame:
+    """For each percentile of which a gene pair has stems, one line per duplex group: its stem group's reads, crosslinks and spread of ends; zeros where it has none."""
+    key = ["l_gene", "r_gene", "ptile", "dg"]
+    own = stems.select(*key, F.concat_ws(",", "uu", "uc", "n_bp").alias("links"))
+    spread = stats.join(own, key)
+    groups = groups.join(stems.select("l_gene", "r_gene", "ptile").distinct(), ["l_gene", "r_gene"])
     ends = [F.concat_ws(",", *[F.col(f"{c}_{k}").cast("string") for k in ("min", "max", "std")]) for c in ("l_start", "l_stop", "r_start", "r_stop")]
     spread = spread.select(*key, F.col("num_reads").cast("string").alias("n"), "links", *[e.alias(f"e{i}") for i, e in enumerate(ends)])
     joined = groups.select(*key).join(spread, key, "left")
@@ -69,10 +72,15 @@ def output_name(base: str, left: str, right: str, cluster: str, t_o: float, t_ei
     return f"{base}_twinarm.g{left},{right}.{cluster}.t_o{t_o}" + (f".t_eig{t_eig}" if t_eig is not None and cluster == "spectral" else "")
 
 
-def write_lines(lines: DataFrame, path: str, order: list[str], header: str | None = None) -> None:
+def write_lines(lines: DataFrame, path: str, order: list[str]) -> None:
     """Write value in order; the sort is distributed, so the lines stand in order over the part files."""
-    if header is not None:
-        first = lines.sparkSession.createDataFrame([(header,)], "value string").select(F.lit(0).alias("_h"), "value", *[F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in order if c != "value"])
-        lines = first.unionByName(lines.select(F.lit(1).alias("_h"), "value", *[c for c in order if c != "value"]))
-        order = ["_h", *order]
     lines.orderBy(*order).select("value").write.mode("overwrite").text(path)
+
+
+def write_outputs(lines: DataFrame, path: str) -> None:
+    """Write lines (output, part, ord, i, value) as a folder ``output=<name>`` for each output, in one job.
+
+    Rows are dealt out by ranges of output and place, so a large output has several files, whose lines stand in order over them.
+    """
+    order = ["output", "part", "ord", "i"]
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("output", "value").write.mode("overwrite").partitionBy("output").text(path)
