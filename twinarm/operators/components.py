@@ -1,4 +1,4 @@
-"""Connected components of an edge table: forests within tasks, then minimum labels and pointer jumping."""
+"""Connected components of an edge table: forests within tasks, and contraction of nodes to smaller ones that they reach."""
 
 from __future__ import annotations
 
@@ -68,17 +68,20 @@ def _forest(held: list[pd.DataFrame]) -> pd.DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes (read_id) and edges (src, dst) -> (read_id, component), component being the least read_id reached; isolated nodes are their own."""
+    """nodes (read_id) and edges (src, dst) -> (read_id, component), component being the least read_id reached; isolated nodes are their own.
+
+    In a round each node hooks to the least of its neighbours and then to what that one hooks to, and edges go on between the nodes hooked to. Only
+    nodes without a smaller neighbour remain, at most half of them, so rounds grow with the logarithm of the nodes, however long the paths are.
+    """
     ensure_checkpoints(nodes)
-    few = forests(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    both = few.union(few.select("b", "a")).checkpoint()
-    first = both.groupBy("a").agg(F.min("b").alias("m"))
-    labels = nodes.select("read_id").join(first, F.col("a") == F.col("read_id"), "left").select("read_id", F.least("read_id", F.coalesce("m", "read_id")).alias("component")).checkpoint()
-    while True:
-        near = both.join(labels, F.col("b") == F.col("read_id")).groupBy("a").agg(F.min("component").alias("m"))
-        hooked = labels.join(near, F.col("a") == F.col("read_id"), "left").select("read_id", F.least("component", F.coalesce("m", "component")).alias("c"), F.col("component").alias("old"))
-        jump = labels.select(F.col("read_id").alias("at"), F.col("component").alias("next"))
-        new = hooked.join(jump, F.col("c") == F.col("at"), "left").select("read_id", F.least("c", F.coalesce("next", "c")).alias("component"), "old").checkpoint()
-        if new.where(F.col("component") < F.col("old")).isEmpty():
-            return new.select("read_id", "component")
-        labels = new.select("read_id", "component")
+    labels = nodes.select("read_id", F.col("read_id").alias("component"))
+    left = forests(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).checkpoint()
+    while not left.isEmpty():
+        near = left.union(left.select("b", "a")).groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("r"))
+        next_ = near.select(F.col("a").alias("at"), F.col("r").alias("next"))
+        hook = near.join(next_, F.col("r") == F.col("at")).select("a", F.col("next").alias("r")).checkpoint()
+        labels = labels.join(hook, F.col("component") == F.col("a"), "left").select("read_id", F.coalesce("r", "component").alias("component")).checkpoint()
+        ends = [hook.select(F.col("a").alias(f"_{x}"), F.col("r").alias(f"r_{x}")) for x in "ab"]
+        moved = left.join(ends[0], F.col("a") == F.col("_a")).join(ends[1], F.col("b") == F.col("_b")).select(F.col("r_a").alias("a"), F.col("r_b").alias("b"))
+        left = forests(moved.where("a <> b")).checkpoint()
+    return labels
