@@ -71,6 +71,16 @@ def test_ball_tree_bounds_hold():
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 31), (31, 32), (40, 40)], "a bigint, b bigint")
     assert {r["node"]: r["root"] for r in components.connected(chain).collect()} == {**{i: 0 for i in range(21)}, 30: 30, 31: 30, 32: 30}
+    assert components.connected(chain.where("false")).count() == 0
+
+
+def test_components_of_long_chains_take_few_rounds(spark, monkeypatch):
+    order = random.Random(3).sample(range(2000), 2000)
+    written = []
+    monkeypatch.setattr(components, "materialise", lambda df, label, keep=components.materialise: written.append(label) or keep(df, label))
+    got = components.connected(spark.createDataFrame([*zip(order[:1500], order[1:1501]), *zip(order[1600:], order[1601:])], "a bigint, b bigint"))
+    want = {x: min(c) for c in (order[:1501], order[1600:]) for x in c}
+    assert {r["node"]: r["root"] for r in got.collect()} == want and written.count("hooks") <= 11
 
 
 def brute_components(rows):
