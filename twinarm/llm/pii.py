@@ -429,14 +429,24 @@ def all_spans(text: str, tags: np.ndarray, base: list[tuple[int, int, int]]) ->
     return sorted(base + added)
 
 
+#: Rows and characters whose windows are decoded together.
+SLICE_ROWS, SLICE_CHARS = 1024, 3_000_000
+
+
 def _analyse(batches, tagger: Tagger, use):
     """Apply use(rows, texts, base, spans) to slices of the batches."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            rows = batch.slice(at, 256)
-            texts = [t or "" for t in rows.column("text").to_pylist()]
-            base = [base_spans(t) for t in texts]
-            yield use(rows, texts, base, [all_spans(*x) for x in zip(texts, tagger.tag(texts), base)])
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        at = 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at])
+            while end < len(texts) and end - at < SLICE_ROWS and size + len(texts[end]) <= SLICE_CHARS:
+                size += len(texts[end])
+                end += 1
+            own = texts[at:end]
+            base = [base_spans(t) for t in own]
+            yield use(batch.slice(at, end - at), own, base, [all_spans(*x) for x in zip(own, tagger.tag(own), base)])
+            at = end
 
 
 def find(docs: DataFrame) -> DataFrame:
