@@ -43,8 +43,8 @@ def temporary(spark: SparkSession, path: str) -> None:
 
 #: Rows of whole texts that a Python worker gets at once.
 BATCH_ROWS = 2000
-#: The C allocator keeps few pools, so freed memory is found again.
-RETURN_MEMORY = {"MALLOC_ARENA_MAX": "2"}
+#: The C allocator keeps few pools and gives large blocks back at once, and Arrow uses it too, so that workers don't hold the peaks of earlier stages.
+RETURN_MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "16777216", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def importable(spark: SparkSession) -> None:
