@@ -24,9 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Labelled rows to fit on, about; a fraction is chosen by hash where there are more.
 TRAIN_ROWS = 24_000
 #: Distinct tokens whose evidence a worker remembers, and the longest of them; longer ones are scored anew each time.
@@ -295,9 +297,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
 
     split = joined.withColumn("w", F.split(F.lower("text"), "\\s+"))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.xxhash64(F.get("w", i - 1), F.get("w", i), F.get("w", i + 1)))
-    hashed = split.select("text", "toxic", grams.alias("g")).select("text", "toxic", least(1).alias("m1"), least(2).alias("m2"))
-    alike = F.greatest(*[F.count("*").over(Window.partitionBy(m, "toxic")) for m in ("m1", "m2")])
-    return hashed.select("text", "toxic", (1 / alike).alias("weight"))
+    hashed = materialise(split.select("text", "toxic", grams.alias("g")).select("text", "toxic", least(1).alias("m1"), least(2).alias("m2")), "toxic-sample")
+    weighed = hashed
+    for m in ("m1", "m2"):  # at most as many rows as the sample has
+        weighed = weighed.join(F.broadcast(hashed.groupBy(m, "toxic").agg(F.count("*").alias(f"n_{m}"))), [m, "toxic"])
+    return weighed.select("text", "toxic", (1 / F.greatest("n_m1", "n_m2")).alias("weight"))
 
 
 def _character_model(docs: DataFrame) -> np.ndarray:
@@ -376,9 +380,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Learn the character model, the lexicon and the weights."""
-    from .common import materialise
-
-    train = materialise(training_rows(docs, labels, rows), "toxic-train")
+    train = training_rows(docs, labels, rows)
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.sum("weight").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
