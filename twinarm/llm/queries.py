@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dac, decontaminate, jaccard, packing, pii, quality, suffix_dedup, topk, toxicity
+from . import audit, chat, dac, decontaminate, jaccard, mixture, packing, pii, quality, suffix_dedup, topk, toxicity, trie
 from .common import table
 
 
@@ -169,6 +169,85 @@ FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+def op11_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by source: what is taken of each, beside its source's size and target."""
+    return mixture.report(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all rebuilt conversations."""
+    return trie.report(table(spark, sf_dir, "conversations"))
+
+
+OP12_SQL = """
+WITH RECURSIVE turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+         xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [256 + unicode(c), -1, -1, -1, -1, -1, -1, -1, -1]))),
+             lambda crc, x: CASE WHEN x >= 256 THEN xor(crc, x - 256) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END)) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)
+), rebuilt AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS depth, role, text FROM (
+    SELECT c.conv_id, 0 AS own, t.pos, t.role, t.text FROM convs AS c JOIN turns AS t ON t.conv_id = c.base AND t.pos <= c.h
+    UNION ALL SELECT c.conv_id, 1, t.pos, t.role, t.text FROM convs AS c JOIN turns AS t ON t.conv_id = c.conv_id AND t.pos > c.h)
+), prefix AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS depth, '' AS key, CAST(0 AS BIGINT) AS chars FROM convs
+  UNION ALL SELECT p.conv_id, p.depth + 1, sha256(p.key || length(r.role) || ':' || r.role || r.text), CAST(length(r.text) AS BIGINT) FROM prefix AS p JOIN rebuilt AS r ON r.conv_id = p.conv_id AND r.depth = p.depth + 1
+), node AS (SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars FROM prefix GROUP BY depth, key),
+placed AS (SELECT p.conv_id AS member, n.depth, n.conv_id FROM prefix AS p JOIN node AS n USING (depth, key)),
+kids AS (SELECT up.conv_id, up.depth, count(*) AS n FROM node AS n JOIN placed AS up ON up.member = n.conv_id AND up.depth = n.depth - 1 GROUP BY ALL),
+below AS (
+  SELECT up.conv_id, up.depth, sum(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END) AS leaves, sum((n.n_convs - 1) * n.chars) AS saved
+  FROM node AS n JOIN placed AS up ON up.member = n.conv_id AND up.depth <= n.depth LEFT JOIN kids AS k ON k.conv_id = n.conv_id AND k.depth = n.depth GROUP BY ALL
+), ends AS (
+  SELECT e.conv_id, e.depth, string_agg(CAST(e.member AS VARCHAR), ',' ORDER BY e.member) AS ids
+  FROM placed AS e JOIN (SELECT conv_id AS member, max(depth) AS depth FROM prefix GROUP BY conv_id) USING (member, depth) GROUP BY e.conv_id, e.depth
+)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, CAST(b.leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM node AS n JOIN below AS b USING (conv_id, depth) LEFT JOIN kids AS k USING (conv_id, depth) LEFT JOIN ends AS e USING (conv_id, depth)
+LEFT JOIN placed AS up ON up.member = n.conv_id AND up.depth = n.depth - 1
+"""
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders of five filters over all documents, by language."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents
+), known AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+judged AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, list_filter(['A', 'B', 'C', 'D', 'E'], lambda f: CASE f
+    WHEN 'A' THEN len(w) < 100 WHEN 'B' THEN 100 * len(list_distinct(w)) < 80 * len(w)
+    WHEN 'C' THEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text)
+    WHEN 'D' THEN regexp_matches(text, '[#$%&*|]') ELSE coalesce(w.doc_id > first, false) END) AS fails
+  FROM w LEFT JOIN known USING (doc_id)
+), masks AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM judged GROUP BY ALL),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT [a.f, b.f, c.f, d.f, e.f] AS o FROM letter AS a, letter AS b, letter AS c, letter AS d, letter AS e
+  WHERE b.f <> a.f AND c.f NOT IN (a.f, b.f) AND d.f NOT IN (a.f, b.f, c.f) AND e.f NOT IN (a.f, b.f, c.f, d.f)
+), met AS (
+  SELECT part, o, s, o[s] AS f, n, good, toxic, len(list_intersect(o[1:s - 1], fails)) > 0 AS gone, list_contains(fails, o[s]) AS failed, len(fails) AS k
+  FROM masks, orders, (SELECT unnest([1, 2, 3, 4, 5]) AS s)
+), summed AS (
+  SELECT part, array_to_string(o, '') AS filter_order, s AS step, any_value(f) AS f,
+         sum(CASE WHEN NOT gone AND NOT failed THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND failed THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN gone AND failed THEN n ELSE 0 END) AS redundant, sum(CASE WHEN failed AND k = 1 THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN NOT gone AND failed THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND failed THEN toxic ELSE 0 END) AS toxic_lost
+  FROM met GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM summed
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -181,6 +260,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": op8_jaccard_join,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_decontaminate": op10_decontaminate,
+        "op11_mixture": op11_mixture,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
@@ -190,4 +272,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_chat_format": OP5_SQL,
         "op8_jaccard_join": OP8_SQL,
         "op10_decontaminate": OP10_SQL,
+        "op12_prefix_trie": OP12_SQL,
+        "op13_filter_audit": OP13_SQL,
     }
