@@ -142,7 +142,7 @@ def test_run_writes_files(spark, paths, tmp_path, caplog):
     out = tmp_path / "out"
     with caplog.at_level("INFO", "twinarm"):
         found = pipeline.run(spark, str(paths / "reads.sam"), str(paths / "ref.fa"), str(paths / "genes.bed"), str(out), config=pipeline.Config(cluster="cliques", t_o=0.5))
-    base = "output=" + sinks.output_name("reads", "gA", "gC", "cliques", 0.5)
+    out, base = out / "reads_twinarm.cliques.t_o0.5", "output=" + sinks.output_name("reads", "gA", "gC", "cliques", 0.5)
     sam = text(out / f"{base}.sam")
     assert sam[0].startswith("@HD") and len(sam) == 7 and sam[1].endswith("DG:i:0\tNG:i:0") and [x.split("\t")[0] for x in sam[1:]] == ["r01", "r02", "r03", "r04", "r14", "r15"]
     bed = text(out / f"{base}_dg.bed")
@@ -187,9 +187,24 @@ def test_base_pairs_and_combined_lines(spark, tmp_path):
     assert got[0] == "@HD\tVN:1.4" and got[1] == line("r1", 0, 5, "20M60N22M", "A" * 42) + "\tXG:i:0" and [x.split("\t")[0] for x in got[2:]] == ["z9", "a1", "m5"] and got[2].endswith("XG:i:1")
 
 
-def test_command_line(spark, paths, tmp_path, monkeypatch):
-    cli.main([str(paths / "reads.sam"), str(paths / "ref.fa"), str(paths / "genes.bed"), "-out", str(tmp_path / "o"), "-genes", "gA,gC", "-cluster", "cliques", "-t_o", "0.5"])
-    assert {p.name.split(".cliques")[0] for p in (tmp_path / "o").iterdir() if p.name.startswith("output=")} == {"output=reads_twinarm.ggA,gC"}
+def test_command_line(spark, paths, tmp_path):
+    """Without -out the outputs go beside the reads, into a folder of their own; nothing else there changes, and an earlier run is replaced."""
+    for name in ("reads.sam", "ref.fa", "genes.bed"):
+        (tmp_path / name).write_bytes((paths / name).read_bytes())
+    (tmp_path / "other.sam").write_bytes((paths / "reads.sam").read_bytes())
+    (tmp_path / "notes.txt").write_text("mine")
+    before = {p.name: p.read_bytes() for p in tmp_path.iterdir() if p.is_file()}
+    options = ["-genes", "gA,gC", "-cluster", "cliques", "-t_o", "0.5"]
+    for reads in ("reads.sam", "other.sam", "reads.sam"):
+        cli.main([str(tmp_path / reads), str(tmp_path / "ref.fa"), str(tmp_path / "genes.bed"), *options])
+    assert {p.name: p.read_bytes() for p in tmp_path.iterdir() if p.is_file()} == before
+    for base in ("reads", "other"):
+        assert {p.name.split(".cliques")[0] for p in (tmp_path / f"{base}_twinarm.cliques.t_o0.5").iterdir() if p.name.startswith("output=")} == {f"output={base}_twinarm.ggA,gC"}
+    folder = tmp_path / "reads_twinarm.cliques.t_o0.5"
+    (folder / "thesis.txt").write_text("mine too")
+    with pytest.raises(FileExistsError):
+        cli.main([str(tmp_path / "reads.sam"), str(tmp_path / "ref.fa"), str(tmp_path / "genes.bed"), *options])
+    assert (folder / "thesis.txt").read_text() == "mine too"
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["reads.sam"])
 

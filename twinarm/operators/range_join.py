@@ -42,3 +42,26 @@ def last_containing(points: DataFrame, point: str, genes: DataFrame, name: str,
         met = overlap_join(points, spread, ["region"], (point, point), ("g_start", "g_stop"), width).select("a.read_ord", "b._gene", "b.gene_ord")
     best = met.groupBy("read_ord").agg(F.max_by("_gene", "gene_ord").alias(name))
     return points.join(best, "read_ord", "left")
+
+
+#: Genes that a read's arms are held against one by one; more meet in bins.
+LISTED_GENES = 4096
+
+
+def both_containing(arms: DataFrame, genes: DataFrame, small: bool | None = None, width: int = 4096) -> DataFrame:
+    """arms (l_start, r_start, region, and a unique read_ord) with l_gene and r_gene, as :func:`last_containing` finds them, in one join for both.
+
+    A small gene table is broadcast as one row for each region, an array of its genes in order; a row then finds its genes without a shuffle of any arm.
+    """
+    if is_small(genes, rows=LISTED_GENES) if small is None else small:
+        row = F.struct(F.col("gene_ord").alias("o"), F.col("g_start").alias("a"), F.col("g_stop").alias("b"), F.col("gene").alias("gene"))
+        listed = genes.groupBy(F.col("region").alias("_region")).agg(F.sort_array(F.collect_list(row), asc=False).alias("_genes"))
+
+        def last(point: str) -> Column:
+            return F.get(F.filter("_genes", lambda g: F.col(point).between(g["a"], g["b"])), F.lit(0))["gene"]
+
+        met = arms.join(F.broadcast(listed), F.col("region") == F.col("_region"), "left")
+        return met.withColumns({"l_gene": last("l_start"), "r_gene": last("r_start")}).drop("_region", "_genes")
+    for side in "lr":
+        arms = last_containing(arms, f"{side}_start", genes, f"{side}_gene", False, width)
+    return arms

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import cigar as cg
-from .range_join import last_containing
+from .range_join import both_containing
 
 
 def accepted_tag(xg: Column) -> Column:
@@ -33,38 +33,59 @@ def last_of_each(reads: DataFrame) -> DataFrame:
     return last.select("read_ord", "read_id", "_v.*")
 
 
-def in_genes(sam: DataFrame, genes: DataFrame, small_genes: bool | None = None) -> DataFrame:
+#: What becomes of a line.
+OUTCOMES = ("header", "other tag", "no cigar", "other shape", "no gene", "read")
+
+
+def _early() -> Column:
+    """What becomes of a line that doesn't get as far as the genes; null for the others."""
+    return (
+        F.when(F.col("is_header"), "header")
+        .when(~accepted_tag(F.col("xg")), "other tag")
+        .when(F.coalesce(F.col("cigar"), F.lit("*")) == "*", "no cigar")
+        .when(~cg.is_gapped(F.col("cigar")), "other shape")
+    )
+
+
+class Seen:
+    """Counts of outcomes, observed on the plan that parses: no line is read for them alone. They are there once that plan has run to its end."""
+
+    def __init__(self) -> None:
+        self.early, self.late = Observation(), Observation()
+
+    def counts(self) -> dict[str, int]:
+        """How many lines had each of OUTCOMES."""
+        early, late = self.early.get, self.late.get
+        return {k: early.get(k, late.get(k, 0)) for k in OUTCOMES}
+
+
+def in_genes(sam: DataFrame, genes: DataFrame, small_genes: bool | None = None, seen: Seen | None = None) -> DataFrame:
     """Arms of the accepted lines with l_gene and r_gene, null where an arm lies in no gene; tag and shape filters come before the joins."""
+    if seen:
+        sam = sam.observe(seen.early, *[F.count_if(F.coalesce(_early() == k, F.lit(False))).alias(k) for k in OUTCOMES[:4]])
     records = sam.where(~F.col("is_header") & accepted_tag(F.col("xg")))
     arms = with_arms(records.select(F.col("file_line").alias("read_ord"), F.col("qname").alias("read_id"), F.col("rname").alias("region"), "pos", "cigar", "seq"))
-    for side in "lr":
-        arms = last_containing(arms, f"{side}_start", genes, f"{side}_gene", small_genes)
+    arms = both_containing(arms, genes, small_genes)
+    if seen:
+        arms = arms.observe(seen.late, *[F.count_if(c).alias(k) for k, c in (("no gene", ~_located()), ("read", _located()))])
     return arms
 
 
-def parse(sam: DataFrame, genes: DataFrame, small_genes: bool | None = None) -> DataFrame:
+def _located() -> Column:
+    return F.coalesce((F.col("l_gene") != "") & (F.col("r_gene") != ""), F.lit(False))
+
+
+def parse(sam: DataFrame, genes: DataFrame, small_genes: bool | None = None, seen: Seen | None = None) -> DataFrame:
     """Alignment lines (see sources) to reads with both arms in genes."""
-    arms = in_genes(sam, genes, small_genes)
-    kept = arms.where((F.col("l_gene") != "") & (F.col("r_gene") != ""))
+    kept = in_genes(sam, genes, small_genes, seen).where(_located())
     columns = ["read_ord", "read_id", "region", "l_start", "l_stop", "r_start", "r_stop", "l_gene", "r_gene", "l_seq", "r_seq"]
     return last_of_each(kept.select(*columns))
 
 
-#: What becomes of a line.
-OUTCOMES = ("header", "other tag", "no cigar", "other shape", "no gene", "read")
-
-
 def outcomes(sam: DataFrame, genes: DataFrame) -> DataFrame:
     """(outcome, n) for each of OUTCOMES that lines have: headers, lines rejected for their tag, for a missing or other alignment shape or for arms in no gene, and reads."""
-    line = (
-        F.when(F.col("is_header"), "header")
-        .when(~accepted_tag(F.col("xg")), "other tag")
-        .when(F.coalesce(F.col("cigar"), F.lit("*")) == "*", "no cigar")
-        .when(~cg.is_gapped(F.col("cigar")), "other shape")
-    )
-    early = sam.select(line.alias("outcome")).where(F.col("outcome").isNotNull())
-    both = (F.col("l_gene") != "") & (F.col("r_gene") != "")
-    late = in_genes(sam, genes).select(F.when(F.coalesce(both, F.lit(False)), "read").otherwise("no gene").alias("outcome"))
+    early = sam.select(_early().alias("outcome")).where(F.col("outcome").isNotNull())
+    late = in_genes(sam, genes).select(F.when(_located(), "read").otherwise("no gene").alias("outcome"))
     return early.unionByName(late).groupBy("outcome").agg(F.count("*").alias("n"))
 
 

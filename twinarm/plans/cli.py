@@ -17,7 +17,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("reads")
     p.add_argument("sequences")
     p.add_argument("genes_table")
-    p.add_argument("-out", help="output folder; by default that of the reads")
+    p.add_argument("-out", help="folder in which the run makes one of its own; by default that of the reads")
     p.add_argument("-chimeric", help="chimeric alignments to merge and analyse with the reads")
     p.add_argument("-genes", help="left,right: only this gene pair")
     p.add_argument("-cluster", default="spectral", choices=["spectral", "cliques"])

@@ -88,21 +88,21 @@ def tell(report: DataFrame) -> None:
 
 
 def run(spark: SparkSession, reads_file: str, seq_file: str, gene_file: str, out: str | None = None, chimeric_file: str | None = None, config: Config | None = None) -> dict[str, DataFrame]:
-    """The whole run over files; out is a folder for all outputs, or None to write nothing. Counts, dropped pairs and times go to the log ``twinarm``."""
+    """The whole run over files. out is the folder in which the run makes one of its own, named after the reads and the clustering (:func:`run_folder`), or None to write nothing;
+    nothing else in out is touched. Counts, dropped pairs and times go to the log ``twinarm``."""
     config, began = config or Config(), time.perf_counter()
     sam = files.read_sam(spark, reads_file)
     if chimeric_file:
         merged = chimeric.lines(files.read_sam(spark, chimeric_file).where("not is_header"))
         if out:
-            sinks.write_lines(sinks.combined(sam, merged), f"{out}/combined.sam", ["part", "file_line"])
+            sinks.write_lines(sinks.combined(sam, merged), f"{out}/{sinks.base_name(reads_file)}_twinarm.combined.sam", ["part", "file_line"])
         last = sam.agg(F.max("file_line")).first()[0] or 0
         sam = sam.unionByName(files.sam_fields(merged.select((F.col("file_line") + last + 1).alias("file_line"), "value")))
     regions, genes = files.read_fasta(spark, seq_file), files.read_genes(spark, gene_file)
     ensure_checkpoints(sam)
-    reads = rd.parse(sam, genes).checkpoint()
-    if log.isEnabledFor(logging.INFO):
-        counts = {r["outcome"]: r["n"] for r in rd.outcomes(sam, genes).collect()}  # a row for each outcome
-        log.info("lines: %s", ", ".join(f"{counts.get(k, 0)} {k}" for k in rd.OUTCOMES))
+    seen = rd.Seen()
+    reads = rd.parse(sam, genes, seen=seen).checkpoint()
+    log.info("lines: %s", ", ".join(f"{n} {k}" for k, n in seen.counts().items()))
     if not config.allow_multi_region:
         rd.single_region(reads)
     if config.genes:
@@ -116,15 +116,20 @@ def run(spark: SparkSession, reads_file: str, seq_file: str, gene_file: str, out
     log.info("duplex groups after %.1f s", time.perf_counter() - began)
     found |= stem_groups(found["members"], regions, config)
     if out:
-        write(sam, found, out, config)
+        write(sam, found, out, config, sinks.base_name(reads_file))
     log.info("all after %.1f s", time.perf_counter() - began)
     return found
 
 
-def write(sam: DataFrame, found: dict[str, DataFrame], out: str, config: Config) -> None:
-    """All outputs in one job, a folder ``output=<name>`` for each gene pair and kind."""
+def run_folder(out: str, base: str, config: Config) -> str:
+    """The folder of a run's outputs."""
+    return f"{out.rstrip('/') or '/'}/{base}_twinarm.{sinks.clustering(config.cluster, config.t_o, config.t_eig)}"
+
+
+def write(sam: DataFrame, found: dict[str, DataFrame], out: str, config: Config, base: str = "reads") -> None:
+    """All outputs in one job, a folder ``output=<name>`` for each gene pair and kind, below :func:`run_folder`."""
     group, stem = found["groups"], found["stems"]
-    first, rest = sinks.output_name("reads", "\0", "\0", config.cluster, config.t_o, config.t_eig).split("\0,\0")
+    first, rest = sinks.output_name(base, "\0", "\0", config.cluster, config.t_o, config.t_eig).split("\0,\0")
     name = F.concat(F.lit(first), F.col("l_gene"), F.lit(","), F.col("r_gene"), F.lit(rest))
 
     def lines(df: DataFrame, kind: Column, part: int, place: Column, i: Column | None = None) -> DataFrame:
@@ -146,4 +151,4 @@ def write(sam: DataFrame, found: dict[str, DataFrame], out: str, config: Config)
     every = kinds[0]
     for k in kinds[1:]:
         every = every.unionByName(k)
-    sinks.write_outputs(every, out)
+    sinks.write_outputs(every, run_folder(out, base, config))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The first lines of the track files and of the auxiliary table.
@@ -67,20 +69,47 @@ def aux_table(groups: DataFrame, stems: DataFrame, stats: DataFrame) -> DataFram
     return joined.select(*key, _text(F.concat(F.lit("Group_"), F.col("dg").cast("string")), F.coalesce("n", F.lit("0")), F.coalesce("links", none), *[F.coalesce(f"e{i}", none) for i in range(4)]).alias("value"))
 
 
+def base_name(reads: str) -> str:
+    """What the outputs of a reads file are named after: its name up to ``.sam``."""
+    return re.split(r"\.sam", re.sub(r"/+$", "", reads).rsplit("/", 1)[-1])[0] or "reads"
+
+
 def output_name(base: str, left: str, right: str, cluster: str, t_o: float, t_eig: float | None = None) -> str:
     """The common part of a gene pair's output names."""
-    return f"{base}_twinarm.g{left},{right}.{cluster}.t_o{t_o}" + (f".t_eig{t_eig}" if t_eig is not None and cluster == "spectral" else "")
+    return f"{base}_twinarm.g{left},{right}.{clustering(cluster, t_o, t_eig)}"
+
+
+def clustering(cluster: str, t_o: float, t_eig: float | None = None) -> str:
+    """How a run clusters, for names."""
+    return f"{cluster}.t_o{t_o}" + (f".t_eig{t_eig}" if t_eig is not None and cluster == "spectral" else "")
+
+
+#: Names in a folder that a run has written.
+_WRITTEN = re.compile(r"output=|part-|_SUCCESS$|\.")
+
+
+def own_folder(spark: SparkSession, path: str) -> str:
+    """path, if nothing is there or only what an earlier run has written, which may be replaced; an error if anything else lies in it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(at):
+        found = fs.getFileStatus(at)
+        foreign = [path] if found.isFile() else [n for s in fs.listStatus(at) if not _WRITTEN.match(n := s.getPath().getName())]
+        if foreign:
+            raise FileExistsError(f"{path} holds what no run has written, such as {foreign[0]}; it stays as it is")
+    return path
 
 
 def write_lines(lines: DataFrame, path: str, order: list[str]) -> None:
-    """Write value in order; the sort is distributed, so the lines stand in order over the part files."""
-    lines.orderBy(*order).select("value").write.mode("overwrite").text(path)
+    """Write value in order; the sort is distributed, so the lines stand in order over the part files. An earlier run's folder is replaced, no other one."""
+    lines.orderBy(*order).select("value").write.mode("overwrite").text(own_folder(lines.sparkSession, path))
 
 
 def write_outputs(lines: DataFrame, path: str) -> None:
-    """Write lines (output, part, ord, i, value) as a folder ``output=<name>`` for each output, in one job.
+    """Write lines (output, part, ord, i, value) as a folder ``output=<name>`` for each output, in one job. An earlier run's folder is replaced, no other one.
 
     Rows are dealt out by ranges of output and place, so a large output has several files, whose lines stand in order over them.
     """
     order = ["output", "part", "ord", "i"]
+    path = own_folder(lines.sparkSession, path)
     lines.repartitionByRange(*order).sortWithinPartitions(*order).select("output", "value").write.mode("overwrite").partitionBy("output").text(path)
