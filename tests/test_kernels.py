@@ -17,12 +17,17 @@ def random_graph(rng, n, p=0.5):
     return [(i, j, rng.random() + 0.2) for i in range(n) for j in range(i + 1, n) if rng.random() < p]
 
 
+def component(n, edges, counts=None):
+    a, b, w = (np.array(x) for x in zip(*edges)) if edges else (np.empty(0),) * 3
+    return kernels.Component(np.ones(n) if counts is None else np.array(counts), a, b, w)
+
+
 def test_spectrum_solves_the_generalised_problem():
     rng = random.Random(1)
     for n in (2, 5, 9):
         edges = random_graph(rng, n, 0.7) + [(i, i + 1, 1.0) for i in range(n - 1)]
         edges = list({(a, b): (a, b, w) for a, b, w in edges}.values())
-        values, vectors = kernels.spectrum(n, edges)
+        values, vectors = component(n, edges).lowest()
         w = np.zeros((n, n))
         for a, b, x in edges:
             w[a, b] = w[b, a] = x
@@ -33,19 +38,19 @@ def test_spectrum_solves_the_generalised_problem():
 
 def test_uniform_clique_is_split_in_two():
     edges = [(i, j, 2.0) for i, j in itertools.combinations(range(6), 2)]
-    values, _ = kernels.spectrum(6, edges)
+    values, _ = component(6, edges).lowest()
     assert values[1] == pytest.approx(12 / 5)
     assert kernels.cluster_count(values, 5.0) == 2
 
 
 def test_small_components_are_one_cluster():
-    assert kernels.spectral(1, [], 5.0)[0] == 1
-    assert kernels.spectral(3, [(0, 1, 1.7), (1, 2, 0.4)], 5.0)[0] == 1
+    assert kernels.spectral(component(1, []), 5.0)[0] == 1
+    assert kernels.spectral(component(3, [(0, 1, 1.7), (1, 2, 0.4)]), 5.0)[0] == 1
 
 
 def test_bridged_cliques_are_told_apart():
     edges = [(i, j, 1.8) for c in (range(5), range(5, 10)) for i, j in itertools.combinations(c, 2)] + [(4, 5, 0.21)]
-    k, label = kernels.spectral(10, edges, 5.0)
+    k, label = kernels.spectral(component(10, edges), 5.0)
     # The gap after the second eigenvalue asks for three clusters: the ends of the bridge are the third.
     assert k == 3 and len(set(label[:4])) == 1 and len(set(label[6:])) == 1 and len({label[0], label[4], label[9]}) == 3 and label[4] == label[5]
 
@@ -56,28 +61,90 @@ def brute_cliques(n, edges):
     return sorted(tuple(sorted(s)) for s in full if not any(s < t for t in full))
 
 
-@pytest.mark.parametrize("seed", range(12))
-def test_maximal_cliques(seed):
-    rng = random.Random(seed)
-    n = rng.randint(1, 9)
-    edges = random_graph(rng, n)
-    assert kernels.maximal_cliques(n, edges) == brute_cliques(n, edges)
+def expanded(n, edges, counts):
+    """The full graph of equal reads: node i stands for counts[i] neighbours in a row."""
+    first = np.concatenate([[0], np.cumsum(counts)])
+    at = [range(first[i], first[i + 1]) for i in range(n)]
+    full = [(x, y, 2.0) for own in at for x, y in itertools.combinations(own, 2)]
+    return int(first[-1]), full + [(x, y, w) for i, j, w in edges for x in at[i] for y in at[j]], at
+
 
+def connected_graph(rng, n, p):
+    edges = {(i, rng.randrange(i)): rng.random() + 0.2 for i in range(1, n)} | {(i, j): rng.random() + 0.2 for i in range(n) for j in range(i) if rng.random() < p}
+    return [(j, i, w) for (i, j), w in edges.items()]
 
-@pytest.mark.parametrize("seed", range(8))
-def test_clique_cover_is_disjoint_complete_and_greedy(seed):
+
+@pytest.mark.parametrize("seed", range(6))
+def test_quotient_has_the_spectrum_of_all_reads(seed):
     rng = random.Random(seed)
-    n = rng.randint(2, 10)
-    edges = random_graph(rng, n)
-    label = kernels.clique_cover(n, edges)
-    near = {frozenset(e[:2]) for e in edges}
-    sizes = []
-    for k in range(label.max() + 1):
-        held = np.flatnonzero(label == k)
-        sizes.append(len(held))
-        assert all(frozenset(p) in near for p in itertools.combinations(held.tolist(), 2))
-    assert sizes == sorted(sizes, reverse=True)
-    assert max(sizes) == max(map(len, brute_cliques(n, edges)))
+    n = rng.randint(1, 8)
+    edges, counts = connected_graph(rng, n, 0.4), [rng.randint(1, 4) for _ in range(n)]
+    many, full, at = expanded(n, edges, counts)
+    small, large = component(n, edges, counts), component(many, full)
+    if many < 2:
+        return
+    values, vectors = small.lowest()
+    want, _ = large.lowest()
+    assert np.allclose(small.spectrum(values), want) and np.allclose(small.spectrum(values[: kernels.LOWEST], kernels.LOWEST), want[: kernels.LOWEST])
+    w = np.zeros((many, many))
+    for a, b, x in full:
+        w[a, b] = w[b, a] = x
+    spread = np.repeat(vectors, counts, axis=0)
+    assert np.allclose((np.diag(w.sum(1)) - w) @ spread, (w > 0).sum(1)[:, None] * spread * values)
+
+
+@pytest.mark.parametrize("shape", ["tiling", "tight", "ring", "wide tiling"])
+def test_lowest_pairs_without_a_matrix_of_all_nodes(shape, monkeypatch):
+    """Both ways to iterate against the dense solver."""
+    rng = np.random.default_rng(4)
+    n = 900
+    if shape == "tiling":
+        start = np.sort(rng.integers(0, 3000, n))
+        edges = [(i, j, 1 + rng.random()) for i in range(n) for j in range(i + 1, min(n, i + 12)) if start[j] - start[i] < 25] + [(i, i + 1, 1.0) for i in range(n - 1)]
+    elif shape == "ring":
+        edges = [(i, (i + 1) % n, 1.0) for i in range(n)]
+    else:
+        edges = [(i, int(j), 1 + rng.random()) for i in range(1, n) for j in {*rng.integers(0, i, 6).tolist()}]
+        if shape == "wide tiling":
+            monkeypatch.setattr(kernels, "FACTOR", 0)
+            edges = [(i, j, 1 + rng.random()) for i in range(n) for j in range(i + 1, min(n, i + 60))]
+    edges = list({(min(a, b), max(a, b)): (min(a, b), max(a, b), w) for a, b, w in edges}.values())
+    graph = component(n, edges, rng.integers(1, 4, n))
+    assert graph.levels().min() == 0
+    values, vectors = graph.lowest()
+    want = np.linalg.eigvalsh(graph.dense())[: kernels.LOWEST]
+    assert vectors.shape == (n, kernels.LOWEST) and np.allclose(values, want, atol=1e-8)
+    y = vectors / graph.scale[:, None]
+    assert np.linalg.norm(graph.times(y) - y * values, axis=0).max() <= 1e-7
+
+
+def greedy(n, edges):
+    taken, chosen = set(), []
+    for c in sorted(brute_cliques(n, edges), key=lambda c: (-len(c), c)):
+        if not taken & set(c):
+            taken |= set(c)
+            chosen.append(c)
+    return chosen
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_cliques_are_the_greedy_ones_of_all_reads(seed):
+    rng = random.Random(seed)
+    n = rng.randint(1, 7)
+    edges, counts = random_graph(rng, n, rng.choice([0.3, 0.5, 0.8])), [rng.randint(1, 2) for _ in range(n)]
+    many, full, at = expanded(n, edges, counts)
+    label = kernels.Cliques(component(n, edges, counts)).cover()
+    got = [tuple(x for i in range(n) if label[i] == k for x in at[i]) for k in range(label.max() + 1)]
+    assert got == greedy(many, full)
+    assert got == [tuple(np.flatnonzero(kernels.Cliques(component(many, full)).cover() == k).tolist()) for k in range(len(got))]
+
+
+def test_cliques_of_a_dense_graph_end():
+    """The complement of triangles: 3 to the power of 40 maximal cliques, so they can't be listed."""
+    n = 120
+    edges = [(i, j, 1.0) for i in range(n) for j in range(i + 1, n) if i // 3 != j // 3]
+    label = kernels.Cliques(component(n, edges)).cover()
+    assert [sorted(np.flatnonzero(label == k).tolist()) for k in range(3)] == [list(range(k, n, 3)) for k in range(3)]
 
 
 def test_first_fit_of_worked_extents():

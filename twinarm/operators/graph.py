@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.intervals import overlap, ratio
-from .components import components
+from .components import components, ensure_checkpoints
 from .range_join import overlap_join
 
 PAIR = ["l_gene", "r_gene"]
@@ -44,17 +45,38 @@ def with_components(reads: DataFrame, edge: DataFrame) -> DataFrame:
     return reads.join(components(reads, edge), "read_id")
 
 
+_ENDS = ["l_start", "l_stop", "r_start", "r_stop"]
+
+
+def quotient(reads: DataFrame) -> DataFrame:
+    """Reads of a gene pair with equal arms as one row: their least read_id and read_ord, and n, how many they are.
+
+    Such reads are joined to each other and to the same others, so edges, components and clusters of these rows are those of the reads, and edges grow with the number of
+    different arms instead of the square of the reads at one place.
+    """
+    return reads.groupBy(*PAIR, *_ENDS).agg(F.min("read_id").alias("read_id"), F.min("read_ord").alias("read_ord"), F.count("*").alias("n"))
+
+
+def of_all_reads(reads: DataFrame, found: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """reads with columns of found, a table by read_id of rows (from :func:`quotient`). One key may hold most reads; Spark splits such a join."""
+    each = rows.select("read_id", *_ENDS, *PAIR).join(found.select("read_id", *columns), "read_id").drop("read_id")
+    return reads.join(each, [*PAIR, *_ENDS])
+
+
 def _per_component(placed: DataFrame, edge: DataFrame) -> DataFrame:
-    """One row per component: its nodes in order and its edges, for a kernel. Kernels are dense, so a component has to fit one task anyway."""
-    nodes = placed.groupBy(*PAIR, "component").agg(F.sort_array(F.collect_list("read_id")).alias("nodes"), F.min("read_ord").alias("first_ord"))
+    """One row per component, for a kernel: its nodes in order, how many reads each is, and its edges, as arrays."""
+    own = F.struct("read_id", F.col("n") if "n" in placed.columns else F.lit(1).cast("bigint").alias("n"))
+    nodes = placed.groupBy(*PAIR, "component").agg(F.sort_array(F.collect_list(own)).alias("nodes"), F.min("read_ord").alias("first_ord"))
     at = placed.select(F.col("read_id").alias("src"), "component")
     inner = edge.join(at, "src").groupBy("component").agg(F.collect_list(F.struct("src", "dst", "weight")).alias("links"))
-    return nodes.join(inner, "component", "left")
+    met = nodes.join(inner, "component", "left")
+    return met.select(*PAIR, "component", "first_ord", F.col("nodes.read_id").alias("nodes"), F.col("nodes.n").alias("counts"), *[F.col(f"links.{c}").alias(c) for c in ("src", "dst", "weight")])
 
 
-def _local(nodes, links):
-    place = {v: i for i, v in enumerate(nodes)}
-    return len(nodes), [(place[e["src"]], place[e["dst"]], e["weight"]) for e in (links if links is not None else [])]
+def _local(row) -> kernels.Component:
+    if row.src is None or not len(row.src):
+        return kernels.Component(row.counts, *(np.empty(0),) * 3)
+    return kernels.Component(row.counts, np.searchsorted(row.nodes, row.src), np.searchsorted(row.nodes, row.dst), row.weight)
 
 
 _LABELS = "l_gene string, r_gene string, component {id}, first_ord bigint, read_id {id}, k int, label int"
@@ -63,14 +85,16 @@ _LABELS = "l_gene string, r_gene string, component {id}, first_ord bigint, read_
 def _labelled(placed: DataFrame, edge: DataFrame, kernel) -> DataFrame:
     def run(frames):
         for f in frames:
-            rows = []
+            out = []
             for r in f.itertuples(index=False):
-                k, label = kernel(*_local(r.nodes, r.links))
-                rows += [(r.l_gene, r.r_gene, r.component, r.first_ord, v, k, int(c)) for v, c in zip(r.nodes, label) if c >= 0]
-            yield pd.DataFrame(rows, columns=["l_gene", "r_gene", "component", "first_ord", "read_id", "k", "label"])
+                k, label = kernel(_local(r))
+                kept = label >= 0
+                out.append(pd.DataFrame({"l_gene": r.l_gene, "r_gene": r.r_gene, "component": r.component, "first_ord": r.first_ord, "read_id": r.nodes[kept], "k": k, "label": label[kept]}))
+            if out:
+                yield pd.concat(out)
 
     kind = placed.schema["read_id"].dataType.simpleString()
-    return _per_component(placed, edge).select(*PAIR, "component", "first_ord", "nodes", "links").mapInPandas(run, _LABELS.format(id=kind))
+    return _per_component(placed, edge).mapInPandas(run, _LABELS.format(id=kind))
 
 
 def numbered(labelled: DataFrame) -> DataFrame:
@@ -82,28 +106,42 @@ def numbered(labelled: DataFrame) -> DataFrame:
 
 
 def spectral_groups(placed: DataFrame, edge: DataFrame, t_eig: float = 5.0, embedding: str = "columns") -> DataFrame:
-    """Duplex groups by spectral clustering of each component."""
-    return numbered(_labelled(placed, edge, lambda n, e: kernels.spectral(n, e, t_eig, embedding)))
+    """Duplex groups by spectral clustering of each component; placed may have n, how many equal reads a row stands for."""
+    return numbered(_labelled(placed, edge, lambda g: kernels.spectral(g, t_eig, embedding)))
 
 
 def clique_groups(placed: DataFrame, edge: DataFrame) -> DataFrame:
-    """Duplex groups by greedy disjoint cliques of each component; reads left over get none."""
+    """Duplex groups by greedy disjoint cliques of each component; reads left over get none. placed may have n, how many equal reads a row stands for."""
 
-    def kernel(n, e):
-        label = kernels.clique_cover(n, e)
+    def kernel(g):
+        label = kernels.Cliques(g).cover()
         return int(label.max()) + 1, label
 
     return numbered(_labelled(placed, edge, kernel))
 
 
+def clustered(reads: DataFrame, t: float, cluster: str = "spectral", t_eig: float = 5.0, embedding: str = "columns") -> DataFrame:
+    """(l_gene, r_gene, read_id, component, dg) of all reads that get a group. Edges, components and clusters are those of the different arms (:func:`quotient`)."""
+    ensure_checkpoints(reads)
+    # Written once each to the shared folder: what follows reads them several times, and a lost executor doesn't repeat the joins before.
+    rows = quotient(reads).checkpoint()
+    edge = edges(rows, t).checkpoint()
+    placed = with_components(rows, edge)
+    found = spectral_groups(placed, edge, t_eig, embedding) if cluster == "spectral" else clique_groups(placed, edge)
+    return of_all_reads(reads.select("read_id", *PAIR, *_ENDS), found, rows, ["component", "dg"]).select(*PAIR, "read_id", "component", "dg")
+
+
 def spectra(placed: DataFrame, edge: DataFrame) -> DataFrame:
-    """Eigenvalues of each component of two nodes or more, by rank."""
+    """Eigenvalues of each component of two reads or more, by rank: all of them, or the lowest of a component with more than ``kernels.DENSE`` different reads."""
+
+    def values(g: kernels.Component) -> np.ndarray:
+        return g.spectrum(g.lowest()[0], None if g.n <= kernels.DENSE else kernels.LOWEST)
 
     def run(frames):
         for f in frames:
-            rows = [(r.component, i, float(x)) for r in f.itertuples(index=False) for i, x in enumerate(kernels.spectrum(*_local(r.nodes, r.links))[0])]
+            rows = [(r.component, i, float(x)) for r in f.itertuples(index=False) for i, x in enumerate(values(_local(r)))]
             yield pd.DataFrame(rows, columns=["component", "rank", "eigenvalue"])
 
     kind = placed.schema["read_id"].dataType.simpleString()
-    several = _per_component(placed, edge).where(F.size("nodes") > 1)
-    return several.select("component", "nodes", "links").mapInPandas(run, f"component {kind}, rank int, eigenvalue double")
+    several = _per_component(placed, edge).where("aggregate(counts, 0L, (a, x) -> a + x) > 1")
+    return several.mapInPandas(run, f"component {kind}, rank int, eigenvalue double")

@@ -45,19 +45,13 @@ class Config:
 def duplex_groups(reads: DataFrame, config: Config) -> dict[str, DataFrame]:
     """members (reads with dg of valid groups), groups (statistics, coverage, colours) of gene pairs that pass, and failed reads of those that don't."""
     ensure_checkpoints(reads)
-    # Written once each to the shared folder: what follows reads them several times, and a lost executor doesn't repeat the joins before.
-    edge = graph.edges(reads, config.t_o).checkpoint()
-    placed = graph.with_components(reads, edge)
-    if config.cluster == "spectral":
-        assigned = graph.spectral_groups(placed, edge, config.t_eig, config.embedding)
-    else:
-        assigned = graph.clique_groups(placed, edge)
+    assigned = graph.clustered(reads, config.t_o, config.cluster, config.t_eig, config.embedding)
     members = groups.valid_groups(reads.join(assigned.select("read_id", "dg", "component"), "read_id")).checkpoint()
     failed = groups.non_overlapping(members).checkpoint()
     stats = groups.colours(groups.coverage(groups.medians(members), members))
     stats = groups.without_failed_pairs(stats, failed).checkpoint()
     members = members.join(failed.select("l_gene", "r_gene").distinct(), ["l_gene", "r_gene"], "left_anti")
-    return {"members": members, "groups": stats, "failed": failed, "edges": edge}
+    return {"members": members, "groups": stats, "failed": failed}
 
 
 def stem_groups(members: DataFrame, regions: DataFrame, config: Config) -> dict[str, DataFrame]:

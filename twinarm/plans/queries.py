@@ -252,31 +252,30 @@ def connected_components(spark, sf_dir):
     return components.components(r, graph.edges(r, 0.5))
 
 
-def _placed(spark, sf_dir, t):
-    r = views.reads(spark, sf_dir)
-    edge = graph.edges(r, t)
-    return graph.with_components(r, edge), edge
-
-
 @query("cliques_dg")
 def cliques_dg(spark, sf_dir):
-    return graph.clique_groups(*_placed(spark, sf_dir, 0.1))
+    return graph.clustered(views.arms(spark, sf_dir), 0.1, "cliques")
 
 
 @query("spectral_dg")
 def spectral_dg(spark, sf_dir):
-    return graph.spectral_groups(*_placed(spark, sf_dir, 0.5))
+    return graph.clustered(views.arms(spark, sf_dir), 0.5)
 
 
 @query("component_spectra")
 def component_spectra(spark, sf_dir):
-    return graph.spectra(*_placed(spark, sf_dir, 0.5)).withColumn("eigenvalue", F.round("eigenvalue", 6))
+    r = views.arms(spark, sf_dir)
+    components.ensure_checkpoints(r)
+    rows = graph.quotient(r).checkpoint()
+    edge = graph.edges(rows, 0.5).checkpoint()
+    return graph.spectra(graph.with_components(rows, edge), edge).withColumn("eigenvalue", F.round("eigenvalue", 6))
 
 
 @query("dg_offsets", f"{WITH}{COMPONENTS}, each AS (SELECT l_gene, r_gene, component, min(read_ord) AS o, count(*) % 3 + 1 AS k FROM reads JOIN comp USING (read_id) GROUP BY ALL) SELECT l_gene, r_gene, component, CAST(sum(k) OVER (PARTITION BY l_gene, r_gene ORDER BY o, component) - k AS BIGINT) AS dg FROM each")
 def dg_offsets(spark, sf_dir):
     """Offsets of components that have as many clusters as their size modulo 3, and one more."""
-    placed, _ = _placed(spark, sf_dir, 0.5)
+    r = views.arms(spark, sf_dir)
+    placed = graph.with_components(r, graph.edges(r, 0.5))
     each = placed.groupBy("l_gene", "r_gene", "component").agg(F.min("read_ord").alias("first_ord"), (F.count("*") % 3 + 1).cast("int").alias("k"), F.min("read_id").alias("read_id"))
     return graph.numbered(each.withColumn("label", F.lit(0))).select("l_gene", "r_gene", "component", "dg")
 
