@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinarm.functions import kernels
-from twinarm.operators import components, graph, groups
+from twinarm.operators import components, graph, groups, range_join
 from twinarm.plans import queries, views
 
 SF = "/root/testdata/sf0.001"
@@ -147,6 +147,20 @@ def test_coverage_and_apart_reads_by_pairs_of_rows(spark, reads):
     assert {r["read_id"] for r in groups.non_overlapping(members).collect()} == want and want
 
 
+def test_full_cells_are_shared(spark, reads):
+    """A cell that holds a third of all rows gives the same pairs in parts, none of which has more than its share of smaller rows."""
+    r = views.arms(spark, SF)
+    hot = r.withColumns({"l_start": F.col("read_id") % 9 + 100, "l_stop": F.col("read_id") % 5 + 112, "r_start": F.col("read_id") % 7 + 160, "r_stop": F.col("read_id") % 11 + 175, "read_id": F.col("read_id") + 10**6, "l_gene": F.lit("x"), "r_gene": F.lit("y")}).limit(300)
+    both = r.unionByName(hot)
+    sides = (("l_start", "l_stop"), ("r_start", "r_stop"))
+    whole = {(x["src"], x["dst"]) for x in graph.overlapping_pairs(both).collect()}
+    parts = range_join.rectangle_pairs(both, graph.PAIR, "read_id", sides, cell_rows=20)
+    got = parts.select(F.col("a.read_id").alias("src"), F.col("b.read_id").alias("dst"), F.col("a._part").alias("part"), "a._x", "a._y", "a.l_gene")
+    rows = got.collect()
+    assert len(rows) == len(whole) and {(x["src"], x["dst"]) for x in rows} == whole
+    assert {x["part"] for x in rows if x["l_gene"] == "x"} >= set(range(10))
+
+
 def test_edges(spark, reads):
     for t in (0.1, 0.5):
         got = {(r["src"], r["dst"]): r["weight"] for r in graph.edges(views.arms(spark, SF), t).collect()}

@@ -152,6 +152,31 @@ def test_first_fit_of_worked_extents():
     assert [k for _, k in first_fit(extents)] == [0, 1, 0, 1, 2]
 
 
+def plain_first_fit(extents):
+    colours, out = [], []
+    for dg, lo, hi in sorted(extents):
+        k = next((k for k, held in enumerate(colours) if all(min(b, hi) - max(a, lo) <= 0 for a, b in held)), len(colours))
+        if k == len(colours):
+            colours.append([])
+        colours[k].append((lo, hi))
+        out.append((dg, k))
+    return out
+
+
+@given(st.lists(st.tuples(st.integers(-40, 3000), st.sampled_from([-1, 0, 1, 2, 5, 17, 60, 900])), max_size=60))
+@settings(max_examples=150, deadline=None)
+def test_first_fit_as_by_all_pairs(ranges):
+    extents = [(i, a, a + n) for i, (a, n) in enumerate(ranges)]
+    assert first_fit(extents) == plain_first_fit(extents)
+
+
+def test_first_fit_of_a_pile_and_of_many_groups():
+    assert [k for _, k in first_fit([(i, i % 7, 100 + i % 5) for i in range(3000)])] == list(range(3000))
+    rng = random.Random(2)
+    starts = [rng.randrange(1_000_000) for _ in range(60_000)]
+    assert max(k for _, k in first_fit([(i, at, at + rng.randrange(30, 90)) for i, at in enumerate(starts)])) < 40
+
+
 @given(st.lists(st.tuples(st.integers(0, 80), st.integers(0, 30)), max_size=25))
 @settings(max_examples=50, deadline=None)
 def test_colours_hold_no_overlap(ranges):

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions.intervals import overlap, ratio
+from ..functions.intervals import ratio
 from .components import components, ensure_checkpoints
-from .range_join import overlap_join
+from .range_join import rectangle_pairs
 
 PAIR = ["l_gene", "r_gene"]
 _ARMS = ["read_id", "l_gene", "r_gene", "l_start", "l_stop", "r_start", "r_stop"]
@@ -22,9 +22,7 @@ def _ratios(side: str):
 
 def overlapping_pairs(reads: DataFrame, width: int = 16) -> DataFrame:
     """Pairs of reads of a gene pair that overlap on both arms: l_gene, r_gene, src < dst, ratio_l, ratio_r."""
-    r = reads.select(*_ARMS)
-    right = overlap(*(F.col(f"{t}.r_{e}") for t in "ab" for e in ("start", "stop"))) > 0
-    met = overlap_join(r, r, PAIR, ("l_start", "l_stop"), ("l_start", "l_stop"), width, (F.col("a.read_id") < F.col("b.read_id")) & right)
+    met = rectangle_pairs(reads.select(*_ARMS), PAIR, "read_id", (("l_start", "l_stop"), ("r_start", "r_stop")), width)
     return met.select("a.l_gene", "a.r_gene", F.col("a.read_id").alias("src"), F.col("b.read_id").alias("dst"), _ratios("l").alias("ratio_l"), _ratios("r").alias("ratio_r"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,33 +40,84 @@ def coverage(groups: DataFrame, members: DataFrame) -> DataFrame:
     return counted.withColumn("coverage", F.try_divide(F.col("num_reads"), F.sqrt(F.col("n_l") * F.col("n_r"))))
 
 
+class FirstFit:
+    """Colours by first fit: an extent gets the first colour none of whose extents overlaps it by more than a shared end.
+
+    Colours are bits. A binary tree over positions has, for each node, the colours that cover it and those that touch it; an extent is a few nodes, so its blocked colours are a few
+    unions, and the first free one is the lowest bit that is missing. Nodes exist where extents lie; the tree grows upwards with the positions.
+    """
+
+    def __init__(self) -> None:
+        self.cover: list[dict[int, int]] = []
+        self.touch: list[dict[int, int]] = []
+        self.used = 0
+
+    def _grow(self, levels: int) -> None:
+        while len(self.cover) < levels:
+            below = self.touch[-1] if self.touch else {}
+            up: dict[int, int] = {}
+            for node, colours in below.items():
+                up[node >> 1] = up.get(node >> 1, 0) | colours
+            self.cover.append({})
+            self.touch.append(up)
+
+    def place(self, lo: int, hi: int) -> int:
+        """The colour of an extent, which is then held by it."""
+        if hi <= lo:  # a point overlaps nothing
+            return 0
+        self._grow(max(abs(lo), abs(hi)).bit_length() + 1)
+        cover, touch, blocked, nodes = self.cover, self.touch, 0, []
+        a, b, level = lo, hi, 0
+        while a < b:
+            if a & 1:
+                nodes.append((level, a))
+                a += 1
+            if b & 1:
+                b -= 1
+                nodes.append((level, b))
+            a, b, level = a >> 1, b >> 1, level + 1
+        for level, node in nodes:
+            blocked |= touch[level].get(node, 0)
+        first, last = lo, hi - 1
+        for level in range(len(cover)):
+            blocked |= cover[level].get(first, 0) | cover[level].get(last, 0)
+            first, last = first >> 1, last >> 1
+        colour = ~blocked & (blocked + 1)
+        for level, node in nodes:
+            cover[level][node] = cover[level].get(node, 0) | colour
+            touch[level][node] = touch[level].get(node, 0) | colour
+        first, last = lo, hi - 1
+        for level in range(len(touch)):
+            if (held := touch[level].get(first, 0)) & colour == 0:
+                touch[level][first] = held | colour
+            if (held := touch[level].get(last, 0)) & colour == 0:
+                touch[level][last] = held | colour
+            first, last = first >> 1, last >> 1
+        return colour.bit_length() - 1
+
+
 def first_fit(extents: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """(group, colour) in order of group: the first colour none of whose extents overlaps by more than a shared end."""
-    colours: list[list[tuple[int, int]]] = []
-    out = []
-    for dg, lo, hi in sorted(extents):
-        for k, held in enumerate(colours):
-            if all(min(b, hi) - max(a, lo) <= 0 for a, b in held):
-                break
-        else:
-            k = len(colours)
-            colours.append([])
-        colours[k].append((lo, hi))
-        out.append((dg, k))
-    return out
+    """(group, colour) in order of group."""
+    held = FirstFit()
+    return [(dg, held.place(lo, hi)) for dg, lo, hi in sorted(extents)]
 
 
 def colours(groups: DataFrame) -> DataFrame:
-    """groups with ng. First fit depends on all groups before, so a gene pair's groups (not its reads) meet in one task."""
+    """groups with ng. First fit depends on all groups before, so a gene pair's groups (not its reads) pass through one task, sorted and one by one; only colours are held."""
 
     def run(frames):
+        pair, held = None, None
         for f in frames:
-            rows = [(r.l_gene, r.r_gene, dg, ng) for r in f.itertuples(index=False) for dg, ng in first_fit([(x["dg"], x["ext_min"], x["ext_max"]) for x in r.extents])]
-            yield pd.DataFrame(rows, columns=["l_gene", "r_gene", "dg", "ng"])
+            found = []
+            for l_gene, r_gene, lo, hi in zip(f["l_gene"], f["r_gene"], f["ext_min"].tolist(), f["ext_max"].tolist()):
+                if (l_gene, r_gene) != pair:
+                    pair, held = (l_gene, r_gene), FirstFit()
+                found.append(held.place(lo, hi))
+            yield f[["l_gene", "r_gene", "dg"]].assign(ng=found)
 
     kind = groups.schema["dg"].dataType.simpleString()
-    listed = groups.groupBy(*PAIR).agg(F.collect_list(F.struct("dg", "ext_min", "ext_max")).alias("extents"))
-    return groups.join(listed.mapInPandas(run, f"l_gene string, r_gene string, dg {kind}, ng int"), KEY)
+    ordered = groups.select(*KEY, "ext_min", "ext_max").repartition(*PAIR).sortWithinPartitions(*KEY)
+    return groups.join(ordered.mapInPandas(run, f"l_gene string, r_gene string, dg {kind}, ng int"), KEY)
 
 
 def non_overlapping(members: DataFrame) -> DataFrame:

@@ -28,6 +28,36 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], left_range:
     return a.join(b, on if condition is None else on & condition)
 
 
+#: Rows of a cell that are one part of it; a fuller cell is shared by several tasks.
+CELL_ROWS = 2048
+
+
+def rectangle_pairs(rows: DataFrame, keys: list[str], name: str, sides: tuple[tuple[str, str], tuple[str, str]], width: int = 16, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Pairs of rows (aliases ``a`` and ``b``, by name smaller and greater) with equal keys that overlap in both of the inclusive ranges of sides.
+
+    Rows meet by the cells of a grid over both ranges, so what overlaps in one range only seldom meets. A pair that shares several cells is kept in the one of the later starts. Cells
+    are counted first: a fuller one than cell_rows has parts, each smaller row lies in one of them and each greater row in all, so a pile-up is shared by as many tasks as it has parts.
+    """
+
+    def bins(s: str, e: str) -> Column:
+        return F.explode(F.sequence(F.floor(F.col(s) / width), F.floor(F.col(e) / width)))
+
+    (ls, le), (rs, re) = sides
+    cells = rows.where((F.col(ls) <= F.col(le)) & (F.col(rs) <= F.col(re))).withColumn("_x", bins(ls, le)).withColumn("_y", bins(rs, re))
+    at = [*keys, "_x", "_y"]
+    full = cells.groupBy(*at).agg(F.count("*").alias("_n")).where(F.col("_n") > cell_rows).select(*at, F.ceil(F.col("_n") / cell_rows).cast("int").alias("_parts"))
+    counted = cells.join(full, at, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    a = counted.withColumn("_part", F.pmod(F.xxhash64(name), F.col("_parts")).cast("int")).drop("_parts").alias("a")
+    b = counted.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts").alias("b")
+    on = (F.col("a._part") == F.col("b._part")) & (F.col(f"a.{name}") < F.col(f"b.{name}"))
+    for k in at:
+        on &= F.col(f"a.{k}") == F.col(f"b.{k}")
+    for (s, e), cell in zip(sides, ("_x", "_y")):
+        on &= (F.col(f"a.{s}") <= F.col(f"b.{e}")) & (F.col(f"b.{s}") <= F.col(f"a.{e}"))
+        on &= F.floor(F.greatest(F.col(f"a.{s}"), F.col(f"b.{s}")) / width) == F.col(f"a.{cell}")
+    return a.join(b, on)
+
+
 def last_containing(points: DataFrame, point: str, genes: DataFrame, name: str, small: bool | None = None, width: int = 4096) -> DataFrame:
     """points with column name: the gene of the greatest gene_ord whose range holds the point, null if none. points needs a unique ``read_ord``.
 
