@@ -210,6 +210,53 @@ def test_base_spans():
     assert pii.base_spans("") == [] and pii.base_spans("4111 1111 1111 1111") == [(2, 0, 19)]
 
 
+def spans_of(tagger, texts):
+    base = [pii.base_spans(t) for t in texts]
+    return [pii.all_spans(*x) for x in zip(texts, tagger.tag(texts, base), base)]
+
+
+def long_texts(seed):
+    rng = np.random.default_rng(seed)
+    return [pii._example(rng, int(n))[0] for n in (5, 200, 256, 257, 700, 5000, 20_000)] + ["", "bob at host dot com " * 60, "a1" * 700, "plain words only " * 300, "x" * 400 + " (at) " + "host-" * 100 + " dot com"]
+
+
+def test_skipped_windows_would_add_no_span(tagger, monkeypatch):
+    """Decoding only near marks gives the spans of decoding everything."""
+    texts = [t for seed in range(6) for t in long_texts(seed)]
+    got = spans_of(tagger, texts)
+    assert sum(len(g) - len(pii.base_spans(t)) for g, t in zip(got, texts)) > 20
+    monkeypatch.setattr(pii, "_MARK", re.compile("(?s)."))
+    base = [pii.base_spans(t) for t in texts]
+    assert got == [pii.all_spans(*x) for x in zip(texts, tagger.tag(texts), base)]
+
+
+def test_windows_agree_with_a_decode_of_the_whole_text(tagger):
+    """Windows see MARGIN characters beyond what they own, so their tags are nearly those of one decode of everything, and so are the spans."""
+    same = total = alike = every = 0
+    for text in long_texts(11):
+        if len(text) > pii.WINDOW:
+            whole = tagger.decode(pii.symbols(text)[:, None])[:, 0]
+            windows = np.concatenate([tagger.tag([text])[0]])
+            near = windows > 0
+            same, total = same + int((windows[near] == whole[near]).sum()), total + int(near.sum())
+            base = pii.base_spans(text)
+            a, b = set(pii.all_spans(text, whole, base)), set(pii.all_spans(text, windows, base))
+            alike, every = alike + len(a & b), every + len(a | b)
+    assert same > 0.98 * total and alike > 0.95 * every
+
+
+@pytest.mark.parametrize("text", ["bob (at) host" + "-dot" * 30 + "_!", "a" * 1_000_000, "a (at) " + "b dot " * 150_000, "a at " + "dot " * 250_000, "x@" + "y." * 500_000 + "!", "(at)" * 250_000, "a (at) b" + " (dot) c" * 120_000])
+def test_forms_are_checked_in_one_pass(text):
+    began = time.perf_counter()
+    pii._plausible(0, text)
+    assert time.perf_counter() - began < 2
+
+
+def test_forms():
+    good = ["bob (at) host.com", "bob@host dot com", "x.y at host dot co dot uk", "bob [AT] host [dot] org", "a @ b.c"]
+    assert all(pii._plausible(0, t) for t in good) and not any(pii._plausible(0, t) for t in ("bob at host", "at home", "bob (at) host", "bob", "", "a (at) b dot ", "bob at host.com"))
+
+
 def test_base_spans_equal_the_plain_patterns():
     rng = random.Random(8)
     for k in range(6000):

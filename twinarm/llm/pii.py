@@ -361,25 +361,53 @@ class Tagger:
                     at = back[t, at, cols]
         return tags
 
-    def tag(self, texts: list[str]) -> list[np.ndarray]:
-        """The tags of whole texts, windows reconciled."""
-        coded = [symbols(t) for t in texts]
-        tags = [np.zeros(len(c), np.uint8) for c in coded]
-        groups: dict[int, list[tuple[int, int, int, int]]] = {}  # window length -> (text, start, first and end of the part it owns)
+    def tag(self, texts: list[str], base: list[list[tuple[int, int, int]]] | None = None) -> list[np.ndarray]:
+        """The tags of whole texts, windows reconciled, wherever a span of a plausible form can lie.
+
+        A plausible span holds a mark (:data:`_MARK`) and touches no base span, so windows that own a mark outside of base spans are decoded first. A span that reaches the edge of what a decoded window owns may go on in the
+        next, which then is decoded too, until none does; so every span that has a mark is the one that decoding all windows would give.
+        """
+        coded, tags, todo, owned = [], [], [], []
         step = WINDOW - 2 * MARGIN
-        for k, c in enumerate(coded):
-            n = len(c)
+        for text, known in zip(texts, base or [[]] * len(texts)):
+            n = len(text)
+            marks = np.fromiter((p for m in _MARK.finditer(text) for p in range(*m.span())), np.int64)
+            if known and len(marks):
+                held = np.zeros(n + 1, np.int64)
+                np.add.at(held, [s for _, s, _ in known], 1)
+                np.subtract.at(held, [e for _, _, e in known], 1)
+                marks = marks[np.cumsum(held)[marks] == 0]
             if n <= WINDOW:
-                if n:
-                    groups.setdefault(-(-n // 32) * 32, []).append((k, 0, 0, n))
-                continue
-            starts = [*range(0, n - WINDOW, step), n - WINDOW]
-            edges = [0, *((a + WINDOW + b) // 2 for a, b in zip(starts, starts[1:])), n]
-            groups.setdefault(WINDOW, []).extend((k, s, edges[i], edges[i + 1]) for i, s in enumerate(starts))
-        for size, windows in groups.items():
-            pieces = -(-len(windows) // BATCH)
+                starts, edges = np.zeros(min(n, 1), np.int64), np.array([0, n])
+            else:
+                starts = np.array([*range(0, n - WINDOW, step), n - WINDOW])
+                edges = np.concatenate([[0], (starts[:-1] + WINDOW + starts[1:]) // 2, [n]])
+            owned.append((starts, edges))
+            todo.append(np.unique(np.searchsorted(edges, marks, side="right") - 1))
+            coded.append(symbols(text) if len(marks) else None)
+            tags.append(np.zeros(n, np.uint8))
+        done = [np.zeros(len(s), bool) for s, _ in owned]
+        while any(map(len, todo)):
+            self._decode_windows([(k, int(owned[k][0][w]), *map(int, owned[k][1][w : w + 2])) for k, own in enumerate(todo) for w in own], coded, tags)
+            for k, own in enumerate(todo):
+                if len(own):
+                    done[k][own] = True
+                    edges, more = owned[k][1], []
+                    for w in own:
+                        more += [w - 1] if w and tags[k][edges[w]] and not done[k][w - 1] else []
+                        more += [w + 1] if w + 1 < len(done[k]) and tags[k][edges[w + 1] - 1] and not done[k][w + 1] else []
+                    todo[k] = np.unique(np.array(more, np.int64))
+        return tags
+
+    def _decode_windows(self, windows: list[tuple[int, int, int, int]], coded: list[np.ndarray], tags: list[np.ndarray]) -> None:
+        """Decode windows (text, start, first and end of the part it owns) and put their tags where they belong."""
+        groups: dict[int, list[tuple[int, int, int, int]]] = {}
+        for window in windows:
+            groups.setdefault(min(WINDOW, -(-len(coded[window[0]]) // 32) * 32), []).append(window)
+        for size, held_windows in groups.items():
+            pieces = -(-len(held_windows) // BATCH)
             for part in range(pieces):
-                held = windows[part::pieces]
+                held = held_windows[part::pieces]
                 x = np.full((len(held), size), PAD, np.uint8)
                 for row, (k, s, _, _) in enumerate(held):
                     own = coded[k][s : s + size]
@@ -388,12 +416,14 @@ class Tagger:
                 for row in np.flatnonzero(found.any(0)):
                     k, s, a, b = held[row]
                     tags[k][a:b] = found[a - s : b - s, row]
-        return tags
 
 
-_SPELT = re.compile(
-    r"[\w.%+-]+\s?(?:(?:@|[(\[]at[)\]])\s?[\w-]+(?:\s?(?:\.|[(\[]dot[)\]]|dot\b)\s?[\w-]+)+|at\s[\w-]+(?:\sdot\s[\w-]+)+)", re.I
-)
+#: What every plausible span holds: a digit, an at sign, or an ``at`` or ``dot`` that is set apart.
+_MARK = re.compile(r"[0-9@]|[(\[]at[)\]]|\sdot\s", re.I)
+
+#: A spelt-out address: a name, an at sign in some form, and words between dots in some form. A word takes all that it can, so a check is one pass over the text.
+_WORD, _DOT = r"[\w-]++", r"\s?+(?:\.|[(\[]dot[)\]]|dot\b)\s?+"
+_SPELT = re.compile(rf"[\w.%+-]++\s?+(?:(?:@|[(\[]at[)\]])\s?+{_WORD}(?:{_DOT}{_WORD})++|at\s{_WORD}(?:\sdot\s{_WORD})++)", re.I)
 
 
 def _plausible(kind: int, text: str) -> bool:
@@ -445,7 +475,7 @@ def _analyse(batches, tagger: Tagger, use):
                 end += 1
             own = texts[at:end]
             base = [base_spans(t) for t in own]
-            yield use(batch.slice(at, end - at), own, base, [all_spans(*x) for x in zip(own, tagger.tag(own), base)])
+            yield use(batch.slice(at, end - at), own, base, [all_spans(*x) for x in zip(own, tagger.tag(own, base), base)])
             at = end
 
 
