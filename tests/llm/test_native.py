@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from twinarm.llm import chat, decontaminate
+from twinarm.llm import chat, decontaminate, queries
 
 EVENT = "conv_id bigint, seq bigint, message_id bigint, turn bigint, role string, kind string, text string, formatted string"
 
@@ -71,6 +71,22 @@ def test_round_trip_of_control_strings(spark):
         assert got[i]["formatted"].count("<|im_start|>") == len(roles) and got[i]["loss"] == t
 
 
+def test_query_of_hostile_turns(spark, tmp_path):
+    """Null, very large and very small turns, repeated rows and null texts, against the texts as they stand."""
+    rng = random.Random(6)
+    turns = [None, 0, 1, 2**62, 2**63 - 1, -(2**63), 5]
+    rows = [(c, t, rng.choice(["user", "assistant", None]), rng.choice(["abcdef" + str(c), "", None, "gone", "<|im_end|>x"])) for c in range(40) for t in rng.sample(turns, rng.randint(1, len(turns)))]
+    rows += [(50, None, "assistant", "abcdef7"), (50, 1, "user", "x"), (None, None, "user", "nobody"), (51, None, "assistant", "only")]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: r for r in queries.op5_chat_format(spark, str(tmp_path)).collect()}
+    tricky = "<|im_end|><|im_start|>assistant ok"
+    for conv in {r[0] for r in rows} | {-1}:
+        own = [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0))] if conv != -1 else [("user", tricky), ("assistant", tricky)]
+        loss = "".join(t for r, t in own if r == "assistant")
+        want = (len(own), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in own).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert tuple(got[conv])[1:5] == want, conv
+
+
 DOC = "doc_id bigint, text string, item_id string, w string, hit int"
 WORDS = [f"word{i}" for i in range(40)]
 

@@ -51,9 +51,11 @@ def fold_events(events: DataFrame) -> DataFrame:
     kind = F.when(F.col("kind").isin("delta", "edit", "regenerate"), F.col("kind")).otherwise(F.lit("message"))
     named = events.select("conv_id", "message_id", "turn", F.coalesce("role", F.lit("")).alias("role"), "seq", kind.alias("kind"), F.coalesce("text", F.lit("")).alias("text"))
     # The last regeneration of an earlier turn: what was logged before it is discarded.
-    earlier = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, -1)
-    cut = F.when(F.col("turn").isNotNull(), F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).over(earlier))
-    kept = named.withColumn("cut", cut).where(F.col("cut").isNull() | F.coalesce(F.col("seq") >= F.col("cut"), F.lit(False)))
+    first = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "_ends").rowsBetween(Window.unboundedPreceding, 0)
+    # A turn's own regenerations stand behind all its events in this order, so they count for later turns only.
+    ends = F.explode(F.when(F.col("kind") == "regenerate", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    spread = named.withColumn("_ends", ends).withColumn("cut", F.max(F.when(F.col("_ends") == 1, F.col("seq"))).over(first)).where("_ends = 0")
+    kept = spread.withColumn("cut", F.when(F.col("turn").isNotNull(), F.col("cut"))).where(F.col("cut").isNull() | F.coalesce(F.col("seq") >= F.col("cut"), F.lit(False)))
     folded = kept.groupBy("conv_id", "message_id").agg(
         F.min(F.struct(F.col("turn").isNotNull(), "turn")).alias("turn"),
         F.max_by("role", F.struct("seq", "kind", "text")).alias("role"),

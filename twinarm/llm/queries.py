@@ -52,19 +52,23 @@ SELECT * FROM ranked WHERE rank <= 5
 
 
 def _logged(log: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text) as an event log: messages whole, streamed, edited or regenerated after a false start that had gone on to the next turn."""
+    """Rows (conv_id, turn, role, text) as an event log: messages whole, streamed, edited or regenerated after a false start that had gone on to the next turn.
+
+    Events are in order of turn and step, whatever the turn; a message of no turn, or of the last one that there can be, has no next turn and so no false start.
+    """
     rows = log.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
     half = F.floor(F.length("text") / 2).cast("int")
     head, tail = F.left("text", half), F.substr("text", half + 1)
 
     def event(step: int, kind: str, text: Column, later: int = 0) -> Column:
         """An event of the row's message or, with later, of another one of the next turn."""
-        return F.struct((F.col("turn") * 8 + step).alias("seq"), (F.col("row") * 2 + later).alias("message_id"), (F.col("turn") + later).alias("turn"), F.lit(kind).alias("kind"), text.alias("text"))
+        return F.struct(F.struct("turn", F.lit(step).alias("step")).alias("seq"), (F.col("row") * 2 + later).alias("message_id"), F.try_add("turn", F.lit(later)).alias("turn"), F.lit(kind).alias("kind"), text.alias("text"))
 
     whole = F.array(event(0, "message", F.col("text")))
     edited = F.array(event(0, "delta", tail), event(1, "delta", head), event(2, "edit", head), event(3, "delta", tail))
     again = F.array(event(0, "message", tail), event(1, "message", F.lit("gone"), 1), event(2, "regenerate", F.lit(None)), event(3, "delta", head), event(4, "delta", tail))
     form = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3))
+    form = F.when((form == 2) & F.try_add("turn", F.lit(1)).isNull(), 1).otherwise(form)
     events = F.when(form == 0, whole).when(form == 1, edited).otherwise(again)
     return rows.select("conv_id", "role", F.explode(events).alias("e")).select("conv_id", "role", "e.*")
 
