@@ -43,6 +43,14 @@ def test_topk(spark, monkeypatch):
     assert search(spark.createDataFrame([(*r, 1) for r in hot], "vec_id bigint, embedding array<float>, score int")) == brute_topk(hot)
 
 
+def test_vectors_of_one_id_are_shared_by_shards(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 64)
+    rng = np.random.default_rng(3)
+    rows = [(7, [int(x) for x in rng.integers(-99, 99, 3)]) for _ in range(2000)] + [(i, [int(x) for x in rng.integers(-99, 99, 3)]) for i in range(100, 400)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, v array<bigint>").withColumn("q", F.lit(False))
+    assert topk.index(topk.placed(vectors)).agg(F.max("n")).first()[0] < 200
+
+
 def test_topk_of_large_numbers(spark):
     big = [(0, [3_000_000_001, 3_000_000_007]), (1, [1_500_000_011, 1_000_000_003]), (2, [1_500_000_011, 1_000_000_004]), (3, [1_500_000_012, 1_000_000_003])]
     df = spark.createDataFrame(big, "vec_id bigint, v array<bigint>")
@@ -204,6 +212,21 @@ def test_suffix_dedup_of_equal_ids(spark):
     assert sorted(r[2] for r in got[1:4]) in ([0, 0, 300], [0, 300, 300])
 
 
+def test_suffix_dedup_of_many_texts_of_one_id(spark, monkeypatch):
+    """More texts of a doc_id than have numbers: what goes is what would go if each were a document, in order of their md5."""
+    monkeypatch.setattr(suffix_dedup, "MOST", 3)
+    rng = random.Random(13)
+    text = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    p = text(140)
+    rows = [(5, text(60) + p + text(rng.randint(0, 50))) for _ in range(11)] + [(2, p + text(20)), (9, text(10) + p), (7, text(300)), (7, text(20)), (None, p), (5, "short")]
+    rows += [rows[0], rows[3]]
+    order = sorted({r for r in rows if r[0] is not None and len(r[1]) >= 100}, key=lambda r: (r[0], hashlib.md5(r[1].encode()).hexdigest()))
+    want = brute_dedup([(k, t) for k, (_, t) in enumerate(order)])
+    by_text = {r: want[k] for k, r in enumerate(order)}
+    got = sorted((tuple(r) for r in suffix_dedup.report(docs(spark, rows)).collect()), key=repr)
+    assert got == sorted(((d, *by_text.get((d, t), (len(t), 0, 0, hashlib.sha256(t.encode()).hexdigest()))) for d, t in rows), key=repr)
+
+
 def test_suffix_dedup_edges(spark, monkeypatch):
     assert suffix_dedup.report(docs(spark, [])).count() == 0
     assert [tuple(r)[:4] for r in suffix_dedup.report(docs(spark, [(None, "z" * 300)])).collect()] == [(None, 300, 0, 0)]

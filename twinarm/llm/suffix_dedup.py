@@ -14,20 +14,21 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier (
    that occurs more than HOT times are marked within their run in the same way, and only the first of each string, by its hash, meets those of other runs: one seed is spread over all tasks.
 
 Documents of equal text (of at least LENGTH bytes) after the first are removed whole at the start. Defined results: null texts are empty; texts shorter
-than LENGTH lose nothing; rows of equal doc_id and equal text are one document and get the same result; rows of equal doc_id and other text are documents of their own, in order of a hash
-(an error says so if one doc_id has half a million texts or more); rows of a null doc_id take no part and keep all; an empty table gives no rows; further columns are ignored by :func:`report`.
+than LENGTH lose nothing; rows of equal doc_id and equal text are one document and get the same result; rows of equal doc_id and other text are documents of their own, in order of a hash, however many; rows of a null doc_id take no part and keep all; an empty table gives no rows; further columns are ignored by :func:`report`.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import scan
 from .common import materialise
 from .shingles import _MIX, _power, mix
 
@@ -41,8 +42,8 @@ CHUNK, RUN, BUCKET = 1 << 22, 200_000, 120_000
 HOT, HOT_SEEDS = 30_000, 1_000_000
 #: Ids of documents are broadcast up to so many bytes; beyond, they are joined by shuffle.
 BROADCAST_BYTES = 1 << 20
-#: Bits of a text's number among those of its doc_id.
-NUMBER_BITS = 20
+#: Texts that are numbered within one doc_id; more make ids of their own (20 bits hold a number and its sign).
+MOST = 1 << 19
 #: Marks the bytes beyond a document's ends; UTF-8 has none like it.
 BEYOND = 0xFF
 KEY = LENGTH + BEFORE
@@ -492,9 +493,23 @@ def _numbers(same: DataFrame) -> DataFrame | None:
     if several.isEmpty():
         return None
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("md5")) - 1
-    ranked = same.join(several, "doc_id", "left_semi").distinct().withColumn("number", rank)
-    full = F.raise_error(F.lit("too many texts of one doc_id")).cast("int")
-    return materialise(ranked.withColumn("number", F.when(F.col("number") < 1 << NUMBER_BITS - 1, F.col("number")).otherwise(full)), "numbers")
+    return materialise(same.join(several, "doc_id", "left_semi").distinct().withColumn("number", rank), "numbers")
+
+
+def _split_ids(docs: DataFrame, md5: Column, same: DataFrame) -> tuple[DataFrame, bool]:
+    """docs with _own, their doc_id, and whether ids changed. If an id has more than MOST texts, all ids give way to numbers in their order, as many for each as its texts need; otherwise they stay."""
+    own = docs.withColumn("_own", F.col("doc_id"))
+    texts = materialise(same.distinct(), "texts")
+    ids = texts.groupBy("doc_id").agg(F.ceil(F.count("*") / MOST).alias("parts"))
+    large = materialise(ids.where("parts > 1"), "large")
+    if large.isEmpty():
+        return own, False
+    keep = partial(materialise, label="ids")
+    base = scan.running(scan.ranged(ids, ["doc_id"], keep), [], ["doc_id"], {"upto": F.col("parts")}).select(F.col("doc_id").alias("_id"), (F.col("upto") - F.col("parts")).alias("base"))
+    rows = scan.ranged(texts.join(F.broadcast(large) if large.count() < 100_000 else large, "doc_id", "left_semi"), ["doc_id", "md5"], keep)
+    part = scan.running(rows, ["doc_id"], ["md5"], {"rank": F.lit(1)}).select(F.col("doc_id").alias("_id"), F.col("md5").alias("_md5"), F.floor((F.col("rank") - 1) / MOST).alias("part"))
+    numbered = own.withColumn("_text", md5).join(keep(base), F.col("doc_id") == F.col("_id"), "left").drop("_id").join(keep(part), (F.col("doc_id") == F.col("_id")) & (F.col("_text") == F.col("_md5")), "left")
+    return numbered.withColumn("doc_id", F.col("base") + F.coalesce("part", F.lit(0))).drop("_id", "_md5", "_text", "base", "part"), True
 
 
 def _numbered(rows: DataFrame, md5: Column, numbers: DataFrame | None) -> DataFrame:
@@ -506,10 +521,13 @@ def _numbered(rows: DataFrame, md5: Column, numbers: DataFrame | None) -> DataFr
 
 
 def find(docs: DataFrame, text: Column) -> tuple[DataFrame, DataFrame]:
-    """docs with number (-1 for rows that take no part), and what goes: (doc_id, number, ranges), where a range to -1 means the whole text."""
+    """docs with number (-1 for rows that take no part) and _own, their doc_id, and what goes: (doc_id, number, ranges), where a range to -1 means the whole text."""
     size, md5 = F.octet_length(text), F.md5(text.cast("binary"))
     partakes = F.col("doc_id").isNotNull() & (size >= LENGTH)
     same = materialise(docs.where(partakes).select("doc_id", md5.alias("md5"), size.alias("size")), "digests")
+    docs, moved = _split_ids(docs, md5, same.select("doc_id", "md5"))
+    if moved:
+        same = materialise(docs.where(F.col("doc_id").isNotNull() & (size >= LENGTH)).select("doc_id", md5.alias("md5"), size.alias("size")), "digests")
     total = same.agg(F.sum("size")).first()[0] or 0
     numbers = _numbers(same.select("doc_id", "md5"))
     docs = _numbered(docs, md5, numbers).withColumn("number", F.when(partakes, F.col("number")).otherwise(-1))
@@ -557,7 +575,7 @@ def report(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     texts, gone = find(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), F.col("text"))
 
-    def scan(batches):
+    def scan_rows(batches):
         for rows in _slices(batches):
             out = []
             for doc, raw, ranges in zip(rows.column("doc_id").to_pylist(), _raws(rows), rows.column("ranges").to_pylist()):
@@ -565,7 +583,7 @@ def report(docs: DataFrame) -> DataFrame:
                 out.append((doc, len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (*[pa.int64()] * 4, pa.string()))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return texts.join(gone, ["doc_id", "number"], "left").select("doc_id", "text", "ranges").mapInArrow(scan, _REPORT)
+    return texts.join(gone, ["doc_id", "number"], "left").select(F.col("_own").alias("doc_id"), "text", "ranges").mapInArrow(scan_rows, _REPORT)
 
 
 def remove(docs: DataFrame) -> DataFrame:
@@ -576,11 +594,11 @@ def remove(docs: DataFrame) -> DataFrame:
     kept = kept.join(gone, ["doc_id", "number"], "left").select(*[F.col(f"_doc.`{c}`").alias(c) for c in columns], F.col("ranges").alias("_ranges"))
     at = columns.index("text")
 
-    def scan(batches):
+    def scan_rows(batches):
         for rows in _slices(batches):
             new = []
             for text, ranges in zip(rows.column("text").to_pylist(), rows.column("_ranges").to_pylist()):
                 new.append(text if text is None or not ranges else _cut(text.encode("utf-8", "surrogatepass"), ranges)[0].decode("utf-8", "ignore"))
             yield rows.set_column(at, rows.schema.field(at), pa.array(new, rows.schema.field(at).type)).select(columns)
 
-    return kept.mapInArrow(scan, docs.schema)
+    return kept.mapInArrow(scan_rows, docs.schema)

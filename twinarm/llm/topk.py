@@ -222,7 +222,7 @@ def index(vectors: DataFrame) -> DataFrame:
     """Shards (dim, cell, salt, n, centre, radius, tree) of placed vectors."""
     counts = vectors.groupBy("dim", "cell").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / SHARD_ROWS))
     salted = vectors.join(F.broadcast(counts.select("dim", "cell", "salts")), ["dim", "cell"])  # at most 2**LEVELS rows a vector length
-    keyed = salted.select("dim", "cell", F.pmod(F.xxhash64("vec_id"), F.col("salts")).cast("int").alias("salt"), "vec_id", "v")
+    keyed = salted.select("dim", "cell", F.pmod(F.xxhash64("vec_id", "v"), F.col("salts")).cast("int").alias("salt"), "vec_id", "v")
 
     def build(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
