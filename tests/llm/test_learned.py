@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twinarm.llm import pii, quality, toxicity
+from twinarm.llm import common, pii, quality, toxicity
 
 DOC = "doc_id bigint, text string, lang string, source string, score string, p string"
 
@@ -92,12 +92,43 @@ def test_decoding_finds_the_best_path(toxic, token):
     m = toxic[2].chars
     options = [*toxicity.lattice(token), [(" ", 0.0)]]
     best = max(((path_score("".join(o[0] for o in p[:-1]), m) - sum(o[1] for o in p), "".join(o[0] for o in p)) for p in itertools.product(*options)), key=lambda x: x[0])
-    for way in (toxicity._sparse, toxicity._dense):
-        text, end = way(options, m, (0, 0))
+    start = {(0, 0): (0.0, "")}
+    for beam in (toxicity._sparse(options, m, start), toxicity._dense(options, m, start, True), toxicity._dense(options, m, start, False)):
+        end = max(beam, key=beam.get)
+        text = beam[end][1]
         cost = best[0] if text == best[1] else max(path_score("".join(o[0] for o in p[:-1]), m) - sum(o[1] for o in p) for p in itertools.product(*options) if "".join(o[0] for o in p) == text)
         assert cost == pytest.approx(best[0]) and end[1] == 0
 
 
+def random_lattice_token(rng):
+    return "".join(rng.choice(["a1", "0", "*", "#", "$$$", "th", "e", "xxx", ".", "!!", "st", " ", "-"]) for _ in range(rng.randint(1, 120)))
+
+
+def test_stretches_give_the_best_path_of_the_whole_lattice(toxic, monkeypatch):
+    """Short stretches, of which each kind follows each other, against one pass over everything."""
+    m, rng = toxic[2].chars, random.Random(8)
+    tokens = [random_lattice_token(rng) for _ in range(60)] + ["*" * 90, "s1*" * 40]
+    whole = []
+    for t in tokens:
+        beam = toxicity._sparse([*toxicity.lattice(t), [(" ", 0.0)]], m, {(0, 0): (0.0, "")})
+        whole.append(max(beam.values())[1].strip())
+    for stretch, dense in ((3, 300), (3, 0), (7, 20), (1, 5)):
+        monkeypatch.setattr(toxicity, "STRETCH", stretch)
+        monkeypatch.setattr(toxicity, "DENSE", dense)
+        assert [toxicity.decode(t, m) for t in tokens] == whole
+
+
+def test_rows_to_fit_on_are_bounded_whatever_their_ids(spark):
+    """One labelled id in half of all rows."""
+    rows = [(i, f"text number {i} here") for i in range(300)] + [(7, f"another {k} of it") for k in range(2000)] + [(8, "the same again")] * 1000
+    d = docs(spark, [(*r, "en", "s") for r in rows])
+    y = spark.createDataFrame([(i, i % 2, i % 2) for i in range(300)], "doc_id bigint, toxic int, quality int")
+    assert toxicity.training_rows(d, y, 200).count() < 300
+    marked = quality.marked_rows(y, 100_000)
+    joined = d.join(marked, "doc_id").select("y", "text", F.xxhash64("doc_id", "text").alias("h"))
+    assert common.at_most_about(joined, "h", 200).count() < 300 and common.at_most_about(joined, "h", 10**6).count() == joined.distinct().count()
+
+
 @pytest.mark.parametrize("token", ["a" + "*#" * 10_000, "a1" * 10_000, "a" + "!" * 200_000 + "a", "#" * 300_000 + "a", "a." * 20_000, "a " * 50_000, "q" * 1_000_000])
 def test_decoding_of_long_tokens(toxic, token):
     began = time.perf_counter()

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,3 +65,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables."""
     importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def at_most_about(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """Rows of df that differ in key, a hash of theirs, one each; where they are more than rows, about as many, by that hash."""
+    n = df.select(key).distinct().count()
+    kept = df if n <= rows else df.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * rows / n))
+    return kept.dropDuplicates([key])

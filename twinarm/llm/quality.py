@@ -8,7 +8,7 @@
 
 Any two columns serve as host and path; :func:`host_of` and :func:`path_of` cut them out of a URL.
 
-Fitting takes about TRAIN_ROWS labelled rows at most, chosen by a hash of doc_id; all statistics of sites cover all documents. Defined results: null and
+Fitting takes about TRAIN_ROWS labelled rows at most, chosen by a hash, repeated ones once and however many rows a doc_id has; all statistics of sites cover all documents. Defined results: null and
 empty texts are judged as empty; null hosts and paths are sites of their own; repeated rows are judged one by one; labels that are null are ignored, the
 smaller one counts where a doc_id has several; without labels of both kinds the classifier gives every document 1/2 and sites have no weight; an empty table gives no rows;
 further columns are ignored by :func:`score`.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import at_most_about, materialise
 from .toxicity import held_out
 
 TRAIN_ROWS = 30_000
@@ -91,7 +91,8 @@ def fit(docs: DataFrame, marked: DataFrame) -> tuple[np.ndarray, np.ndarray, np.
             f = [shape(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(f, pa.list_(pa.float64()))], names=["y", "f"])
 
-    joined = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("y", "text")  # at most about rows ids
+    joined = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("y", "text", F.xxhash64("doc_id", "text").alias("h"))
+    joined = at_most_about(joined, "h", TRAIN_ROWS).select("y", "text")
     got = joined.mapInArrow(features, "y int, f array<double>").collect()
     y = np.array([r["y"] for r in got], float)
     if len(set(y)) < 2:
@@ -145,7 +146,8 @@ def _logit(p: Column) -> Column:
 
 def site_weight(judged: DataFrame, marked: DataFrame) -> float:
     """What the distance counts: a logistic fit of one number on the labelled rows, the document's own log odds given."""
-    points = judged.join(F.broadcast(marked), "doc_id").select("y", "own", "distance").collect()  # at most about TRAIN_ROWS ids
+    rows = judged.join(F.broadcast(marked), "doc_id").select("y", "own", "distance", F.xxhash64("doc_id", "own", "distance").alias("h"))
+    points = at_most_about(rows, "h", TRAIN_ROWS).select("y", "own", "distance").collect()
     y, own, distance = (np.array(c, float) for c in zip(*points)) if points else (np.zeros(0),) * 3
     w = 0.0
     for _ in range(30 if len(set(y)) > 1 else 0):

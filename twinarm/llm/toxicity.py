@@ -3,7 +3,8 @@
 Each suspicious token (look-alike digits and symbols, letters repeated three times or more, separators inside) and each run of
 single spaced-out characters becomes a lattice: a position offers the character itself and what it may stand for, a repetition one or two letters, a
 separator nothing or itself. The best path under a character trigram model takes the token's place in the restored text. A token of plain letters has
-one path only, so it needs no decoding. A lattice of more than ``STRETCH`` positions is decoded in stretches, each from where the last one ended.
+one path only, so it needs no decoding. A lattice of more than ``STRETCH`` positions is decoded in stretches: after each, what all paths that are still open begin with is put out,
+and the rest of each goes on, so the result is the best path over the whole lattice, in memory for a stretch and what is open.
 
 The score is logistic in the evidence of the restored text's words: the largest of a word, and that of a prefix that several words share, with their number. Features are words, their prefixes, and prefixes that several words
 of a text share; each counts by a smoothed log odds of toxic against clean training documents, kept where chance can't explain it. Near copies share one count.
@@ -17,6 +18,7 @@ further columns are ignored.
 from __future__ import annotations
 
 import math
+import os
 import re
 import unicodedata
 from collections import Counter
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import at_most_about, materialise
 
 #: Labelled rows to fit on, about; a fraction is chosen by hash where there are more.
 TRAIN_ROWS = 24_000
@@ -139,12 +141,16 @@ def _flat(model: np.ndarray) -> list[float]:
     return _as_list[1]
 
 
-def _sparse(options: list[list[tuple[str, float]]], model: np.ndarray, start: tuple[int, int]) -> tuple[str, tuple[int, int]]:
-    """The best path's text and last two symbols, state by state."""
-    beam, flat = {start: (0.0, "")}, _flat(model)
+#: Open paths by their last two symbols: the score, and the text since what all of them share.
+Beam = dict[tuple[int, int], tuple[float, str]]
+
+
+def _sparse(options: list[list[tuple[str, float]]], model: np.ndarray, beam: Beam) -> Beam:
+    """The best path to each state after further positions, state by state."""
+    flat = _flat(model)
     for own in options:
         own = [(piece, cost, [SYMBOLS.get(ch, OTHER) for ch in piece]) for piece, cost in own]
-        reached: dict[tuple[int, int], tuple[float, str]] = {}
+        reached: Beam = {}
         for (a, b), (score, text) in beam.items():
             for piece, cost, symbols in own:
                 x, y, total = a, b, score - cost
@@ -154,14 +160,14 @@ def _sparse(options: list[list[tuple[str, float]]], model: np.ndarray, start: tu
                 if (x, y) not in reached or total > reached[x, y][0]:
                     reached[x, y] = (total, text + piece)
         beam = reached
-    state = max(beam, key=beam.get)
-    return beam[state][1], state
+    return beam
 
 
-def _dense(options: list[list[tuple[str, float]]], model: np.ndarray, start: tuple[int, int]) -> tuple[str, tuple[int, int]]:
-    """As :func:`_sparse`, on matrices over all pairs of symbols."""
+def _dense(options: list[list[tuple[str, float]]], model: np.ndarray, beam: Beam, last: bool) -> Beam:
+    """As :func:`_sparse`, on matrices over all pairs of symbols; after the last positions, for the best state alone."""
     score = np.full((SIZE, SIZE), -np.inf)
-    score[start] = 0.0
+    for state, (value, _) in beam.items():
+        score[state] = value
     trail = []
     for own in options:
         best, choice, source = np.full((SIZE, SIZE), -np.inf), np.zeros((SIZE, SIZE), np.int16), np.zeros((SIZE, SIZE), np.int16)
@@ -186,26 +192,39 @@ def _dense(options: list[list[tuple[str, float]]], model: np.ndarray, start: tup
                 value = paths[a, b] - cost + sum(model[x, y, t] for x, y, t in zip(z, z[1:], z[2:]))
                 if value > best[z[-2], z[-1]]:
                     best[z[-2], z[-1]], choice[z[-2], z[-1]], source[z[-2], z[-1]] = value, k, rows[a] * SIZE + cols[b]
-        trail.append((choice, source))
+        trail.append((choice.ravel(), source.ravel()))
         score = best
-    state = end = np.unravel_index(score.argmax(), score.shape)
-    text = []
+    ends = np.array([score.argmax()]) if last else np.flatnonzero(np.isfinite(score))
+    # Back over all states at once; where their paths have met, one of them is followed.
+    at, tails = ends, []
     for own, (choice, source) in zip(reversed(options), reversed(trail)):
-        text.append(own[choice[state]][0])
-        state = divmod(int(source[state]), SIZE)
-    return "".join(reversed(text)), (int(end[0]), int(end[1]))
+        if len(at) > 1 and (at == at[0]).all():
+            at = at[:1]
+        tails.append([own[k][0] for k in choice[at].tolist()])
+        at = source[at].astype(np.int64)
+    heads = [beam[divmod(int(x), SIZE)][1] for x in at]
+    shared = heads[0] + "".join(t[0] for t in reversed(tails) if len(t) == 1) if len(heads) == 1 else ""
+    apart = [t for t in tails if len(t) == len(ends)] if len(ends) > 1 else []
+    out: Beam = {}
+    for i, x in enumerate(ends.tolist()):
+        head = shared if len(heads) == 1 else heads[i]
+        out[divmod(x, SIZE)] = (float(score.flat[x]), head + "".join(t[i] for t in reversed(apart)))
+    return out
 
 
 def decode(token: str, model: np.ndarray) -> str:
     """The best path through the token's lattice."""
-    options, text, state = [*lattice(token), [(" ", 0.0)]], [], (0, 0)
+    options, done, beam = [*lattice(token), [(" ", 0.0)]], [], {(0, 0): (0.0, "")}
     for at in range(0, len(options), STRETCH):
-        own = options[at : at + STRETCH]
+        own, last = options[at : at + STRETCH], at + STRETCH >= len(options)
         sizes = [*map(len, own)]
         transitions = sum(x * y * z for x, y, z in zip(sizes, sizes[1:], sizes[2:]))
-        piece, state = (_dense if transitions > DENSE * len(own) else _sparse)(own, model, state)
-        text.append(piece)
-    return "".join(text).strip()
+        beam = _dense(own, model, beam, last) if transitions > DENSE * len(own) else _sparse(own, model, beam)
+        texts = [text for _, text in beam.values()]
+        sure = os.path.commonprefix([min(texts), max(texts)])
+        done.append(sure)
+        beam = {state: (score, text[len(sure) :]) for state, (score, text) in beam.items()}
+    return "".join([*done, max(beam.values())[1]]).strip()
 
 
 def restored(token: str, model: np.ndarray) -> list[str]:
@@ -285,7 +304,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """About that many labelled rows outside the held-out part: text, toxic and weight. Rows that share a minimal shingle hash, near copies, share one weight."""
+    """About that many labelled rows outside the held-out part: text, toxic and weight. Repeated rows count once, however many texts a doc_id has. Rows that share a minimal shingle hash, near copies, share one weight."""
     marked = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     n = marked.count()
     if n > rows:
@@ -295,9 +314,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     def least(seed: int) -> Column:
         return F.array_min(F.transform("g", lambda g: F.xxhash64(g, F.lit(seed))))
 
-    split = joined.withColumn("w", F.split(F.lower("text"), "\\s+"))
+    split = joined.withColumns({"w": F.split(F.lower("text"), "\\s+"), "h": F.xxhash64("doc_id", "text")})
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.xxhash64(F.get("w", i - 1), F.get("w", i), F.get("w", i + 1)))
-    hashed = materialise(split.select("text", "toxic", grams.alias("g")).select("text", "toxic", least(1).alias("m1"), least(2).alias("m2")), "toxic-sample")
+    hashed = materialise(split.select("text", "toxic", "h", grams.alias("g")).select("text", "toxic", "h", least(1).alias("m1"), least(2).alias("m2")), "toxic-sample")
+    hashed = at_most_about(hashed, "h", rows)
     weighed = hashed
     for m in ("m1", "m2"):  # at most as many rows as the sample has
         weighed = weighed.join(F.broadcast(hashed.groupBy(m, "toxic").agg(F.count("*").alias(f"n_{m}"))), [m, "toxic"])
