@@ -213,9 +213,22 @@ def test_shifts(spark):
     stem = spark.createDataFrame([(1, "chr1", 10, 19, 40, 49, 0, 99), (2, "chr1", 10, 19, 40, 49, 10, 49)], "stem_ix long, region string, l_start long, l_stop long, r_start long, r_stop long, g_start long, g_stop long")
     regions = spark.createDataFrame([("chr1", SEQ)], "region string, seq string")
     got = validation.shifted(stem, regions, 100).collect()
-    want = sorted((fold.duplex(SEQ[s : s + 10], SEQ[s + 30 : s + 40])[1] for s in range(0, 61) if s != 10), reverse=True)
-    assert [r["stem_ix"] for r in got] == [1] * 60 and [r["energy"] for r in sorted(got, key=lambda r: r["rank"])] == pytest.approx(want)
+    want = sorted((fold.duplex(SEQ[s : s + 10], SEQ[s + 30 : s + 40])[1] for s in range(0, 60) if s != 10), reverse=True)
+    assert [r["stem_ix"] for r in got] == [1] * 59 and [r["energy"] for r in sorted(got, key=lambda r: r["rank"])] == pytest.approx(want)
     assert validation.shifted(stem, regions, 7).count() == 7
+    starts = sorted(r["start"] for r in validation.shift_starts(stem.where("stem_ix = 1"), 1000).collect())
+    assert starts == [s for s in range(0, 60) if s != 10] == sorted(r["start"] for r in validation.shift_candidates(stem).collect())
+
+
+def test_shift_starts_are_uniform(spark):
+    """Each start of a range is drawn about as often as the others; long genes cost no more than short ones."""
+    assert sorted(validation.permuted(k, 37, (0, 5)) for k in range(37)) == list(range(37)) and validation.permuted(0, 1, (0, 0)) == 0
+    one = (F.lit("chr1").alias("region"), F.lit(10).alias("l_start"), F.lit(19).alias("l_stop"), F.lit(20).alias("r_start"), F.lit(29).alias("r_stop"), F.lit(0).alias("g_start"))
+    stems_ = spark.range(4000).select(F.col("id").alias("stem_ix"), *one, F.lit(41).alias("g_stop"))
+    n = {r["start"]: r["n"] for r in validation.shift_starts(stems_, 3).groupBy("start").agg(F.count("*").alias("n")).collect()}
+    assert set(n) == set(range(22)) - {10} and sum((x - 12000 / 21) ** 2 / (12000 / 21) for x in n.values()) < 45
+    far = validation.shift_starts(stems_.limit(5).withColumn("g_stop", F.lit(3 * 10**9)), 4).collect()
+    assert len(far) == 20 and max(r["start"] for r in far) > 10**8 and len({(r["stem_ix"], r["start"]) for r in far}) == 20
 
 
 def test_genes_option(reads):

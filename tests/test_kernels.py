@@ -8,7 +8,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from twinarm.functions import fold, kernels
+from twinarm.operators import scan, validation
 from twinarm.operators.groups import first_fit
 from twinarm.operators.validation import dinucleotide_shuffle
 
@@ -195,8 +198,96 @@ def test_fold():
     assert set(structure[:9]) <= set("({.") and set(structure[9:]) <= set(")}.")
 
 
+def plain_fold(left, right):
+    """Probabilities of pairs and the ensemble's energy, structure by structure."""
+    x, y, rt = left.replace("T", "U"), right.replace("T", "U"), fold.RT
+    weak = lambda i, j: x[i] + y[j] not in ("GC", "CG")
+    first = lambda a, b: fold.MISMATCH if a + b in ("UU", "GA", "AG") else 0.0
+    total, of = 1.0, {}
+
+    def go(pairs, energy):
+        nonlocal total
+        i, j = pairs[-1]
+        weight = np.exp(-(energy + weak(i, j) * fold.WEAK_END) / rt)
+        total += weight
+        for p in pairs:
+            of[p] = of.get(p, 0.0) + weight
+        for p in range(i + 1, min(len(x), i + fold.REACH + 2)):
+            for q in range(max(0, j - fold.REACH - 1), j):
+                if x[p] + y[q] in fold.PAIRS:
+                    a, b = p - i - 1, j - q - 1
+                    step = fold.loop_energy(a, b) if a or b else 0.0
+                    if a + b <= 1:
+                        step += fold._stack(x[i], x[p], y[j], y[q])
+                    elif not a or not b:
+                        step += (weak(i, j) + weak(p, q)) * fold.WEAK_END
+                    else:
+                        step += (weak(i, j) + weak(p, q)) * fold.WEAK_LOOP + first(x[i + 1], y[j - 1]) + first(x[p - 1], y[q + 1])
+                    go([*pairs, (p, q)], energy + step)
+
+    for i in range(len(x)):
+        for j in range(len(y)):
+            if x[i] + y[j] in fold.PAIRS:
+                go([(i, j)], fold.START + weak(i, j) * fold.WEAK_END)
+    return {p: w / total for p, w in of.items()}, -rt * np.log(total)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_fold_is_the_sum_over_structures(seed):
+    rng = random.Random(seed)
+    left, right = ("".join(rng.choice("ACGTN" if seed % 3 == 0 else "ACGT") for _ in range(rng.randint(1, 8))) for _ in range(2))
+    structure, energy = fold.duplex(left, right)
+    p, want = plain_fold(left, right)
+    assert energy == pytest.approx(want, abs=1e-9)
+    mark = lambda values, strong, weak: "".join(strong if v > 0.5 else weak if v > 0.2 else "." for v in values)
+    best = lambda k, n: [max((v for key, v in p.items() if key[k] == i), default=0.0) for i in range(n)]
+    assert structure == mark(best(0, len(left)), "(", "{") + mark(best(1, len(right)), ")", "}")
+
+
+def test_fold_of_long_arms():
+    structure, energy = fold.duplex("G" * 150, "C" * 150)
+    assert structure == "(" * 150 + ")" * 150 and -3.26 * 149 + 4 - 20 < energy < -3.26 * 149 + 5
+    rng = random.Random(1)
+    arm = "".join(rng.choice("ACGT") for _ in range(2000))
+    other = "".join({"A": "T", "C": "G", "G": "C", "T": "A"}[c] for c in reversed(arm))
+    structure, energy = fold.duplex(arm, other)
+    assert np.isfinite(energy) and energy < -3000 and structure.count("(") > 1900
+
+
 @given(st.text("ACGT", min_size=1, max_size=30), st.integers(0, 5))
 @settings(max_examples=60, deadline=None)
 def test_shuffles_keep_neighbouring_pairs(text, seed):
     out = dinucleotide_shuffle(text, np.random.default_rng(seed))
     assert sorted(zip(out, out[1:])) == sorted(zip(text, text[1:])) and out[0] == text[0] and len(out) == len(text)
+
+
+def test_shuffles_begin_with_the_stem_and_are_unbiased():
+    rng = np.random.default_rng(3)
+    arm = "ACAGATACCAGGA"
+    drawn = [validation.distinct_shuffles(arm, "GG", 3, rng) for _ in range(600)]
+    assert all(d[0] == (arm, "GG") and len(d) == len(set(d)) == 3 for d in drawn)
+    assert validation.distinct_shuffles("AA", "CC", 5, rng) == [("AA", "CC")]
+    # The second letters of what is kept are spread as those of all shuffles.
+    kept = np.mean([d[1][0][1] == "C" for d in drawn])
+    free = [s for s in (dinucleotide_shuffle(arm, rng) for _ in range(2000)) if s != arm]
+    assert abs(kept - np.mean([s[1] == "C" for s in free])) < 0.08
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_running_sums_and_neighbours(spark, parts):
+    """Ranges, ties, nulls, keys that span ranges and keys that lie in one, against plain loops."""
+    rng = random.Random(parts)
+    rows = [(rng.choice([None, "a", "b", "hot", "hot", "hot"]), rng.choice([None, *range(40)]), rng.choice([None, 1, 5, 7])) for _ in range(700)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "k string, x int, v long, i int").repartition(parts)
+    order = lambda r: (r["k"] is not None, r["k"] or "", r["x"] is not None, r["x"] or 0)
+    got = sorted(scan.running(scan.ranged(df, ["k", "x"]), ["k"], ["x"], {"s": F.col("v"), "n": F.lit(1)}).collect(), key=lambda r: (*order(r), r["n"]))
+    at, s, n = object(), 0, 0
+    for r in got:
+        if r["k"] != at:
+            at, s, n = r["k"], 0, 0
+        s, n = s + (r["v"] or 0), n + 1
+        assert (r["s"], r["n"]) == (s, n)
+    assert len(got) == 700 and scan.running(scan.ranged(df.where("false"), ["k"]), ["k"], ["k"], {"s": F.col("v")}).count() == 0
+    unique = df.withColumn("x", F.col("i"))
+    before = {r["x"]: r["p"] for r in scan.former(scan.ranged(unique, ["x"]), ["x"], "p", F.col("i")).collect()}
+    assert before == {i: i - 1 if i else None for i in range(700)}

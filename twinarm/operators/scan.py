@@ -7,8 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import ensure_checkpoints
 
-def ranged(df: DataFrame, order: list[str], cut: Callable[[DataFrame], DataFrame] = DataFrame.checkpoint) -> DataFrame:
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared folder."""
+    ensure_checkpoints(df)
+    return df.checkpoint()
+
+
+def ranged(df: DataFrame, order: list[str], cut: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:
     """df dealt out by ranges of the columns of order (ascending, nulls first), with _part, the number of a row's range, and _tie, which tells rows that tie apart.
 
     Rows that tie are spread over ranges too. cut writes the rows to the shared folder, so that ranges stay what they are.

@@ -2,30 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fold import KERNELS
+from . import scan
 from .sizes import near
 
 
-def gold_stems(pairs: DataFrame, gap: int = 3, stretch: int = 1024) -> DataFrame:
+def gold_stems(pairs: DataFrame, gap: int = 3) -> DataFrame:
     """pairs (line, l, r; 1-based) in file order to stems: a new one begins where both indices jump by more than gap.
 
-    Lines are taken in stretches; only the last pair and the number of jumps of each stretch meet in one window.
+    Lines lie in ranges; the pair before a range and the number of jumps before it are carried into it (:mod:`scan`), so no task sees all lines.
     """
-    pairs = pairs.withColumn("_stretch", F.floor(F.col("line") / stretch))
-    ends = pairs.groupBy("_stretch").agg(F.max_by(F.struct("l", "r"), "line").alias("last"))
-    ends = ends.select("_stretch", F.lag("last").over(Window.orderBy("_stretch")).alias("_before"))
-    own = Window.partitionBy("_stretch").orderBy("line")
-    former = F.coalesce(F.lag(F.struct("l", "r")).over(own), F.col("_before"))
+    rows = scan.former(scan.ranged(pairs.select("line", "l", "r"), ["line"]), ["line"], "_former", F.struct("l", "r"))
     jump = (F.abs(F.col("l") - F.col("_former.l")) > gap) & (F.abs(F.col("r") - F.col("_former.r")) > gap)
-    marked = pairs.join(ends, "_stretch").withColumn("_former", former).withColumn("_jump", F.coalesce(jump, F.lit(False)).cast("int"))
-    sums = marked.groupBy("_stretch").agg(F.sum("_jump").alias("_jumps"))
-    sums = sums.select("_stretch", (F.sum("_jumps").over(Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_jumps")).alias("_base"))
-    placed = marked.join(sums, "_stretch").withColumn("stem_ix", F.col("_base") + F.sum("_jump").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = scan.running(rows.withColumn("_jump", F.coalesce(jump, F.lit(False)).cast("bigint")), [], ["line"], {"stem_ix": F.col("_jump")})
     return placed.groupBy("stem_ix").agg((F.min_by("l", "line") - 1).alias("l_start"), (F.max_by("l", "line") - 1).alias("l_stop"), (F.min("r") - 1).alias("r_start"), (F.max("r") - 1).alias("r_stop"))
 
 
@@ -37,17 +33,54 @@ def stem_gene(stems: DataFrame, genes: DataFrame) -> DataFrame:
     return stems.join(best, "stem_ix")
 
 
+def _last_start() -> Column:
+    """The last place to which a stem may be shifted: as in the field's own null model the base after it is still in the gene."""
+    return F.col("g_stop") - (F.col("r_stop") - F.col("l_start") + 1)
+
+
 def shift_candidates(stems: DataFrame) -> DataFrame:
-    """Other starts in the gene (g_start, g_stop) to which a stem could be shifted whole: stem_ix, start."""
-    own = F.explode(F.array_except(F.sequence("g_start", F.col("g_stop") - (F.col("r_stop") - F.col("l_start"))), F.array("l_start")))
-    return stems.where(F.col("g_stop") - (F.col("r_stop") - F.col("l_start")) >= F.col("g_start")).select("stem_ix", own.alias("start"))
+    """All other starts in the gene (g_start, g_stop) to which a stem could be shifted: stem_ix, start."""
+    own = F.explode(F.array_except(F.sequence("g_start", _last_start()), F.array("l_start")))
+    return stems.where(_last_start() >= F.col("g_start")).select("stem_ix", own.alias("start"))
+
+
+def shift_starts(stems: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """Up to n of the starts of :func:`shift_candidates` for each stem, drawn without listing them: stem_ix, start.
+
+    A keyed permutation of the range of starts (its own left out) is asked for its first n places, so a stem makes n rows at most, however long its gene is.
+    """
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for ix, first, last, own in f.itertuples(index=False):
+                skips = first <= own <= last
+                size = last - first + 1 - skips
+                for k in range(min(n, max(0, size))):
+                    at = first + permuted(k, size, (seed, ix))
+                    out.append((ix, at + (skips and at >= own)))
+            yield pd.DataFrame(out, columns=["stem_ix", "start"])
+
+    asked = stems.select(F.col("stem_ix").cast("bigint").alias("stem_ix"), F.col("g_start").cast("bigint").alias("a"), _last_start().cast("bigint").alias("b"), F.col("l_start").cast("bigint").alias("c"))
+    return asked.mapInPandas(run, "stem_ix bigint, start bigint")
+
+
+def permuted(k: int, size: int, key: tuple[int, int]) -> int:
+    """Where a keyed permutation of range(size) puts k: four rounds that mix the halves of the next even number of bits, gone through again until the range is met."""
+    half = max(1, ((size - 1).bit_length() + 1) // 2)
+    while True:
+        left, right = k >> half, k & ((1 << half) - 1)
+        for turn in range(4):
+            mixed = int.from_bytes(hashlib.blake2b(f"{key[0]},{key[1]},{turn},{right}".encode(), digest_size=8).digest(), "little")
+            left, right = right, left ^ (mixed & ((1 << half) - 1))
+        k = left << half | right
+        if k < size:
+            return k
 
 
 def shifted(stems: DataFrame, regions: DataFrame, n: int, seed: int = 0, kernel: str = "duplex") -> DataFrame:
     """Energies of up to n random shifts of each stem (stem_ix, region, ends, g_start, g_stop), greatest first: stem_ix, rank, energy. A stem that fills its gene has none."""
-    starts = shift_candidates(stems).withColumn("u", F.xxhash64("stem_ix", "start", F.lit(seed)))
-    chosen = starts.withColumn("k", F.row_number().over(Window.partitionBy("stem_ix").orderBy("u", "start"))).where(F.col("k") <= n)
-    moved = chosen.join(stems, "stem_ix").withColumn("by", F.col("start") - F.col("l_start")).join(near(regions, "seq"), "region")
+    moved = shift_starts(stems, n, seed).join(stems, "stem_ix").withColumn("by", F.col("start") - F.col("l_start")).join(near(regions, "seq"), "region")
 
     def cut(s: str) -> Column:
         return F.substr("seq", (F.col(f"{s}_start") + F.col("by") + 1).cast("int"), (F.col(f"{s}_stop") - F.col(f"{s}_start") + 1).cast("int"))
@@ -88,16 +121,29 @@ def dinucleotide_shuffle(text: str, rng: np.random.Generator) -> str:
     return "".join(out)
 
 
+#: Draws for each shuffle that is asked for, after which a stem has no more that differ.
+DRAWS = 20
+
+
+def distinct_shuffles(left: str, right: str, n: int, rng: np.random.Generator) -> list[tuple[str, str]]:
+    """The arms as they are and shuffles of them that differ, up to n in all, in the order in which they are drawn."""
+    seen = {(left, right): None}
+    for _ in range(DRAWS * n):
+        if len(seen) >= n:
+            break
+        seen.setdefault((dinucleotide_shuffle(left, rng), dinucleotide_shuffle(right, rng)))
+    return list(seen)[:n]
+
+
 def shuffled(stems: DataFrame, n: int, seed: int = 0, kernel: str = "duplex") -> DataFrame:
-    """Energies of up to n distinct dinucleotide shuffles of each stem's arms (l_seq, r_seq), greatest first: stem_ix, rank, energy."""
+    """Energies of each stem's arms (l_seq, r_seq) and of dinucleotide shuffles of them that differ, up to n in all, greatest first: stem_ix, rank, energy."""
 
     def run(frames):
         for f in frames:
             rows = []
             for r in f.itertuples(index=False):
                 rng = np.random.default_rng([seed, r.stem_ix])
-                seen = {(dinucleotide_shuffle(r.l_seq, rng), dinucleotide_shuffle(r.r_seq, rng)) for _ in range(4 * n)}
-                rows += [(r.stem_ix, a, b) for a, b in sorted(seen)[:n]]
+                rows += [(r.stem_ix, a, b) for a, b in distinct_shuffles(r.l_seq, r.r_seq, n, rng)]
             yield pd.DataFrame(rows, columns=["stem_ix", "l_seq", "r_seq"])
 
     return _ranked(stems.select("stem_ix", "l_seq", "r_seq").mapInPandas(run, "stem_ix bigint, l_seq string, r_seq string"), kernel)

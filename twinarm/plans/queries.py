@@ -442,7 +442,7 @@ def gold_stem_islands(spark, sf_dir):
     return validation.gold_stems(o.select(F.col("o_orderkey").alias("line"), F.expr("o_custkey div 40").alias("l"), (F.col("o_orderkey") % 97).alias("r")))
 
 
-@query("shift_candidates", f"WITH {READS}, s AS (SELECT read_id AS stem_ix, l_start, r_stop, l_start - 3 AS g_start, r_stop + read_id % 5 AS g_stop FROM reads), c AS (SELECT stem_ix, l_start, unnest(range(g_start, g_stop - (r_stop - l_start) + 1)) AS start FROM s) SELECT stem_ix, start FROM c WHERE start <> l_start")
+@query("shift_candidates", f"WITH {READS}, s AS (SELECT read_id AS stem_ix, l_start, r_stop, l_start - 3 AS g_start, r_stop + read_id % 5 AS g_stop FROM reads), c AS (SELECT stem_ix, l_start, unnest(range(g_start, g_stop - (r_stop - l_start))) AS start FROM s) SELECT stem_ix, start FROM c WHERE start <> l_start")
 def shift_candidates(spark, sf_dir):
     s = views.arms(spark, sf_dir).select(F.col("read_id").alias("stem_ix"), "l_start", "r_stop", (F.col("l_start") - 3).alias("g_start"), (F.col("r_stop") + F.col("read_id") % 5).alias("g_stop"))
     return validation.shift_candidates(s)
