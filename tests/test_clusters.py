@@ -81,6 +81,36 @@ def test_clique_groups(spark, reads):
     assert {r["read_id"]: r["dg"] for r in queries.QUERIES["cliques_dg"](spark, SF).collect()} == want
 
 
+def test_groups_of_cliques_by_hand(spark, reads):
+    """The end-to-end run on clique groups: which are valid, their medians, extents, coverage and colours, all in plain Python."""
+    edges = weights(reads, 0.1)
+    found, near = parts(reads, edges)
+    full, base, groups_of = {r["read_id"]: r for r in views.reads(spark, SF).collect()}, defaultdict(int), defaultdict(dict)
+    for own in sorted(found, key=lambda c: min(reads[x]["read_ord"] for x in c)):
+        pair, chosen = (reads[own[0]]["l_gene"], reads[own[0]]["r_gene"]), cliques(own, near)
+        for k, c in enumerate(chosen):
+            if len(c) > 1 and len({full[x]["l_seq"] + full[x]["r_seq"] for x in c}) > 1:
+                groups_of[pair][base[pair] + k] = [reads[x] for x in c]
+        base[pair] += len(chosen)
+    want = []
+    for pair, own in groups_of.items():
+        held, colour = {}, {}
+        members = [r for c in own.values() for r in c]
+        beyond = lambda a, b: a["l_start"] > b["l_stop"] and a["r_start"] > b["r_stop"]
+        if any(beyond(a, b) for c in own.values() for a in c for b in c):
+            continue
+        for dg in sorted(own):
+            lo, hi = min(r["l_start"] for r in own[dg]), max(r["r_stop"] for r in own[dg])
+            colour[dg] = next(k for k in itertools.count() if all(min(hi, b) - max(lo, a) <= 0 for a, b in held.get(k, [])))
+            held.setdefault(colour[dg], []).append((lo, hi))
+            med = {e: int(np.median([r[e] for r in own[dg]])) for e in ("l_start", "l_stop", "r_start", "r_stop")}
+            n = [sum(r[f"{s}_start"] <= med[f"{s}_stop"] and med[f"{s}_start"] <= r[f"{s}_stop"] for r in members) for s in "lr"]
+            want.append((*pair, dg, *med.values(), len(own[dg]), lo, hi, *n, round(len(own[dg]) / np.sqrt(n[0] * n[1]), 6), colour[dg]))
+    got = queries.QUERIES["pipeline_cliques"](spark, SF).collect()
+    columns = ["l_gene", "r_gene", "dg", "l_start", "l_stop", "r_start", "r_stop", "num_reads", "ext_min", "ext_max", "n_l", "n_r", "coverage", "ng"]
+    assert sorted(tuple(r[c] for c in columns) for r in got) == sorted(want) and len(want) > 20
+
+
 def suggested(values, t):
     """How many clusters the lowest eleven eigenvalues suggest, gap by gap."""
     gaps = [b - a for a, b in zip(values[:11], values[1:11])]

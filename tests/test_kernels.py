@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 
-from twinarm.functions import fold, kernels
+from twinarm.functions import digits, fold, kernels
 from twinarm.operators import scan, validation
 from twinarm.operators.groups import first_fit
 from twinarm.operators.validation import dinucleotide_shuffle
@@ -291,3 +291,11 @@ def test_running_sums_and_neighbours(spark, parts):
     unique = df.withColumn("x", F.col("i"))
     before = {r["x"]: r["p"] for r in scan.former(scan.ranged(unique, ["x"]), ["x"], "p", F.col("i")).collect()}
     assert before == {i: i - 1 if i else None for i in range(700)}
+
+
+def test_sixteen_exact_decimals(spark):
+    rng = random.Random(4)
+    values = [0.0, 1.0, 0.5, 0.1, 2 / 3, 1.1, 0.07, 1 - 2**-53, 0.99999999999999995, 3 * 2**-17, 2**-29, 12345.678, 2.0**52 + 0.5, 0.00000000000000005 + 0.5, *(rng.random() * rng.choice([1, 1, 1e-3, 3, 1e5]) for _ in range(3000)), *(a / np.sqrt(b) for a in range(1, 40) for b in range(a * a, a * a + 30))]
+    df = spark.createDataFrame([(float(v),) for v in values] + [(float("nan"),), (None,)], "x double")
+    got = [r[0] for r in df.select(digits.fixed16(F.col("x"))).collect()]
+    assert got[-2:] == ["nan", "nan"] and [g for g, v in zip(got, values) if g != "%.16f" % v] == []

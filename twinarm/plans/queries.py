@@ -333,21 +333,21 @@ def nonoverlap_reads(spark, sf_dir):
     return groups.non_overlapping(views.arms(spark, sf_dir).withColumn("dg", F.expr("l_start div 60")))
 
 
-@query("dg_bed", f"{WITH}{COVERAGE} SELECT dg, concat_ws(chr(9), 'chr1', l_start + 1, r_stop + 1, dg, num_reads, '-', l_start + 1, l_start + 1, '0,0,0', '2', (l_stop - l_start + 1) || ',' || (r_stop - r_start + 1), '0,' || (r_start - l_start)) AS line FROM covered")
+@query("dg_bed", f"{WITH}{COVERAGE} SELECT dg, concat_ws(chr(9), 'chr1', l_start + 1, r_stop + 1, 'Group_' || dg || '_' || printf('%.16f', coverage), num_reads, '-', l_start + 1, l_start + 1, '0,0,0', '2', (l_stop - l_start + 1) || ',' || (r_stop - r_start + 1), '0,' || (r_start - l_start)) AS line FROM covered")
 def dg_bed(spark, sf_dir):
-    """Lines of the group table; the name's coverage, whose last digit differs between printf implementations, is left out here."""
+    """Lines of the group table, whole."""
     m = _members(spark, sf_dir)
     lines = sinks.group_bed(groups.coverage(groups.medians(m), m).withColumn("region", F.lit("chr1")))
-    return lines.select("dg", F.regexp_replace("value", r"Group_(\d+)_[^\t]*", "$1").alias("line"))
+    return lines.select("dg", F.col("value").alias("line"))
 
 
-@query("annotated_sam", f"{WITH}{MEMBERS} SELECT read_id AS file_line, 'q' || read_id || chr(9) || l_start || chr(9) || 'DG:i:' || dg AS line FROM members")
+@query("annotated_sam", f"{WITH}{MEDIANS}{_FIT} SELECT m.read_id AS file_line, 'q' || m.read_id || chr(9) || m.l_start || chr(9) || 'DG:i:' || m.dg || chr(9) || 'NG:i:' || fit.ng AS line FROM members AS m JOIN fit ON m.dg = fit.dg")
 def annotated_sam(spark, sf_dir):
-    """Lines of reads in surviving groups with their tags; NG, which SQL lacks, is cut off."""
+    """Lines of reads in surviving groups with their tags."""
     m = _members(spark, sf_dir)
     sam = views.arms(spark, sf_dir).select(F.col("read_ord").alias("file_line"), F.lit(False).alias("is_header"), F.col("read_id").alias("qname"), F.concat_ws("\t", F.concat(F.lit("q"), F.col("read_id").cast("string")), F.col("l_start").cast("string")).alias("value"))
     lines = sinks.annotated(sam, groups.colours(groups.medians(m)), m.select("l_gene", "r_gene", "read_id", "dg"))
-    return lines.select("file_line", F.regexp_replace("value", r"\tNG:i:\d+$", "").alias("line"))
+    return lines.select("file_line", F.col("value").alias("line"))
 
 
 # --- stem groups -------------------------------------------------------------------------------------------------------------
@@ -387,6 +387,20 @@ def sg_aux_left_join(spark, sf_dir):
     return joined.select("ptile", "dg", *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(n) for c, n in (("num_reads", "num_reads"), ("l_start_min", "l_min"), ("r_stop_max", "r_max"))])
 
 
+_AUX = ", ".join(f"min({c}) + 1 || ',' || (max({c}) + 1) || ',' || round(stddev_pop({c}), 4) AS e{i}" for i, c in enumerate(_ENDS))
+
+
+@query("sg_aux_lines", f"{WITH}{CUTOFFS}, own AS (SELECT ptile, dg, count(*) AS n, {_AUX} FROM chosen WHERE dg % 3 <> 0 GROUP BY ptile, dg), every AS (SELECT v.dg, p.ptile FROM valid AS v JOIN (SELECT DISTINCT l_gene, r_gene, ptile FROM own JOIN valid USING (dg)) AS p ON v.l_gene = p.l_gene AND v.r_gene = p.r_gene) SELECT v.ptile, v.dg, concat_ws(chr(9), 'Group_' || v.dg, coalesce(n, 0), CASE WHEN n IS NULL THEN '0,0,0' ELSE (v.dg % 5) || ',' || (v.dg % 7) || ',' || (v.dg % 11) END, {', '.join(f"coalesce(e{i}, '0,0,0')" for i in range(4))}) AS line FROM every AS v LEFT JOIN own ON v.dg = own.dg AND v.ptile = own.ptile")
+def sg_aux_lines(spark, sf_dir):
+    """Lines of the auxiliary table, whole; groups whose number is no multiple of 3 have stems, with numbers of crosslinks that follow from it, and deviations are rounded."""
+    m = _members(spark, sf_dir)
+    spread = stems.edge_stats(_chosen(m)).where("dg % 3 <> 0")
+    spread = spread.withColumns({f"{c}_std": F.round(f"{c}_std", 4) for c in _ENDS}).checkpoint()
+    own = spread.select("l_gene", "r_gene", "ptile", "dg", (F.col("dg") % 5).alias("uu"), (F.col("dg") % 7).alias("uc"), (F.col("dg") % 11).alias("n_bp"))
+    lines = sinks.aux_table(m.select("l_gene", "r_gene", "dg").distinct(), own, spread)
+    return lines.select("ptile", "dg", F.col("value").alias("line"))
+
+
 @query("sg_arc", f"{WITH}{CUTOFFS} SELECT ptile, dg, concat_ws(chr(9), 'chr1', (l_start + l_stop) // 2 + 1, (r_start + r_stop) // 2 + 1, dg) AS line FROM envelopes")
 def sg_arc(spark, sf_dir):
     e = stems.envelopes(_chosen(_members(spark, sf_dir))).withColumn("region", F.lit("chr1"))

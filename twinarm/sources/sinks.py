@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.digits import fixed16
+
 #: The first lines of the track files and of the auxiliary table.
 BP_TRACK = "track graphType=arc itemRgb=on"
 AUX_HEADER = "Group_ID\tnum_reads\tUU_cl,UC_cl,num_basepairs\tL_start_min,L_start_max,L_start_std\tL_stop_min,L_stop_max,L_stop_std\tR_start_min,R_start_max,R_start_std\tR_stop_min,R_stop_max,R_stop_std"
@@ -37,9 +39,9 @@ def combined(sam: DataFrame, merged: DataFrame) -> DataFrame:
 
 
 def group_bed(groups: DataFrame) -> DataFrame:
-    """Twelve columns per duplex group; positions are 1-based. The coverage is printed from the column as it is."""
+    """Twelve columns per duplex group; positions are 1-based. The coverage is printed with sixteen exact decimals."""
     start, stop = F.col("l_start") + 1, F.col("r_stop") + 1
-    name = F.format_string("Group_%d_%.16f", "dg", "coverage")
+    name = F.concat(F.lit("Group_"), F.col("dg").cast("string"), F.lit("_"), fixed16(F.col("coverage")))
     blocks = F.concat_ws(",", (F.col("l_stop") - F.col("l_start") + 1).cast("string"), (F.col("r_stop") - F.col("r_start") + 1).cast("string"))
     return groups.select("l_gene", "r_gene", "dg", _text("region", start, stop, name, "num_reads", F.lit("-"), start, start, F.lit("0,0,0"), F.lit("2"), blocks, F.concat(F.lit("0,"), (F.col("r_start") - F.col("l_start")).cast("string"))).alias("value"))
 
