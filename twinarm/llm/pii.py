@@ -419,18 +419,30 @@ class Tagger:
 
 
 #: What every plausible span holds: a digit, an at sign, or an ``at`` or ``dot`` that is set apart.
-_MARK = re.compile(r"[0-9@]|[(\[]at[)\]]|\sdot\s", re.I)
+_MARK = re.compile(r"[0-9@]|[(\[]at[)\]]|(?<=\s)dot(?=\s)", re.I)
 
-#: A spelt-out address: a name, an at sign in some form, and words between dots in some form. A word takes all that it can, so a check is one pass over the text.
+#: A spelt-out address: a name, an at sign in some form, and words between dots in some form. A word takes all that it can and a name begins where a word does, so a search is one pass over the text.
 _WORD, _DOT = r"[\w-]++", r"\s?+(?:\.|[(\[]dot[)\]]|dot\b)\s?+"
-_SPELT = re.compile(rf"[\w.%+-]++\s?+(?:(?:@|[(\[]at[)\]])\s?+{_WORD}(?:{_DOT}{_WORD})++|at\s{_WORD}(?:\sdot\s{_WORD})++)", re.I)
+_SPELT = re.compile(rf"(?<![\w.%+-])[\w.%+-]++\s?+(?:(?:@|[(\[]at[)\]])\s?+{_WORD}(?:{_DOT}{_WORD})++|at\s{_WORD}(?:\sdot\s{_WORD})++)", re.I)
+_BEFORE, _AFTER = re.compile(r"(?:\s?+[\w.%+()\[\]-]*+){3}"), re.compile(r"[\w-]*+")
+
+
+def _addresses(text: str, s: int, e: int):
+    """Spelt-out addresses that share a mark with text[s:e], from up to three words before it to the end of its last word."""
+    head = 0
+    while True:  # the words before lie at the end of a piece that is taken longer until they begin within it
+        head = max(64, 8 * head)
+        taken = _BEFORE.match(text[max(0, s - head) : s][::-1]).end()
+        if taken < head or head >= s:
+            break
+    for m in _SPELT.finditer(text, s - taken, _AFTER.match(text, e).end()):
+        if _MARK.search(text, max(s, m.start()), min(e, m.end())):
+            yield m.span()
 
 
 def _plausible(kind: int, text: str) -> bool:
-    """Whether a decoded span has the form of its kind."""
+    """Whether a decoded span has the form of its kind, which isn't an address."""
     digits = len(_NOT_DIGIT.sub("", text))
-    if kind == 0:
-        return bool(_SPELT.fullmatch(text))
     if kind == 1:
         parts = [p for p in _NOT_DIGIT.split(text) if p]
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -440,23 +452,24 @@ def _plausible(kind: int, text: str) -> bool:
 
 
 def all_spans(text: str, tags: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Base spans and the added ones, by kind, then start."""
+    """Base spans and the added ones, by kind, then start. Where the tagger sees an address, the addresses of a form there are added, whole; numbers are added as it sees them."""
     if not tags.any():
         return base
     edges = np.flatnonzero(np.diff(tags, prepend=0, append=0))
-    held, added = np.zeros(len(text) + 1, np.int64), []
+    held, added = np.zeros(len(text) + 1, np.int64), set()
     for _, a, b in base:
         held[a + 1 : b + 1] = 1
     np.cumsum(held, out=held)  # characters of base spans before each place
     for s, e in zip(edges.tolist(), edges[1:].tolist()):
         kind = int(tags[s]) - 1
-        if kind < 0:
-            continue
-        own = text[s:e]
-        s, e = s + len(own) - len(own.lstrip(" \n,.;:")), e - len(own) + len(own.rstrip(" \n,.;:"))
-        if s < e and held[s] == held[e] and _plausible(kind, text[s:e]):
-            added.append((kind, s, e))
-    return sorted(base + added)
+        if kind == 0:
+            added |= {(0, a, b) for a, b in _addresses(text, s, e) if held[a] == held[b]}
+        elif kind > 0:
+            own = text[s:e]
+            s, e = s + len(own) - len(own.lstrip(" \n,.;:")), e - len(own) + len(own.rstrip(" \n,.;:"))
+            if s < e and held[s] == held[e] and _plausible(kind, text[s:e]):
+                added.add((kind, s, e))
+    return sorted([*base, *added])
 
 
 #: Rows and characters whose windows are decoded together.
