@@ -268,12 +268,18 @@ class Model:
     lexicon: dict[str, float]
     weights: tuple[float, ...]
 
+    def __post_init__(self) -> None:
+        #: How words begin that any feature can be of.
+        self.heads = {f.lstrip("=^")[:3] for f in self.lexicon}
+
     def shown(self, token: str, cache: dict[str, tuple]) -> tuple:
         """((word, evidence, known prefixes that count when shared), ...) of the words in a token's place that have any."""
         found = cache.get(token)
         if found is None:
             found = ()
             for w in restored(token, self.chars):
+                if w[:3] not in self.heads:
+                    continue
                 begun = prefixes(w)
                 own = max([self.lexicon.get("=" + w, 0.0), *(self.lexicon.get("^" + p, 0.0) for p in begun)])
                 shared = tuple(p for p in begun if "^^" + p in self.lexicon)
