@@ -231,6 +231,18 @@ def test_shift_starts_are_uniform(spark):
     assert len(far) == 20 and max(r["start"] for r in far) > 10**8 and len({(r["stem_ix"], r["start"]) for r in far}) == 20
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_observed_counts(spark, paths, tmp_path, small):
+    """What the parsing plan observes is what a pass for it alone counts, with either gene join; a file of headers and an empty one have counts too."""
+    genes = files.read_genes(spark, str(paths / "genes.bed"))
+    (tmp_path / "headers.sam").write_text("@HD\n@SQ\n")
+    (tmp_path / "none.sam").write_text("")
+    for path in (paths / "reads.sam", tmp_path / "headers.sam", tmp_path / "none.sam"):
+        sam, seen = files.read_sam(spark, str(path)), rd.Seen()
+        rd.parse(sam, genes, small, seen).checkpoint()
+        assert {k: n for k, n in seen.counts().items() if n} == {r["outcome"]: r["n"] for r in rd.outcomes(sam, genes).collect()}
+
+
 def test_genes_option(reads):
     assert rd.restrict(reads, "gA", "gB").count() == 4
     with pytest.raises(ValueError):
