@@ -85,11 +85,17 @@ def _labelled(placed: DataFrame, edge: DataFrame, kernel) -> DataFrame:
         for f in frames:
             out = []
             for r in f.itertuples(index=False):
+                if len(r.counts) == 1 and r.counts[0] == 1:
+                    out.append((r.l_gene, r.r_gene, r.component, r.first_ord, 1, r.nodes, np.zeros(1, np.int64)))
+                    continue
                 k, label = kernel(_local(r))
                 kept = label >= 0
-                out.append(pd.DataFrame({"l_gene": r.l_gene, "r_gene": r.r_gene, "component": r.component, "first_ord": r.first_ord, "read_id": r.nodes[kept], "k": k, "label": label[kept]}))
+                out.append((r.l_gene, r.r_gene, r.component, r.first_ord, k, r.nodes[kept], label[kept]))
             if out:
-                yield pd.concat(out)
+                *once, nodes, labels = zip(*out)
+                sizes = [len(x) for x in labels]
+                columns = {n: np.repeat(np.array(v), sizes) for n, v in zip(("l_gene", "r_gene", "component", "first_ord", "k"), once)}
+                yield pd.DataFrame(columns | {"read_id": np.concatenate(nodes), "label": np.concatenate(labels)})[["l_gene", "r_gene", "component", "first_ord", "read_id", "k", "label"]]
 
     kind = placed.schema["read_id"].dataType.simpleString()
     return _per_component(placed, edge).mapInPandas(run, _LABELS.format(id=kind))
