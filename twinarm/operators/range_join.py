@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sizes import is_small
+from .components import ensure_checkpoints
+from .sizes import is_small, near
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], left_range: tuple[str, str], right_range: tuple[str, str], width: int, condition: Column | None = None) -> DataFrame:
@@ -46,9 +47,15 @@ def rectangle_pairs(rows: DataFrame, keys: list[str], name: str, sides: tuple[tu
     cells = rows.where((F.col(ls) <= F.col(le)) & (F.col(rs) <= F.col(re))).withColumn("_x", bins(ls, le)).withColumn("_y", bins(rs, re))
     at = [*keys, "_x", "_y"]
     full = cells.groupBy(*at).agg(F.count("*").alias("_n")).where(F.col("_n") > cell_rows).select(*at, F.ceil(F.col("_n") / cell_rows).cast("int").alias("_parts"))
-    counted = cells.join(full, at, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
-    a = counted.withColumn("_part", F.pmod(F.xxhash64(name), F.col("_parts")).cast("int")).drop("_parts").alias("a")
-    b = counted.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts").alias("b")
+    ensure_checkpoints(rows)
+    full = full.checkpoint()  # few rows: at most one for cell_rows of the others
+    if full.isEmpty():
+        a = b = cells.withColumn("_part", F.lit(0))
+        a, b = a.alias("a"), b.alias("b")
+    else:
+        counted = cells.join(near(full), at, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+        a = counted.withColumn("_part", F.pmod(F.xxhash64(name), F.col("_parts")).cast("int")).drop("_parts").alias("a")
+        b = counted.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts").alias("b")
     on = (F.col("a._part") == F.col("b._part")) & (F.col(f"a.{name}") < F.col(f"b.{name}"))
     for k in at:
         on &= F.col(f"a.{k}") == F.col(f"b.{k}")
