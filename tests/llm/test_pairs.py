@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -140,6 +141,18 @@ def test_candidates_of_groups_of_mixed_sizes(spark):
     assert jaccard._candidates(df.where("node <> 2")).count() == 0
 
 
+def test_rare_tokens_stay_rare_where_counters_are_full(spark):
+    """A million other tokens in each counter: rare ones still make lists of one part, and frequent ones stand apart."""
+    rng = np.random.default_rng(8)
+    counts = rng.poisson(1e6, 1 << jaccard.SLICE_BITS)
+    counts[:3] = 1_050_000, 2_000_000, 900_000_000
+    parts = [counts // 2, counts - counts // 2]
+    rows = [(0, zlib.compress(x.astype("<u4").tobytes())) for x in parts] + [(None, None)]
+    ranks = jaccard.token_ranks(spark.createDataFrame(rows, "slice int, counts binary"))[: 1 << jaccard.SLICE_BITS].astype(float)
+    assert (2 ** ((ranks[3:] + 1) / 3) < 2 * jaccard.LIST_NODES).all() and np.median(ranks) < 30
+    assert ranks[3:].max() < ranks[0] < ranks[1] < ranks[2]
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.similar_components(docs(spark, [])).count() == 0
     assert [(r["doc_id"], r["component_id"]) for r in jaccard.similar_components(docs(spark, [(4, None)])).collect()] == [(4, 4)]
