@@ -11,7 +11,7 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier (
 3. Runs meet by seed. A loser tree merges them; it knows the common prefix of each loser with the winner that beat it, so no byte known to be equal is compared again.
 4. Among suffixes of one seed the merged order gives the equal ones; for the others the first string at each offset is found and later ones are marked.
 5. Where a common passage ends, every document goes on in its own way, so its last seed has as many different suffixes as there are documents. Suffixes of a seed
-   that occurs more than HOT times are marked within their run in the same way, and only the first of each string, by its hash, meets those of other runs: one seed is spread over all tasks.
+   that occurs more than HOT times are marked within their run in the same way, and only the first of each string, by 128 bits of hash, meets those of other runs: one seed is spread over all tasks.
 
 Documents of equal text (of at least LENGTH bytes) after the first are removed whole at the start. Defined results: null texts are empty; texts shorter
 than LENGTH lose nothing; rows of equal doc_id and equal text are one document and get the same result; rows of equal doc_id and other text are documents of their own, in order of a hash, however many; rows of a null doc_id take no part and keep all; an empty table gives no rows; further columns are ignored by :func:`report`.
@@ -32,14 +32,18 @@ from ..operators import scan
 from .common import materialise
 from .shingles import _MIX, _power, mix
 
+#: Byte values of the second hash of strings.
+_CHECK = np.random.default_rng(9).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
 LENGTH, SEED = 100, 40
 #: Places of a string's seed, and the bytes kept before an anchor.
 PLACES = LENGTH - SEED + 1
 BEFORE = PLACES - 1
 #: Bytes hashed at once, suffixes in a run, suffixes that meet in a bucket (about).
 CHUNK, RUN, BUCKET = 1 << 22, 200_000, 120_000
-#: A seed of more suffixes than this, or than one in HOT_SEEDS of all bytes, is hot; so there are at most about HOT_SEEDS hot seeds.
-HOT, HOT_SEEDS = 30_000, 1_000_000
+#: A seed of more suffixes than this, or than one in HOT_SEEDS of all suffixes, is hot; so there are at most about HOT_SEEDS hot seeds (8 bytes each in the driver and
+#: the tasks). A seed that isn't has 30,000 suffixes in a bucket at most up to 7 TB, and 420,000 (some 150 MB) at 100 TB.
+HOT, HOT_SEEDS = 30_000, 8_000_000
 #: Ids of documents are broadcast up to so many bytes; beyond, they are joined by shuffle.
 BROADCAST_BYTES = 1 << 20
 #: Texts that are numbered within one doc_id; more make ids of their own (20 bits hold a number and its sign).
@@ -298,8 +302,10 @@ def _seed_hashes(raw: bytes, at: np.ndarray) -> np.ndarray:
 
 def sorted_runs(held: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     """Front-coded runs by bucket, from (doc_id, text, ws); suffixes equal to an earlier one of the same run; and of hot seeds (sorted hashes) repeated ranges and first strings."""
+    shared = held.sparkSession.sparkContext.broadcast(hot)
 
     def scan(batches):
+        hot = shared.value
         first: dict[bytes, tuple[int, int]] = {}
         later: list[tuple[int, int]] = []
         common: list[tuple[bytes, int, int]] = []
@@ -331,7 +337,8 @@ def sorted_runs(held: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
             for doc, raw, ws in zip(rows.column("doc_id").to_pylist(), _raws(rows), rows.column("ws").to_pylist()):
                 if len(hot):
                     at = _unpack(np.array(ws, np.int64))[1]
-                    is_hot = np.isin(_seed_hashes(raw, at).view(np.int64), hot).tolist()
+                    seeds = _seed_hashes(raw, at).view(np.int64)
+                    is_hot = (hot[np.minimum(np.searchsorted(hot, seeds), len(hot) - 1)] == seeds).tolist()
                 else:
                     is_hot = [False] * len(ws)
                 for w, apart in zip(ws, is_hot):
@@ -352,39 +359,47 @@ def sorted_runs(held: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     return held.mapInArrow(scan, _RUNS)
 
 
-def _strings(keys: np.ndarray, ws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the strings around suffixes, a column for each distance from the string's start to the anchor, and whether the suffix stands for that one. keys: (n, KEY) bytes."""
+def _strings(keys: np.ndarray, ws: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Hashes of the strings that suffixes stand for, as (row, distance from the string's start to the anchor, hash, second hash). keys: (n, KEY) bytes."""
     text = np.concatenate([keys[:, LENGTH:][:, ::-1], keys[:, :LENGTH]], 1)  # in reading order, the anchor at BEFORE
     up, down = _power(KEY + 1)
-    sums = np.zeros((len(text), KEY + 1), np.uint64)
-    np.cumsum(_MIX[text] * up[:KEY], axis=1, out=sums[:, 1:])
     back = np.arange(PLACES)
     start = BEFORE - back
-    strings = mix((sums[:, start + LENGTH] - sums[:, start]) * down[start]) * np.uint64(2 * PLACES + 1) + back.astype(np.uint64)
     _, _, least, most = _unpack(ws)
-    return strings, (back >= least[:, None]) & (back <= most[:, None])
+    row, col = np.nonzero((back >= least[:, None]) & (back <= most[:, None]))
+    hashes = []
+    for values in (_MIX, _CHECK):
+        sums = np.zeros((len(text), KEY + 1), np.uint64)
+        np.cumsum(values[text] * up[:KEY], axis=1, out=sums[:, 1:])
+        strings = mix((sums[:, start + LENGTH] - sums[:, start]) * down[start]) * np.uint64(2 * PLACES + 1) + back.astype(np.uint64)
+        hashes.append(strings[row, col])
+    return row, col, *hashes
+
+
+def _first_of_each(h: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """The places of the first of each pair of hashes."""
+    order = np.lexsort((check, h))  # stable
+    h, check = h[order], check[order]
+    return order[np.concatenate([[True], (h[1:] != h[:-1]) | (check[1:] != check[:-1])])[: len(order)]]
 
 
 def _firsts(keys: np.ndarray, docs: np.ndarray, ws: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(hash, distance, document, packed) of the first of each string around suffixes."""
+    """(hash and second hash by turns, distance, document, packed) of the first of each string around suffixes."""
     order = np.lexsort((_unpack(ws)[1], ws >> 44, docs))
     keys, docs, ws = keys[order], docs[order], ws[order]
-    strings, own = _strings(keys, ws)
-    row, col = np.nonzero(own)
-    found, index = np.unique(strings[row, col], return_index=True)
-    return found.view(np.int64), col[index], docs[row[index]], ws[row[index]]
+    row, col, h, check = _strings(keys, ws)
+    at = _first_of_each(h, check)
+    return np.stack([h[at], check[at]], 1).view(np.int64).ravel(), col[at], docs[row[at]], ws[row[at]]
 
 
 def _marked(keys: np.ndarray, docs: np.ndarray, ws: np.ndarray) -> tuple[np.ndarray, ...]:
     """Repeated strings among suffixes of equal seed: (document, number, first byte, last string + 1) of their runs. keys: (n, KEY) bytes."""
     order = np.lexsort((_unpack(ws)[1], ws >> 44, docs))
     keys, docs, ws = keys[order], docs[order], ws[order]
-    strings, own = _strings(keys, ws)
-    row, col = np.nonzero(own)
-    _, index = np.unique(strings[row, col], return_index=True)
-    repeated = np.zeros(own.shape, bool)
+    row, col, h, check = _strings(keys, ws)
+    repeated = np.zeros((len(keys), PLACES), bool)
     again = np.ones(len(row), bool)
-    again[index] = False
+    again[_first_of_each(h, check)] = False
     repeated[row[again], col[again]] = True
     # Distances fall as starts rise: turn the columns round to get runs of starts.
     flat = np.pad(repeated[:, ::-1], ((0, 0), (1, 1))).astype(np.int8)
@@ -463,15 +478,16 @@ def repeated_ranges(runs: DataFrame) -> DataFrame:
     def firsts(batches):
         for batch in batches:
             for raw in zip(*(batch.column(c).to_pylist() for c in ("lcps", "rests", "docs", "packed"))):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, "<i8")) for x in raw], names=["h", "back", "doc_id", "w"])
+                hashes, *rest = (np.frombuffer(x, "<i8") for x in raw)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (hashes[::2], hashes[1::2], *rest))], names=["h", "check", "back", "doc_id", "w"])
 
     merged = runs.where("bucket >= 0").groupBy("bucket").applyInArrow(merge, _RANGES)
     found = merged.union(runs.where(F.col("bucket").isin(LATER, MARKED)).mapInArrow(spread, _RANGES))
     # A hot seed's strings: a run sends each once, and all but the first of all runs are repeated.
-    each = runs.where(F.col("bucket") == FIRST).mapInArrow(firsts, "h bigint, back bigint, doc_id bigint, w bigint")
+    each = runs.where(F.col("bucket") == FIRST).mapInArrow(firsts, "h bigint, check bigint, back bigint, doc_id bigint, w bigint")
     start = F.shiftright("w", 12).bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")) - F.col("back")
     number = F.shiftright("w", 44).cast("int")
-    order = Window.partitionBy("h").orderBy("doc_id", number, start)  # at most a row of each run
+    order = Window.partitionBy("h", "check").orderBy("doc_id", number, start)  # at most a row of each run
     again = each.withColumn("k", F.row_number().over(order)).where("k > 1")
     return found.union(again.select("doc_id", number.alias("number"), start.alias("s"), (start + LENGTH).alias("e")))
 
@@ -538,7 +554,7 @@ def find(docs: DataFrame, text: Column) -> tuple[DataFrame, DataFrame]:
     rest = docs.where("number >= 0").select("doc_id", "number", text.alias("text")).join(_near(copies), ["doc_id", "number"], "left_anti")
     most = max(HOT, total // (30 * HOT_SEEDS))
     seen = materialise(fingerprints(rest).repartition("seed").sortWithinPartitions("seed").mapInArrow(lambda b: repeated(b, most), "doc_id bigint, w bigint"), "repeated")
-    hot = np.sort(np.array([r["w"] for r in seen.where("doc_id is null").select("w").distinct().collect()], np.int64))  # about HOT_SEEDS at most
+    hot = np.sort(seen.where("doc_id is null").select("w").distinct().toArrow().column("w").to_numpy())  # about HOT_SEEDS at most
     listed = seen.where("doc_id is not null").groupBy("doc_id", F.shiftright("w", 44).cast("int").alias("number")).agg(F.collect_list("w").alias("ws"))
     n = seen.where("doc_id is not null").count()
     held = rest.join(listed.hint("shuffle_hash"), ["doc_id", "number"]).select("doc_id", "text", "ws")
