@@ -1,14 +1,18 @@
 """Encoding, token files and packing against the library and exact round trips."""
 
+import ctypes
 import random
+import types
+import weakref
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tokenizers
 
-from twinarm.llm import bpe, dac, packing
+from twinarm.llm import bpe, dac, jaccard, packing
 
 FILES = {n: public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json")}
 DOC = "doc_id bigint, text string, start bigint, part string"
@@ -145,3 +149,26 @@ def test_pack(spark):
         g = g.sort_values("offset")
         assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() <= 2048
     assert packing.pack(spark.createDataFrame([], DOC), FILES["word_bpe_49k.json"]).count() == 0
+
+
+def test_other_tasks_free_the_encoder(spark, monkeypatch):
+    """A worker keeps the encoder from one packing task to the next, and no longer once a task of another operator runs in it; each task returns freed memory."""
+
+    class Taken:
+        """In place of a frame: what mapInArrow is given."""
+
+        select = where = lambda self, *columns: self
+
+        def mapInArrow(self, task, schema):
+            return task
+
+    rows = [pa.RecordBatch.from_pydict({"doc_id": [k], "text": [f"some words of text {k}"]}) for k in range(3)]
+    trims, path = [], FILES["word_bpe_49k.json"]
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: types.SimpleNamespace(partitionId=lambda: 0))
+    pack = packing.cut(Taken(), path, 2048, 0)
+    assert sum(b.num_rows for b in pack(iter(rows))) == 3
+    kept = weakref.ref(bpe.encoder(path))
+    assert sum(b.num_rows for b in pack(iter(rows))) == 3 and bpe.encoder(path) is kept()
+    monkeypatch.setattr(ctypes, "CDLL", lambda name: types.SimpleNamespace(malloc_trim=trims.append))
+    assert sum(b.num_rows for b in jaccard.survey(Taken())(iter(rows))) > 3
+    assert kept() is None and len(trims) >= 2

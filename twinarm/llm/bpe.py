@@ -15,6 +15,8 @@ import unicodedata
 
 import numpy as np
 
+from .common import resident
+
 #: Characters handled at once; longer texts are cut between two ASCII words, where no piece, normalisation or look-ahead crosses.
 CHUNK_CHARS = 1 << 19
 #: Distinct pieces kept; at about 50 bytes each, this bounds the cache to 50 MB a worker.
@@ -214,11 +216,9 @@ class Encoder:
         return np.concatenate(out) if out else np.zeros(0, np.uint32), counts
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One encoder per worker process and file, until tasks of other kinds need the memory."""
+    kept = resident.setdefault("bpe", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from . import shingles
-from .common import materialise
+from .common import frugal, materialise
 from .components import connected
 
 #: Similar: PER * intersection >= PART * union.
@@ -78,7 +78,7 @@ def survey(docs: DataFrame) -> DataFrame:
         none = pa.nulls(len(live), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, pa.array(live, pa.int32()), pa.array([zlib.compress(parts[k].astype("<u4").tobytes(), 1) for k in live], pa.binary())], names=["doc_id", "n", "node", "slice", "counts"])
 
-    return docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInArrow(scan, _FIRST)
+    return docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInArrow(frugal(scan), _FIRST)
 
 
 def token_ranks(surveyed: DataFrame) -> np.ndarray:
@@ -133,7 +133,7 @@ def prefixes(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
                 cut.append(np.unique(np.partition(order, p - 1)[:p] if p < len(order) else order).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array([_node(t) for t in found], pa.int64()), pa.array([len(t) for t in found], pa.int64()), pa.array([float((c >> 56).mean()) for c in cut], pa.float64()), pa.array(cut, pa.list_(pa.int64()))], names=["node", "n", "popular", "prefix"])
 
-    every = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInArrow(scan, _PREFIX)
+    every = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInArrow(frugal(scan), _PREFIX)
     return every.groupBy("node").agg(F.first("n").alias("n"), F.first("popular").alias("popular"), F.first("prefix").alias("prefix"))
 
 
@@ -150,7 +150,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, label: str) -
             found = _similar(rows.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([_node(t) for t in found], pa.int64()), pa.array([t.tobytes() for t in found], pa.binary())], names=["node", "tokens"])
 
-    sets = texts.mapInArrow(scan, "node bigint, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
+    sets = texts.mapInArrow(frugal(scan), "node bigint, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("t")), "b")
 
     def compare(batches):
@@ -163,7 +163,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, label: str) -
                 good.append(PER * common >= PART * (len(x) + len(y) - common))
             yield rows.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return materialise(both.select("a", "b", "s", "t").mapInArrow(compare, "a bigint, b bigint"), f"{label}-links")
+    return materialise(both.select("a", "b", "s", "t").mapInArrow(frugal(compare), "a bigint, b bigint"), f"{label}-links")
 
 
 def _close(ids: DataFrame) -> DataFrame:

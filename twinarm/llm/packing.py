@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import materialise
+from .common import frugal, materialise
 
 CAPACITY = 2048
 #: A step covers at most this share of a length's demand; a weight falls by exp(-RATE) from none of it covered to all; lengths that a pricing step looks at.
@@ -63,7 +63,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFram
                     ["doc_id", "piece", "start", "length", "ids_crc32", "part", "local"]
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(pieces, _PIECES)
+    return docs.select("doc_id", "text").mapInArrow(frugal(pieces, "bpe"), _PIECES)
 
 
 def price(weights: np.ndarray, lengths: np.ndarray, copies: np.ndarray, capacity: int) -> np.ndarray:

@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import frugal
+
 KINDS = ("email", "ip", "card", "phone")
 #: Pieces of the base patterns, each of which passes over a text once; possessive, so that a long run is never tried from its middle.
 _LOCAL, _DOMAIN = re.compile(r"[A-Za-z0-9._%+-]*+"), re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -502,7 +504,7 @@ def find(docs: DataFrame) -> DataFrame:
         cols = [pa.array([[{"kind": KINDS[k], "start": s, "end": e} for k, s, e in x] for x in found], span) for found in (base, spans)]
         return pa.RecordBatch.from_arrays([rows.column("doc_id"), *cols], names=["doc_id", "base", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(lambda b: _analyse(b, Tagger(shared.value), use), f"doc_id {kind}, base array<struct<kind:string,start:bigint,end:bigint>>, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return docs.select("doc_id", "text").mapInArrow(frugal(lambda b: _analyse(b, Tagger(shared.value), use)), f"doc_id {kind}, base array<struct<kind:string,start:bigint,end:bigint>>, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def redact_text(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -524,4 +526,4 @@ def redact(docs: DataFrame) -> DataFrame:
         known = rows.column("text").is_valid().to_pylist()
         return rows.set_column(at, rows.schema.field(at), pa.array([redact_text(t, s) if v else None for t, s, v in zip(texts, spans, known)], rows.schema.field(at).type))
 
-    return docs.mapInArrow(lambda b: _analyse(b, Tagger(shared.value), use), docs.schema)
+    return docs.mapInArrow(frugal(lambda b: _analyse(b, Tagger(shared.value), use)), docs.schema)

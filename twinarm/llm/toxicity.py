@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import at_most_about, materialise
+from .common import at_most_about, frugal, materialise
 
 #: Labelled rows to fit on, about; a fraction is chosen by hash where there are more.
 TRAIN_ROWS = 24_000
@@ -356,7 +356,7 @@ def _character_model(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"k": pa.array(at), "n": pa.array(counts[at])})
 
     counts = np.zeros(SIZE**3)
-    for r in docs.select("text").where(F.col("text").isNotNull()).mapInArrow(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect():  # at most SIZE cubed
+    for r in docs.select("text").where(F.col("text").isNotNull()).mapInArrow(frugal(count), "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect():  # at most SIZE cubed
         counts[r["k"]] = r["n"]
     return language_model(counts.reshape(SIZE, SIZE, SIZE))
 
@@ -383,7 +383,7 @@ def _lexicon(train: DataFrame, chars: np.ndarray, toxic: float, clean: float) ->
                     size = 0
         yield counted()
 
-    counts = train.mapInArrow(count, "f string, c double, t double").groupBy("f").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+    counts = train.mapInArrow(frugal(count), "f string, c double, t double").groupBy("f").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
     base = toxic / (toxic + clean)
     n, rate = F.col("t") + F.col("c"), F.col("t") / (F.col("t") + F.col("c"))
     # Chernoff's bound on so many toxic documents among n, against the number of features tried.
@@ -421,7 +421,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             found = [shared.value.signals(t, cache) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("weight"), *(pa.array(x, pa.float64()) for x in np.array(found).reshape(-1, 3).T)], names=["y", "weight", "a", "b", "c"])
 
-    points = np.array([tuple(r) for r in train.mapInArrow(signals, "y int, weight double, a double, b double, c double").collect()], float)  # about rows at most
+    points = np.array([tuple(r) for r in train.mapInArrow(frugal(signals), "y int, weight double, a double, b double, c double").collect()], float)  # about rows at most
     model.weights = _logistic(points[:, 2:], points[:, 0], points[:, 1])
     return model
 
@@ -437,7 +437,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text").mapInArrow(scores, f"doc_id {kind}, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(frugal(scores), f"doc_id {kind}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -450,4 +450,4 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
         for batch in batches:
             yield batch.filter(pa.array([m.score(*m.signals(t, cache)) < threshold for t in batch.column("text").to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(frugal(kept), docs.schema)
