@@ -254,6 +254,22 @@ def test_fold_of_long_arms():
     assert np.isfinite(energy) and energy < -3000 and structure.count("(") > 1900
 
 
+def test_energies_of_many_arms_at_once():
+    """Short arms in batches of many sizes, arms too long for plain weights, empty and unpaired ones, unknown letters: all as pair by pair, and equal pairs once."""
+    rng = random.Random(7)
+    arm = lambda most, letters: "".join(rng.choice(letters) for _ in range(rng.randint(0, most)))
+    pairs = [(arm(24, "ACGTUN" if k % 3 else "acgt"), arm(33, "ACGT")) for k in range(60)] + [(arm(9, "AC"), arm(9, "AC")) for _ in range(5)]
+    pairs += [("G" * 96, "C" * 96), ("G" * 130, "C" * 130), ("G" * 20, "AC" * 90), ("AC" * 90, "G" * 20), ("ACß", "GGT")]
+    assert fold.duplex_energies(*map(list, zip(*pairs))) == pytest.approx([fold.duplex(*p)[1] for p in pairs], abs=1e-9)
+    asked = []
+    fold.KERNELS["length"] = lambda a, b: asked.append((a, b)) or ("", float(len(a + b)))
+    try:
+        assert fold.energies("length", ["A", "AC", "A"], ["G", "G", "G"]).tolist() == [2, 3, 2] and asked == [("A", "G"), ("AC", "G")]
+    finally:
+        del fold.KERNELS["length"]
+    assert fold.energies("duplex", [], []).tolist() == []
+
+
 @given(st.text("ACGT", min_size=1, max_size=30), st.integers(0, 5))
 @settings(max_examples=60, deadline=None)
 def test_shuffles_keep_neighbouring_pairs(text, seed):

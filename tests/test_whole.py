@@ -27,3 +27,15 @@ def test_genes_of_all_rows(spark, monkeypatch):
     part = spark.createDataFrame([(k, k % 50) for k in (1, 2000, 2001, 20_000)], "p_partkey bigint, p_size int")
     monkeypatch.setattr(views, "table", lambda *_: part)
     assert sorted(r["line"] for r in views.gene_rows(spark, "").collect()) == [1, 2000, 2001, 20_000]
+
+
+def twelfths(spark, monkeypatch, name, by):
+    """A query over a few reads whose positions are moved by a multiple of 12, the period of the region."""
+    events = spark.createDataFrame([(k, k % 7 + by, "ab"[k % 2]) for k in range(400)], "event_id bigint, user_id bigint, event_type string")
+    monkeypatch.setattr(views, "table", lambda *_: events)
+    return sorted(map(tuple, main.QUERIES[name](spark, "").collect()))
+
+
+def test_shifts_at_any_position(spark, monkeypatch):
+    near, far = (twelfths(spark, monkeypatch, "shift_null", by) for by in (0, 48_000))
+    assert near == far and any(energy < 0 for *_, energy in near)
