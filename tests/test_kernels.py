@@ -315,3 +315,22 @@ def test_sixteen_exact_decimals(spark):
     df = spark.createDataFrame([(float(v),) for v in values] + [(float("nan"),), (None,)], "x double")
     got = [r[0] for r in df.select(digits.fixed16(F.col("x"))).collect()]
     assert got[-2:] == ["nan", "nan"] and [g for g, v in zip(got, values) if g != "%.16f" % v] == []
+
+
+def test_shuffles_of_many_stems_at_once():
+    """A stem's shuffles are the same in any batch, keep neighbouring pairs, and all paths of a text come up equally often."""
+    rng = random.Random(4)
+    left, right = (["".join(rng.choice("ACGTN€"[: rng.randint(1, 6)]) for _ in range(rng.randint(0, 24))) for _ in range(150)] for _ in range(2))
+    ids = np.arange(150) * 100 + 10
+    drawn = validation.distinct_shuffles_of(left, right, 5, validation.keyed(ids, 0))
+    pairs = lambda s: (len(s), s[:1], s[-1:], sorted(zip(s, s[1:])))
+    for k, (a, b) in enumerate(zip(left, right)):
+        assert drawn[k][0] == (a, b) and len(set(drawn[k])) == len(drawn[k]) <= 5
+        assert all(pairs(x) == pairs(a) and pairs(y) == pairs(b) for x, y in drawn[k])
+    assert max(map(len, drawn)) == 5 and min(map(len, drawn)) == 1
+    for k in (0, 77, 149):
+        assert validation.distinct_shuffles_of(left[k : k + 1], right[k : k + 1], 5, validation.keyed(ids[k : k + 1], 0)) == [drawn[k]]
+    n = 12_000
+    found = validation.Shuffles(["ACAGATACCAGA"] * n, validation.keyed(np.arange(n), 1)).draw(np.arange(n), 0)
+    counts = [found.count(s) for s in set(found)]
+    assert len(counts) == 60 and sum((c - n / 60) ** 2 / (n / 60) for c in counts) < 110

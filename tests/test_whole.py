@@ -39,3 +39,8 @@ def twelfths(spark, monkeypatch, name, by):
 def test_shifts_at_any_position(spark, monkeypatch):
     near, far = (twelfths(spark, monkeypatch, "shift_null", by) for by in (0, 48_000))
     assert near == far and any(energy < 0 for *_, energy in near)
+
+
+def test_shuffles_at_any_position(spark, monkeypatch):
+    near, far = (twelfths(spark, monkeypatch, "shuffle_null", by) for by in (0, 48_000))
+    assert near == far and any(energy < 0 for *_, energy in near)
